@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, sharding, toxicity, url_reputation
+from . import bpe, chat, exact_dedup, sharding, surrogates, toxicity, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.mask(table(spark, sf_dir, "documents"), key="a key of this run").withColumn("kinds", F.array_join("kinds", ","))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -124,6 +128,6 @@ FROM t GROUP BY conv_id
 """
 
 QUERIES: dict[str, Query] = {
-    "op1_bpe": op1_bpe, "op2_url_reputation": op2_url_reputation, "op3_toxicity": op3_toxicity, "op5_sharding": op5_sharding, "op7_exact_dedup": op7_exact_dedup, "op10_chat": op10_chat,
+    "op1_bpe": op1_bpe, "op2_url_reputation": op2_url_reputation, "op3_toxicity": op3_toxicity, "op5_sharding": op5_sharding, "op6_surrogates": op6_surrogates, "op7_exact_dedup": op7_exact_dedup, "op10_chat": op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_reputation": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op10_chat": OP10_SQL}
