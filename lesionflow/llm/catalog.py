@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, sharding, surrogates, toxicity, url_reputation
+from . import bpe, chat, decontam, exact_dedup, sharding, surrogates, toxicity, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -128,6 +133,6 @@ FROM t GROUP BY conv_id
 """
 
 QUERIES: dict[str, Query] = {
-    "op1_bpe": op1_bpe, "op2_url_reputation": op2_url_reputation, "op3_toxicity": op3_toxicity, "op5_sharding": op5_sharding, "op6_surrogates": op6_surrogates, "op7_exact_dedup": op7_exact_dedup, "op10_chat": op10_chat,
+    "op1_bpe": op1_bpe, "op2_url_reputation": op2_url_reputation, "op3_toxicity": op3_toxicity, "op4_decontam": op4_decontam, "op5_sharding": op5_sharding, "op6_surrogates": op6_surrogates, "op7_exact_dedup": op7_exact_dedup, "op10_chat": op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_reputation": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op10_chat": OP10_SQL}
