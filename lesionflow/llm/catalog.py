@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, sharding, surrogates, toxicity, url_reputation
+from . import bpe, chat, decontam, exact_dedup, neardup, ppm, sharding, surrogates, toxicity, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +105,14 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -133,6 +141,6 @@ FROM t GROUP BY conv_id
 """
 
 QUERIES: dict[str, Query] = {
-    "op1_bpe": op1_bpe, "op2_url_reputation": op2_url_reputation, "op3_toxicity": op3_toxicity, "op4_decontam": op4_decontam, "op5_sharding": op5_sharding, "op6_surrogates": op6_surrogates, "op7_exact_dedup": op7_exact_dedup, "op10_chat": op10_chat,
+    "op1_bpe": op1_bpe, "op2_url_reputation": op2_url_reputation, "op3_toxicity": op3_toxicity, "op4_decontam": op4_decontam, "op5_sharding": op5_sharding, "op6_surrogates": op6_surrogates, "op7_exact_dedup": op7_exact_dedup, "op8_ppm": op8_ppm, "op9_near_dedup": op9_near_dedup, "op10_chat": op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_reputation": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op10_chat": OP10_SQL}
