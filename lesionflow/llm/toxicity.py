@@ -72,39 +72,42 @@ def edits_for(n: int) -> int:
 
 
 class Trie:
-    """Terms with weights; stems end in ``stem`` nodes."""
+    """The terms that misspellings are looked for: those of 5 letters or more that no stem begins; others match exactly.
+
+    Terms of one stem are many and alike, and the stem finds their variants."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.next: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
-        self.stem: list[str | None] = [None]
         self.terms, self.stems = terms, stems
-        for words, ends in ((terms, self.term), (stems, self.stem)):
-            for word in words:
-                at = 0
-                for c in word:
-                    if c not in self.next[at]:
-                        self.next[at][c] = len(self.next)
-                        self.next.append({})
-                        self.term.append(None)
-                        self.stem.append(None)
-                    at = self.next[at][c]
-                ends[at] = word
+        self.stem_lengths = sorted({len(x) for x in stems}, reverse=True)
+        near = [t for t in terms if len(t) >= 5 and not any(t[:n] in stems for n in self.stem_lengths)]
+        #: By length of word: the letters and the edits of the terms that a word of that length may be near to.
+        self.letters: dict[int, list[tuple[frozenset[str], int]]] = {}
+        for t in near:
+            for n in range(len(t) - edits_for(len(t)), len(t) + edits_for(len(t)) + 1):
+                self.letters.setdefault(n, []).append((frozenset(t), min(edits_for(len(t)), edits_for(n))))
+        for word in near:
+            at = 0
+            for c in word:
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.term.append(None)
+                at = self.next[at][c]
+            self.term[at] = word
 
     def find(self, word: str) -> tuple[str, float, int] | None:
         """('term' or 'stem' or 'near', weight, number of edits) of the best entry, or None."""
-        at, stem = 0, None
-        for c in word:
-            at = self.next[at].get(c, -1)
-            if at < 0:
-                break
-            stem = self.stem[at] or stem
-        if at >= 0 and word and self.term[at]:
+        if word in self.terms:
             return "term", self.terms[word], 0
-        near = self.nearest(word, edits_for(len(word)))
-        if stem and (near is None or self.stems[stem] >= near[1]):
-            return "stem", self.stems[stem], 0
-        return near
+        for n in self.stem_lengths:
+            if n <= len(word) and word[:n] in self.stems:
+                return "stem", self.stems[word[:n]], 0
+        for letters, edits in self.letters.get(len(word), ()):
+            if len(letters.difference(word)) <= edits:  # each letter that the word lacks is an edit
+                return self.nearest(word, edits_for(len(word)))
+        return None
 
     def nearest(self, word: str, k: int) -> tuple[str, float, int] | None:
         """The term with fewest edits (1 to k), by the word's Levenshtein automaton run through the trie.
