@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog_rule
+from . import catalog_rule, catalog_voxel
 
-QUERIES = dict(catalog_rule.QUERIES)
-ORACLE = dict(catalog_rule.ORACLE)
+PARTS = (catalog_rule, catalog_voxel)
+QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLE = {k: v for part in PARTS for k, v in part.ORACLE.items()}

@@ -47,12 +47,12 @@ SELECT rn.patient, rn.timepoint, rn.week, rn.rn,
 FROM rn LEFT JOIN vol ON rn.timepoint = vol.timepoint
 """,
     "voxels": """
-SELECT l_suppkey AS patient, year(l_shipdate) AS visit, l_partkey % 8 AS x, l_orderkey % 8 AS y,
+SELECT l_suppkey AS patient, CAST(year(l_shipdate) AS BIGINT) AS visit, l_partkey % 8 AS x, l_orderkey % 8 AS y,
   l_linenumber AS z, min(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END) AS label
 FROM lineitem GROUP BY l_suppkey, year(l_shipdate), l_partkey % 8, l_orderkey % 8, l_linenumber
 """,
     "intensities": """
-SELECT l_suppkey AS patient, year(l_shipdate) AS visit, l_partkey % 8 AS x, l_orderkey % 8 AS y,
+SELECT l_suppkey AS patient, CAST(year(l_shipdate) AS BIGINT) AS visit, l_partkey % 8 AS x, l_orderkey % 8 AS y,
   l_linenumber AS z, CASE WHEN min(l_orderkey) % 9 = 0 THEN 0.0 ELSE max(l_extendedprice) END AS value
 FROM lineitem GROUP BY l_suppkey, year(l_shipdate), l_partkey % 8, l_orderkey % 8, l_linenumber
 """,
