@@ -11,8 +11,9 @@
 4. The rest, exactly: a star misses links between two members neither of which is the centre. Buckets that
    hold several components are searched again, in blocks of bounded size. A block pair compares sketches
    inside its task and puts out only pairs of different components whose sketches may be linked, each from
-   the first band that holds it. These are confirmed on full sets as well, and the components are taken
-   over all links. No bucket, group or partner list is cut.
+   the first band that holds it: first the likeliest pair of each two components, then, for components
+   still apart, every other one. All are confirmed on full sets, and the components are taken over all
+   links. No bucket, group or partner list is cut.
 
 Words: A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``. With fewer words the whole sequence is one shingle; a
 document without words has an empty set and no links. Two sets are linked when
@@ -36,9 +37,9 @@ from .text import words
 
 SHINGLE, SIMILAR = 5, 75
 BINS, BANDS, ROWS = 256, 32, 4
-#: Least share of equal bins of sketches that may belong to linked sets: 0.75 less four standard deviations for
-#: 256 filled bins; sets with fewer shingles than SMALL have coarser sketches and are always confirmed.
-ESTIMATE, SMALL = 0.64, 200
+#: Least share of equal bins of sketches that may belong to linked sets: 0.75 less four standard deviations or more, for
+#: sets of SMALL shingles or more, of TINY or more, and below (borrowed bins make the shares of small sets uneven).
+ESTIMATE, SMALL, SMALL_ESTIMATE, TINY, TINY_ESTIMATE = 0.64, 200, 0.6, 24, 0.4
 #: Classes in one block of a bucket.
 BLOCK = 1024
 _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -140,7 +141,7 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def may_link(n_a: np.ndarray, n_b: np.ndarray, equal: np.ndarray) -> np.ndarray:
     """Whether sets of these sizes with so many equal bins may be linked."""
     small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-    return (100 * small >= SIMILAR * large) & ((equal >= ESTIMATE * BINS) | (small < SMALL) & (equal >= 0.4 * BINS) | (small < 24))
+    return (100 * small >= SIMILAR * large) & (equal >= np.where(small >= SMALL, ESTIMATE, np.where(small >= TINY, SMALL_ESTIMATE, TINY_ESTIMATE)) * BINS)
 
 
 def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +154,6 @@ def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets are linked. Sets are made for documents in pairs only."""
-    pairs = stash(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     longest = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     sets = stash(longest.mapInArrow(full_sets, "id bigint, set binary"))
@@ -176,46 +176,72 @@ def blocks_of(members: DataFrame) -> DataFrame:
     return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
 
 
-def search_blocks(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, lo, hi): the pairs of one block pair that may be linked and that no earlier band holds."""
-    held: list[pa.RecordBatch] = []
-    current = None
-
-    def out() -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        ids, n, parts, own, band = (t.column(c).to_numpy() for c in ("id", "n", "component", "own", "band"))
-        x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        a_all, b_all = [], []
-        for i in range(len(ids)):
-            if own[i] != lo:
-                continue
-            far = np.flatnonzero((own == hi) & (parts != parts[i]) & ((ids > ids[i]) if lo == hi else True))
-            if not len(far):
-                continue
-            far = far[100 * np.minimum(n[far], n[i]) >= SIMILAR * np.maximum(n[far], n[i])]
-            far = far[~(keys[far, : band[i]] == keys[i, : band[i]]).any(axis=1)] if band[i] else far
-            if not len(far):
-                continue
-            far = far[may_link(np.full(len(far), n[i]), n[far], (x[far] == x[i]).sum(axis=1))]
-            a_all += [ids[i]] * len(far)
-            b_all += ids[far].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(a_all, pa.int64()), pa.array(b_all, pa.int64())], ["a", "b"])
-
-    for batch in tables:
-        marks = list(zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi"))))
-        start = 0
-        for i, mark in enumerate(marks):
-            if mark != current:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield out()
-                held, current, start = [], mark, i
-        held.append(batch.slice(start))
-    if held:
-        yield out()
+def search_blocks(all_pairs: bool):
+    """Of rows sorted by (key, lo, hi): pairs (a, b) of one block pair that lie in different components, may be linked and share no
+    earlier band; with their components and equal bins. Unless all_pairs is set, only the likeliest pair of each two components."""
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current = None
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            ids, n, parts, own, band = (t.column(c).to_numpy() for c in ("id", "n", "component", "own", "band"))
+            x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
+            lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+            found = [np.zeros((0, 5), np.int64)]
+            for i in range(len(ids)):
+                if own[i] != lo:
+                    continue
+                far = np.flatnonzero((own == hi) & (parts != parts[i]) & ((ids > ids[i]) if lo == hi else True))
+                far = far[100 * np.minimum(n[far], n[i]) >= SIMILAR * np.maximum(n[far], n[i])]
+                if band[i] and len(far):
+                    far = far[~(keys[far, : band[i]] == keys[i, : band[i]]).any(axis=1)]
+                if not len(far):
+                    continue
+                equal = (x[far] == x[i]).sum(axis=1)
+                keep = may_link(np.full(len(far), n[i]), n[far], equal)
+                far, equal = far[keep], equal[keep]
+                if not all_pairs and len(far) > 1:
+                    order = np.lexsort((-equal, parts[far]))
+                    far, equal = far[order], equal[order]
+                    first = np.r_[True, parts[far][1:] != parts[far][:-1]]
+                    far, equal = far[first], equal[first]
+                found.append(np.stack([np.full(len(far), ids[i]), ids[far], np.full(len(far), parts[i]), parts[far], equal], axis=1))
+            pairs = np.concatenate(found)
+            swapped = pairs[:, 0] > pairs[:, 1]
+            pairs[swapped] = pairs[swapped][:, [1, 0, 3, 2, 4]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs.T], ["a", "b", "part_a", "part_b", "equal"])
+
+        for batch in tables:
+            marks = list(zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi"))))
+            start = 0
+            for i, mark in enumerate(marks):
+                if mark != current:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    if held:
+                        yield out()
+                    held, current, start = [], mark, i
+            held.append(batch.slice(start))
+        if held:
+            yield out()
+
+    return run
+
+
+def open_pairs(members: DataFrame, leading: DataFrame, whole: DataFrame, all_pairs: bool) -> DataFrame:
+    """Pairs (a, b) that buckets hold, of different components, whose sketches may belong to linked sets; the likeliest of each two components unless all_pairs."""
+    parts = members.select("key", "band", "id").join(whole.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = blocks_of(parts).join(leading.select("id", "n", "sketch", F.col("bands").alias("keys")), "id")
+    packed = F.expr("unhex(array_join(transform(keys, k -> lpad(hex(k), 16, '0')), ''))")
+    rows = rows.select("key", "band", "lo", "hi", "own", "id", "n", "component", "sketch", packed.alias("keys")).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    found = rows.mapInArrow(search_blocks(all_pairs), "a bigint, b bigint, part_a bigint, part_b bigint, equal bigint")
+    if all_pairs:
+        return found.select("a", "b")
+    two = (F.least("part_a", "part_b").alias("p"), F.greatest("part_a", "part_b").alias("q"))
+    return found.groupBy(*two).agg(F.max(F.struct("equal", "a", "b")).alias("best")).select("best.a", "best.b")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -235,17 +261,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     side = leading.select("id", "n", "sketch")
     pairs = pairs.join(side.withColumnsRenamed({"id": "a", "n": "n_a", "sketch": "sketch_a"}), "a").join(side.withColumnsRenamed({"id": "b", "n": "n_b", "sketch": "sketch_b"}), "b")
     pairs = pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(possible, "a bigint, b bigint")
+    pairs = stash(pairs)
     links = stash(confirmed(docs, pairs))
     first = stash(components(links))
-    # what stars leave open
-    parts = members.select("key", "band", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_rows = blocks_of(parts).join(leading.select("id", "n", "sketch", F.col("bands").alias("keys")), "id")
-    packed = F.expr("unhex(array_join(transform(keys, k -> lpad(hex(k), 16, '0')), ''))")
-    open_rows = open_rows.select("key", "band", "lo", "hi", "own", "id", "n", "component", "sketch", packed.alias("keys"))
-    grouped = open_rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-    more = grouped.mapInArrow(search_blocks, "a bigint, b bigint").join(links, ["a", "b"], "left_anti")
-    found = links.union(stash(confirmed(docs, more)))
-    whole = stash(components(found))
+    # what stars leave open: the likeliest pair of each two components first, then every other pair of those still apart
+    tried, whole = pairs, first
+    for all_pairs in (False, True):
+        more = stash(open_pairs(members, leading, whole, all_pairs).join(tried, ["a", "b"], "left_anti"))
+        links = stash(links.union(confirmed(docs, more)))
+        tried, whole = tried.union(more), stash(components(links))
     component = of_class.join(whole.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
     out = marks.select("doc_id", "n_shingles").join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
