@@ -19,6 +19,7 @@ scored each; without labelled training rows the score is 0; further columns are
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from ..plans.shared import stash
 
 #: Most labelled rows that the logistic model is fitted on; most terms, stems and ordinary words near a term of the lexicon.
-FIT_ROWS, MOST_TERMS, MOST_STEMS, MOST_ORDINARY = 20_000, 300, 300, 5_000
+FIT_ROWS, MOST_TERMS, MOST_STEMS, MOST_ORDINARY = 20_000, 200, 60, 5_000
 #: Least log-likelihood ratio and least ratio of rates of a term.
 LEAST_LLR, LEAST_RATIO = 40.0, 8.0
 WINDOW = 6
@@ -276,20 +277,30 @@ def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
+def likely_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose doc_id hashes to a bit that some key has set: all rows with a key and few others, so that the join
+    that follows shuffles little else. The bits are 8 MB at any size of the keys; more keys only let more rows by."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
+    bits = keys.select(bit.alias("bit")).select(F.floor(F.col("bit") / 32768).alias("bucket"), (F.col("bit") % 32768).alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    marked = rows.withColumns({"bucket": F.floor(bit / 32768), "place": bit % 32768}).join(F.broadcast(bits), "bucket")
+    byte = F.conv(F.hex(F.expr("substring(bits, CAST(place DIV 8 AS INT) + 1, 1)")), 16, 10).cast("long")
+    return marked.where(byte.bitwiseAND(F.expr("shiftleft(1L, CAST(place % 8 AS INT))")) != 0).select(*rows.columns)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Lexicon from all labelled rows that are not held out, coefficients from FIT_ROWS of them at most."""
     train = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    rows = stash(texts.join(train, "doc_id").select("doc_id", "text", "toxic"))
+    rows = stash(likely_in(texts, train).join(train, "doc_id").select("doc_id", "text", "toxic"))
     counts = rows.select("text", "toxic").mapInArrow(word_counts, "word string, around bigint, toxic int, n bigint")
     counts = counts.groupBy("word", "around", "toxic").agg(F.sum("n").alias("n"))
     by_word = stash(counts.groupBy("word").agg(F.sum(F.col("toxic")).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")))
-    terms = dict(outstanding(by_word, "word", MOST_TERMS))
-    stems: dict[str, float] = {}
-    begun = by_word.where((F.length("word") >= 4) & ~F.col("word").isin(*terms)).withColumn("stem", F.explode(F.expr("transform(sequence(3, least(length(word) - 1, 8)), i -> substring(word, 1, i))")))
-    begun = begun.groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("forms")).where("forms >= 4")
-    for stem, w in outstanding(begun, "stem", MOST_STEMS):
-        stems[stem] = w
+    # A stem has several forms, none of which makes up most of it; terms are the words that no stem begins.
+    begun = by_word.where(F.length("word") >= 4).withColumn("stem", F.explode(F.expr("transform(sequence(3, least(length(word) - 1, 8)), i -> substring(word, 1, i))")))
+    begun = begun.groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.when(F.col("a") > 0, 1)).alias("forms"), F.max("a").alias("most")).where("forms >= 4 AND most <= 0.5 * a")
+    stems = dict(outstanding(begun, "stem", MOST_STEMS))
+    rest = by_word.where(~F.regexp_like("word", F.lit("^(" + "|".join(map(re.escape, stems)) + ")"))) if stems else by_word
+    terms = dict(outstanding(rest, "word", MOST_TERMS))
     model = Model(terms, stems, ordinary=near_misses(by_word, Model(terms, stems)))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +309,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             xs = [features(reader, t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("text", "toxic").mapInArrow(measured, "x array<double>, toxic int").collect()
+    share = min(1.0, FIT_ROWS / max(1, rows.count()))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = drawn.select("text", "toxic").mapInArrow(measured, "x array<double>, toxic int").limit(FIT_ROWS).collect()
     if sample:
         model.coefficients = fit(np.array([[1.0, *r[0]] for r in sample]), np.array([float(r[1] > 0) for r in sample]))
     return model
