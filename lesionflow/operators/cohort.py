@@ -77,12 +77,12 @@ def correlations(vectors: DataFrame, key: str, vector: str, first: int) -> DataF
     return rows.groupBy("i", "j").agg(F.abs(F.corr("a", "b")).alias("abs_corr"))
 
 
-def standardised_pca(vectors: DataFrame, vector: str, k: int = 2) -> DataFrame:
+def standardised_pca(vectors: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
     """One row (component, explained) per component of the standardised features (population sd). Signs of components are arbitrary, so only shares are given."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    long = vectors.select(F.monotonically_increasing_id().alias("row"), F.posexplode(vector).alias("feature", "value"))
+    long = vectors.select(F.col(key).alias("row"), F.posexplode(vector).alias("feature", "value"))
     moments = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
     scaled = long.join(moments, "feature").withColumn("z", F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0))
     rows = scaled.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "z"))), lambda s: s["z"]).alias("z")).select(array_to_vector("z").alias("v"))

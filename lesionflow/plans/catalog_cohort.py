@@ -246,7 +246,7 @@ def k06(spark, sf_dir):
 
 @query("k07_pca")
 def k07(spark, sf_dir):
-    return cohort.standardised_pca(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding")
+    return cohort.standardised_pca(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
 
 
 @query("k08_sign_test", f"WITH {catalog_rule.CALLS}, {catalog_rule.PAIRS}, d AS (SELECT count(*) FILTER (a.predicted = a.expert AND b.predicted <> b.expert) AS lost, count(*) FILTER (a.predicted <> a.expert AND b.predicted = b.expert) AS won FROM pairs a JOIN pairs b ON a.timepoint = b.timepoint AND a.profile = 'mrano_volumetric' AND b.profile = 'rano_classic_ported') SELECT lost, won, round(least(1.0, 2 * (SELECT sum(exp(lgamma(lost + won + 1) - lgamma(i + 1) - lgamma(lost + won - i + 1) - (lost + won) * ln(2))) FROM range(0, least(lost, won) + 1) r(i))), 6) AS p FROM d", "scans")
