@@ -196,7 +196,7 @@ def e02(spark, sf_dir):
     return scans(spark, sf_dir).select("timepoint", F.min("enhancing_mm3").over(earlier()).alias("nadir"), F.min("t2_flair_mm3").over(earlier()).alias("t2_nadir"), F.last("week", ignorenulls=True).over(earlier()).alias("previous_week"))
 
 
-@query("e06_segments", f"WITH {catalog_rule.CALLS} SELECT timepoint, sum(CASE WHEN call = 'BASELINE' AND n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY patient ORDER BY n) AS segment FROM (SELECT * FROM calls WHERE profile = 'mrano_volumetric')", "scans")
+@query("e06_segments", f"WITH {catalog_rule.CALLS} SELECT timepoint, CAST(sum(CASE WHEN call = 'BASELINE' AND n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY patient ORDER BY n) AS BIGINT) AS segment FROM (SELECT * FROM calls WHERE profile = 'mrano_volumetric')", "scans")
 def e06(spark, sf_dir):
     return rule.references(catalog_rule.rule_inputs(spark, sf_dir), True).select("timepoint", "segment")
 
