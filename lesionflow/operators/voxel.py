@@ -147,3 +147,20 @@ def best_shift(cells: DataFrame, reach: int = 2) -> DataFrame:
     rows = rows.withColumn("jaccard_pct", 100.0 * F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
     turn = Window.partitionBy("patient", "visit").orderBy(F.desc("jaccard_pct"), F.abs("dx") + F.abs("dy") + F.abs("dz"), "dx", "dy", "dz")
     return rows.withColumn("r", F.row_number().over(turn)).where("r = 1").select("patient", "visit", "previous", "dx", "dy", "dz", "jaccard_pct")
+
+
+def resampled(cells: DataFrame, transforms: DataFrame, lo: tuple[int, int, int], hi: tuple[int, int, int]) -> DataFrame:
+    """Labels on the fixed grid after a rigid transform, nearest neighbour: each fixed cell looks up the moving cell that it maps to.
+
+    transforms: (patient, visit, rx, ry, rz, tx, ty, tz, cx, cy, cz); rotations about x, then y, then z, around the centre,
+    from fixed to moving coordinates. Cells that map outside the moving table stay empty."""
+    rows = transforms
+    for axis, a, b in zip("xyz", lo, hi):
+        rows = rows.withColumn(axis, F.explode(F.sequence(F.lit(a), F.lit(b))))
+    u, v, w = (F.col(c) - F.col(f"c{c}") for c in "xyz")
+    v, w = F.cos("rx") * v - F.sin("rx") * w, F.sin("rx") * v + F.cos("rx") * w
+    u, w = F.cos("ry") * u + F.sin("ry") * w, -F.sin("ry") * u + F.cos("ry") * w
+    u, v = F.cos("rz") * u - F.sin("rz") * v, F.sin("rz") * u + F.cos("rz") * v
+    there = {f"m{c}": F.round(p + F.col(f"c{c}") + F.col(f"t{c}")).cast("int") for c, p in zip("xyz", (u, v, w))}
+    moving = cells.select(*SCAN, *(F.col(c).cast("int").alias(f"m{c}") for c in "xyz"), "label")
+    return rows.select(*CELL, *(e.alias(k) for k, e in there.items())).join(moving, [*SCAN, "mx", "my", "mz"]).select(*CELL, "label")

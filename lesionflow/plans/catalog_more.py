@@ -297,3 +297,67 @@ def j25(spark, sf_dir):
     own = cells(spark, sf_dir).select(*voxel.CELL).distinct()
     one = lambda rows, n: rows.agg(F.count(F.lit(1)).alias(n))
     return one(own, "step0").crossJoin(one(voxel.erode(own), "step1"))
+
+
+@query("j18_rigid_resample", """WITH g AS (SELECT patient, visit, x, y, z, (patient % 5 - 2) * 0.02 AS r, visit % 3 - 1 AS t FROM (SELECT DISTINCT patient, visit FROM voxels), range(0, 8) a(x), range(0, 8) b(y), range(1, 8) c(z)),
+m AS (SELECT patient, visit, x, y, z, CAST(round(cos(r) * (x - 4) - sin(r) * (y - 4) + 4 + t) AS INTEGER) AS mx, CAST(round(sin(r) * (x - 4) + cos(r) * (y - 4) + 4 + t) AS INTEGER) AS my, z + t AS mz FROM g)
+SELECT m.patient, m.visit, v.label, count(*) AS n FROM m JOIN voxels v ON v.patient = m.patient AND v.visit = m.visit AND v.x = mx AND v.y = my AND v.z = mz GROUP BY ALL""", "voxels")
+def j18(spark, sf_dir):
+    shift = (F.col("visit") % 3 - 1).cast("double")
+    turns = cells(spark, sf_dir).select(*voxel.SCAN).distinct().withColumns(
+        {"rx": F.lit(0.0), "ry": F.lit(0.0), "rz": (F.col("patient") % 5 - 2) * 0.02, "tx": shift, "ty": shift, "tz": shift, "cx": F.lit(4.0), "cy": F.lit(4.0), "cz": F.lit(4.0)})
+    return voxel.resampled(cells(spark, sf_dir), turns, LO, HI).groupBy("patient", "visit", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c04_enriched_calls", f"WITH {catalog_rule.CALLS} SELECT c.profile, c.patient, c.timepoint, c.call, s.rating AS expert, coalesce(s.arm, 'unassigned') AS arm FROM (SELECT profile, patient, timepoint, call FROM calls) c LEFT JOIN scans s ON s.timepoint = c.timepoint", "scans")
+def c04(spark, sf_dir):
+    calls = catalog_rule.rule_calls(spark, sf_dir).select("profile", "patient", "timepoint", "call")
+    expert = scans(spark, sf_dir).select("timepoint", F.col("rating").alias("expert"), "arm")
+    return calls.join(expert, "timepoint", "left").withColumn("arm", F.coalesce("arm", F.lit("unassigned"))).select("profile", "patient", "timepoint", "call", "expert", "arm")
+
+
+@query("c07_preferred_item", "SELECT patient, visit, min_by(label, CASE label WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END) AS label FROM voxels GROUP BY ALL", "voxels")
+def c07(spark, sf_dir):
+    preference = F.when(F.col("label") == 2, 0).when(F.col("label") == 1, 1).otherwise(2)
+    return cells(spark, sf_dir).groupBy("patient", "visit").agg(F.min_by("label", preference).alias("label"))
+
+
+@query("d24_threshold_scoreboard", f"WITH p AS (SELECT *, lag(enhancing_mm3) OVER (PARTITION BY patient ORDER BY rn) AS before FROM scans), t AS (SELECT unnest([100, 500, 1000]) AS threshold) SELECT threshold, count(*) FILTER (new_lesion AND enhancing_mm3 - before >= threshold) AS tp, count(*) FILTER (NOT new_lesion AND enhancing_mm3 - before >= threshold) AS fp, count(*) FILTER (new_lesion AND enhancing_mm3 - before < threshold) AS fn, count(*) FILTER (NOT new_lesion AND enhancing_mm3 - before < threshold) AS tn FROM p, t GROUP BY threshold", "scans")
+def d24(spark, sf_dir):
+    rows = scans(spark, sf_dir).withColumn("gain", F.col("enhancing_mm3") - F.lag("enhancing_mm3").over(by_rn()))
+    rows = rows.crossJoin(F.broadcast(spark.createDataFrame([(100,), (500,), (1000,)], "threshold int")))
+    hit, new = F.col("gain") >= F.col("threshold"), F.col("new_lesion")
+    return rows.groupBy("threshold").agg(*(F.count(F.when(c, 1)).alias(k) for k, c in (("tp", new & hit), ("fp", ~new & hit), ("fn", new & ~hit), ("tn", ~new & ~hit))))
+
+
+@query("d39_floor_trade_off", f"WITH {R26}, s AS (SELECT patient, visit, root, count(*) AS n FROM roots GROUP BY ALL), f AS (SELECT unnest([1, 3, 5]) AS floor), per AS (SELECT patient, visit, floor, count(*) FILTER (n >= floor) AS lesions FROM s, f GROUP BY ALL) SELECT floor, least(lesions, 8) AS lesions, count(*) AS scans FROM per GROUP BY ALL", "voxels")
+def d39(spark, sf_dir):
+    sizes = voxel.label_components(cells(spark, sf_dir, 1)).groupBy("patient", "visit", "root").agg(F.count(F.lit(1)).alias("n"))
+    per = sizes.crossJoin(F.broadcast(spark.createDataFrame([(1,), (3,), (5,)], "floor int"))).groupBy("patient", "visit", "floor").agg(F.count(F.when(F.col("n") >= F.col("floor"), 1)).alias("lesions"))
+    return per.groupBy("floor", F.least(F.col("lesions"), F.lit(8).cast("long")).alias("lesions")).agg(F.count(F.lit(1)).alias("scans"))
+
+
+@query("e18_first_postop_removed", "WITH f AS (SELECT patient, min(rn) AS first_rn FROM scans WHERE rating = 'Post-Op' GROUP BY patient) SELECT s.patient, s.timepoint FROM scans s JOIN f USING (patient) WHERE rn <> first_rn AND rating IS DISTINCT FROM 'Pre-Op'", "scans")
+def e18(spark, sf_dir):
+    rows = scans(spark, sf_dir).withColumn("first_rn", F.min(F.when(F.col("rating") == "Post-Op", F.col("rn"))).over(Window.partitionBy("patient")))
+    return rows.where((F.col("rn") != F.col("first_rn")) & ~F.col("rating").eqNullSafe("Pre-Op")).select("patient", "timepoint")
+
+
+@query("l07_audit_warnings", "WITH v AS (SELECT patient, bool_or(label = 1) AS has1, bool_or(label NOT IN (1, 2)) AS odd FROM voxels GROUP BY patient) SELECT c_patient AS patient, warning FROM (SELECT g.patient AS c_patient, unnest(list_filter([CASE WHEN v.patient IS NULL THEN 'no mask' END, CASE WHEN NOT has1 THEN 'no enhancing label' END, CASE WHEN odd THEN 'label without meaning' END], lambda x: x IS NOT NULL)) AS warning FROM (SELECT DISTINCT patient FROM geometry) g LEFT JOIN v USING (patient))", "geometry", "voxels")
+def l07(spark, sf_dir):
+    have = cells(spark, sf_dir).groupBy("patient").agg(F.bool_or(F.col("label") == 1).alias("has1"), F.bool_or(~F.col("label").isin(1, 2)).alias("odd"), F.lit(True).alias("mask"))
+    rows = frame(spark, sf_dir, "geometry").select("patient").distinct().join(have, "patient", "left")
+    found = F.array(F.when(F.col("mask").isNull(), "no mask"), F.when(~F.col("has1"), "no enhancing label"), F.when(F.col("odd"), "label without meaning"))
+    return rows.select("patient", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("warning"))
+
+
+@query("j21_fit_acceptance", f"""WITH {ONE}, vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c)),
+n AS (SELECT patient, visit, count(*) AS n FROM c GROUP BY ALL), m AS (SELECT c.patient, c.visit, previous, o.x - c.x AS dx, o.y - c.y AS dy, o.z - c.z AS dz, count(*) AS k FROM c JOIN vp USING (patient, visit) JOIN c o ON o.patient = c.patient AND o.visit = previous AND abs(o.x - c.x) <= 1 AND abs(o.y - c.y) <= 1 AND abs(o.z - c.z) <= 1 GROUP BY ALL),
+j AS (SELECT m.patient, m.visit, max(100.0 * k / (a.n + b.n - k)) AS best, coalesce(max(100.0 * k / (a.n + b.n - k)) FILTER (dx = 0 AND dy = 0 AND dz = 0), 0) AS still FROM m JOIN n a ON a.patient = m.patient AND a.visit = m.visit JOIN n b ON b.patient = m.patient AND b.visit = m.previous GROUP BY ALL)
+SELECT patient, visit, CASE WHEN best >= still + 1 THEN 'shifted' WHEN still > 0 THEN 'kept' ELSE 'rejected' END AS status FROM j""", "voxels")
+def j21(spark, sf_dir):
+    own = cells(spark, sf_dir, 1)
+    best = voxel.best_shift(own, 1).select("patient", "visit", F.col("jaccard_pct").alias("best"))
+    still = voxel.growth(own).select("patient", "visit", F.col("jaccard_pct").alias("still"))
+    status = F.when(F.col("best") >= F.col("still") + 1, "shifted").when(F.col("still") > 0, "kept").otherwise("rejected")
+    return best.join(still, ["patient", "visit"]).select("patient", "visit", status.alias("status"))
