@@ -3,10 +3,11 @@
 1. Lexicon. Over all labelled training rows, each word is counted in toxic texts by its distinct pairs of
    neighbours (so that copies of one text count once) and in other texts by its occurrences. Words, and
    word beginnings as stems, whose toxic rate stands out by a log-likelihood ratio become terms.
-2. Search. Terms stand in a trie. The Levenshtein automaton of each distinct word of a block (bit-parallel
-   states, one mask for each number of edits) runs through the trie, so all terms within the allowed edits
-   are found at once: none below 5 letters, 1 below 8, else 2. Case, look-alike letters of other scripts
-   and digits used as letters are folded first. Stems match exactly.
+2. Search. Terms and stems stand in a trie. The Levenshtein automaton of each distinct word of a block
+   (bit-parallel states, one mask for each number of edits) runs through the trie, so all terms, and stems of
+   a beginning of the word, within the allowed edits are found at once: none below 5 letters, 1 below 8, else
+   2. Words that no entry can be near to are left out by a lossless filter. Case, look-alike letters of other
+   scripts and digits used as letters are folded first.
 3. Context. A hit inside quotation marks (within a window of words) or right after a word of report counts
    as quotation; a hit with a second-person word in its window counts as abuse.
 4. Score. A logistic model over the sums of hits, fitted on ``FIT_ROWS`` labelled training rows at most.
@@ -19,7 +20,6 @@ scored each; without labelled training rows the score is 0; further columns are
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -72,46 +72,116 @@ def edits_for(n: int) -> int:
     return 0 if n < 5 else 1 if n < 8 else 2
 
 
+class Filter:
+    """Which words can lie within the allowed edits of an entry; none that does is missed, few others pass.
+
+    Two words within k edits have a common rest after up to k letters are left out of each. The hashes of the
+    entries' rests set bits of a table; a word passes when one of its own rests has its bit set. For a stem, the
+    rests of the word's beginning of the stem's length are looked up, as no edit moves a matched letter out of it."""
+
+    BITS, BASE, MIX = 27, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+
+    def __init__(self, terms: list[str], stems: list[str]):
+        self.table = np.zeros(1 << self.BITS - 3, np.uint8)
+        self.stem_lengths = sorted({len(x) for x in stems})
+        for salt, entries in enumerate((terms, stems)):
+            for n in {len(x) for x in entries}:
+                for at in self.places(self.letters([x for x in entries if len(x) == n], n), edits_for(n), salt):
+                    np.bitwise_or.at(self.table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+    @staticmethod
+    def letters(words: list[str], n: int) -> np.ndarray:
+        return np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n)
+
+    def places(self, letters: np.ndarray, k: int, salt: int) -> Iterator[np.ndarray]:
+        """For each choice of up to k letters to leave out, the bits of the words' rests."""
+        n = letters.shape[1]
+        back = pow(self.BASE, -1, 1 << 64)
+        powers = np.array([pow(self.BASE, i, 1 << 64) for i in range(n)], np.uint64)
+        before = np.zeros((n + 1, len(letters)), np.uint64)
+        np.cumsum((letters * powers).T, axis=0, out=before[1:])
+        once, twice = np.uint64(back), np.uint64(back * back % (1 << 64))
+
+        def bit(h: np.ndarray) -> np.ndarray:
+            return ((h + np.uint64(salt)) * np.uint64(self.MIX) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+        yield bit(before[n])
+        if k >= 1:
+            for i in range(n):
+                yield bit(before[i] + (before[n] - before[i + 1]) * once)
+        if k >= 2:
+            for i in range(n):
+                for j in range(i + 1, n):
+                    yield bit(before[i] + (before[j] - before[i + 1]) * once + (before[n] - before[j + 1]) * twice)
+
+    def passing(self, words: list[str]) -> list[str]:
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            if len(w) >= 5:
+                by_length.setdefault(len(w), []).append(w)
+        out = []
+        for n, some in by_length.items():
+            letters = self.letters(some, n)
+            found = np.zeros(len(some), bool)
+            k = edits_for(n)
+            for salt, m, e in [(0, n, k), *((1, min(n, m), min(k, edits_for(m))) for m in self.stem_lengths)]:
+                for at in self.places(letters[:, :m], e, salt):
+                    found |= (self.table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            out += [some[i] for i in np.flatnonzero(found)]
+        return out
+
+
 class Trie:
-    """The terms that misspellings are looked for: those of 5 letters or more that no stem begins; others match exactly.
+    """All terms and stems of 5 letters or more, for misspellings; shorter ones match exactly.
 
-    Terms of one stem are many and alike, and the stem finds their variants."""
+    A term is met by a whole word, a stem by some beginning of a word."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.next: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.stem: list[str | None] = [None]
         self.terms, self.stems = terms, stems
         self.stem_lengths = sorted({len(x) for x in stems}, reverse=True)
-        near = [t for t in terms if len(t) >= 5 and not any(t[:n] in stems for n in self.stem_lengths)]
-        #: By length of word: the letters and the edits of the terms that a word of that length may be near to.
-        self.letters: dict[int, list[tuple[frozenset[str], int]]] = {}
-        for t in near:
-            for n in range(len(t) - edits_for(len(t)), len(t) + edits_for(len(t)) + 1):
-                self.letters.setdefault(n, []).append((frozenset(t), min(edits_for(len(t)), edits_for(n))))
-        for word in near:
-            at = 0
-            for c in word:
-                if c not in self.next[at]:
-                    self.next[at][c] = len(self.next)
-                    self.next.append({})
-                    self.term.append(None)
-                at = self.next[at][c]
-            self.term[at] = word
-
-    def find(self, word: str) -> tuple[str, float, int] | None:
-        """('term' or 'stem' or 'near', weight, number of edits) of the best entry, or None."""
+        self.filter: Filter | None = None
+        for words, ends in ((terms, self.term), (stems, self.stem)):
+            for word in words:
+                if len(word) < 5:
+                    continue
+                at = 0
+                for c in word:
+                    if c not in self.next[at]:
+                        self.next[at][c] = len(self.next)
+                        self.next.append({})
+                        self.term.append(None)
+                        self.stem.append(None)
+                    at = self.next[at][c]
+                ends[at] = word
+
+    def exact(self, word: str) -> tuple[str, float, int] | None:
         if word in self.terms:
             return "term", self.terms[word], 0
         for n in self.stem_lengths:
             if n <= len(word) and word[:n] in self.stems:
                 return "stem", self.stems[word[:n]], 0
-        for letters, edits in self.letters.get(len(word), ()):
-            if len(letters.difference(word)) <= edits:  # each letter that the word lacks is an edit
-                return self.nearest(word, edits_for(len(word)))
         return None
 
+    def find(self, word: str) -> tuple[str, float, int] | None:
+        """('term' or 'stem' or 'near', weight, number of edits) of the best entry, or None."""
+        return self.exact(word) or self.nearest(word, edits_for(len(word)))
+
+    def find_all(self, words: list[str]) -> dict[str, tuple[str, float, int]]:
+        """The words with an entry, and what ``find`` gives for them."""
+        if self.filter is None:
+            self.filter = Filter([t for t in self.terms if len(t) >= 5], [t for t in self.stems if len(t) >= 5])
+        out = {w: hit for w in words if (hit := self.exact(w))}
+        for w in self.filter.passing([w for w in words if w not in out]):
+            hit = self.nearest(w, edits_for(len(w)))
+            if hit:
+                out[w] = hit
+        return out
+
     def nearest(self, word: str, k: int) -> tuple[str, float, int] | None:
-        """The term with fewest edits (1 to k), by the word's Levenshtein automaton run through the trie.
+        """The term or stem with fewest edits (1 to k), by the word's Levenshtein automaton run through the trie.
 
         Bit i of mask e: the path so far matches the first i letters of the word with e edits."""
         n = len(word)
@@ -126,13 +196,13 @@ class Trie:
         stack = [(0, tuple(start))]
         while stack:
             node, state = stack.pop()
-            term = self.term[node]
-            if term and len(term) >= 5:
-                for e, m in enumerate(state):
-                    if m & accept and e <= edits_for(len(term)):
-                        if e and (best is None or (e, -self.terms[term]) < (best[2], -best[1])):
-                            best = ("near", self.terms[term], e)
-                        break
+            for entry, weights, ends in ((self.term[node], self.terms, accept), (self.stem[node], self.stems, full)):
+                if entry:
+                    for e, m in enumerate(state):
+                        if m & ends and e <= edits_for(len(entry)):
+                            if e and (best is None or (e, -weights[entry]) < (best[2], -best[1])):
+                                best = ("near", weights[entry], e)
+                            break
             for c, child in self.next[node].items():
                 own = masks.get(c, 0)
                 now = [(state[0] & own) << 1]
@@ -150,24 +220,38 @@ class Reader(dict):
     def __init__(self, trie: Trie, ordinary: frozenset[str] = frozenset()):
         self.trie, self.ordinary = trie, ordinary
 
-    def __missing__(self, token: str):
+    def prepare(self, texts: list[str | None]) -> None:
+        """Looks up the new tokens of several texts at once."""
         if len(self) > 500_000:
             self.clear()
+        new = {t: folded(t) for t in {t for text in texts if text for t in text.split()}.difference(self)}
+        hits = self.trie.find_all(list({w for w in new.values() if len(w) >= 3}))
+        for token, word in new.items():
+            self[token] = self.mark(word, hits.get(word))
+
+    def mark(self, word: str, hit: tuple[str, float, int] | None):
+        if hit and not (hit[0] == "near" and word in self.ordinary):
+            return (*hit, word)
+        return "report" if word in REPORT else "you" if word in SECOND_PERSON else 0
+
+    def __missing__(self, token: str):
         word = folded(token)
-        hit = self.trie.find(word) if len(word) >= 3 else None
-        if hit and hit[0] == "near" and word in self.ordinary:
-            hit = None
-        mark = 0
-        if hit:
-            mark = (*hit, word)
-        elif word in REPORT:
-            mark = "report"
-        elif word in SECOND_PERSON:
-            mark = "you"
-        self[token] = mark
+        mark = self[token] = self.mark(word, self.trie.find(word) if len(word) >= 3 else None)
         return mark
 
 
+#: Texts whose new tokens are looked up together.
+TOGETHER = 1000
+
+
+def features_of(reader: Reader, texts: pa.Array) -> Iterator[list[float]]:
+    """``features`` of each text."""
+    for at in range(0, len(texts), TOGETHER):
+        some = texts.slice(at, TOGETHER).to_pylist()
+        reader.prepare(some)
+        yield from (features(reader, t) for t in some)
+
+
 def features(reader: Reader, text: str | None) -> list[float]:
     """Counts and weights of hits, by kind and context."""
     tokens = text.split() if text else []
@@ -266,7 +350,9 @@ def near_misses(by_word: DataFrame, model: Model) -> frozenset[str]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(model.terms, model.stems)
         for batch in batches:
-            keep = [(hit := trie.find(w)) is not None and hit[0] == "near" for w in batch.column(0).to_pylist()]
+            words = batch.column(0).to_pylist()
+            hits = trie.find_all(words)
+            keep = [w in hits and hits[w][0] == "near" for w in words]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     found = by_word.where((F.col("b") >= 2) & (F.col("b") >= F.col("a"))).select("word", "b").mapInArrow(run, "word string, b bigint")
@@ -295,18 +381,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     counts = rows.select("text", "toxic").mapInArrow(word_counts, "word string, around bigint, toxic int, n bigint")
     counts = counts.groupBy("word", "around", "toxic").agg(F.sum("n").alias("n"))
     by_word = stash(counts.groupBy("word").agg(F.sum(F.col("toxic")).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")))
-    # A stem has several forms, none of which makes up most of it; terms are the words that no stem begins.
+    # A stem has several forms, none of which makes up most of it; terms are all words that stand out, those of a stem too.
     begun = by_word.where(F.length("word") >= 4).withColumn("stem", F.explode(F.expr("transform(sequence(3, least(length(word) - 1, 8)), i -> substring(word, 1, i))")))
     begun = begun.groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.when(F.col("a") > 0, 1)).alias("forms"), F.max("a").alias("most")).where("forms >= 4 AND most <= 0.5 * a")
     stems = dict(outstanding(begun, "stem", MOST_STEMS))
-    rest = by_word.where(~F.regexp_like("word", F.lit("^(" + "|".join(map(re.escape, stems)) + ")"))) if stems else by_word
-    terms = dict(outstanding(rest, "word", MOST_TERMS))
+    terms = dict(outstanding(by_word, "word", MOST_TERMS))
     model = Model(terms, stems, ordinary=near_misses(by_word, Model(terms, stems)))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader()
         for batch in batches:
-            xs = [features(reader, t.as_py()) for t in batch.column(0)]
+            xs = list(features_of(reader, batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
     share = min(1.0, FIT_ROWS / max(1, rows.count()))
@@ -335,7 +420,7 @@ def scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader()
         for batch in batches:
-            scores = [model.score(features(reader, t.as_py())) for t in batch.column(1)]
+            scores = list(map(model.score, features_of(reader, batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return run
@@ -354,7 +439,7 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader()
         for batch in batches:
-            keep = [model.score(features(reader, t.as_py())) < limit for t in batch.column(at)]
+            keep = [model.score(x) < limit for x in features_of(reader, batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
