@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import stash
 
-#: Most labelled rows that the logistic model is fitted on; most terms, stems and ordinary words near a term of the lexicon.
-FIT_ROWS, MOST_TERMS, MOST_STEMS, MOST_ORDINARY = 20_000, 200, 60, 5_000
+#: Most labelled rows that the logistic model is fitted on.
+FIT_ROWS = 20_000
 #: Least log-likelihood ratio and least ratio of rates of a term.
 LEAST_LLR, LEAST_RATIO = 40.0, 8.0
 WINDOW = 6
@@ -284,7 +284,7 @@ def features(reader: Reader, text: str | None) -> list[float]:
 
 
 class Model:
-    """Lexicon and coefficients: some hundred terms, so tasks carry it."""
+    """Lexicon and coefficients, of the size of the toxic vocabulary and of what lies near to it; Spark sends larger ones to tasks as a broadcast."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], coefficients: list[float] | None = None, ordinary: frozenset[str] = frozenset()):
         self.terms, self.stems, self.coefficients, self.ordinary = terms, stems, coefficients, ordinary
@@ -329,8 +329,8 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def outstanding(counts: DataFrame, word: str, most: int) -> list[tuple[str, float]]:
-    """The entries (word, a toxic, b other) that stand out, with the log of their ratio of rates."""
+def outstanding(counts: DataFrame, word: str) -> list[tuple[str, float]]:
+    """All entries (word, a toxic, b other) that stand out, with the log of their ratio of rates."""
     total = counts.agg(F.sum("a").alias("a_all"), F.sum("b").alias("b_all")).first()
     a_all, b_all = float(total[0] or 0), float(total[1] or 0)
     if not a_all or not b_all:
@@ -341,11 +341,11 @@ def outstanding(counts: DataFrame, word: str, most: int) -> list[tuple[str, floa
     llr = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
     ratio = ((a + 0.5) / a_all) / ((b + 0.5) / b_all)
     found = counts.where(a > 0).select(word, llr.alias("llr"), ratio.alias("ratio")).where((F.col("llr") >= LEAST_LLR) & (F.col("ratio") >= LEAST_RATIO))
-    return [(r[0], math.log(r["ratio"])) for r in found.orderBy(F.desc("llr"), word).limit(most).collect()]
+    return [(r[0], math.log(r["ratio"])) for r in found.collect()]
 
 
 def near_misses(by_word: DataFrame, model: Model) -> frozenset[str]:
-    """Words of other texts that lie near a term by chance: the most frequent MOST_ORDINARY of those seen twice."""
+    """Words of other texts that lie near a term by chance: all that are seen twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(model.terms, model.stems)
@@ -355,8 +355,8 @@ def near_misses(by_word: DataFrame, model: Model) -> frozenset[str]:
             keep = [w in hits and hits[w][0] == "near" for w in words]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    found = by_word.where((F.col("b") >= 2) & (F.col("b") >= F.col("a"))).select("word", "b").mapInArrow(run, "word string, b bigint")
-    return frozenset(r[0] for r in found.orderBy(F.desc("b"), "word").limit(MOST_ORDINARY).collect())
+    found = by_word.where((F.col("b") >= 2) & (F.col("b") >= F.col("a"))).select("word").mapInArrow(run, "word string")
+    return frozenset(r[0] for r in found.collect())
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -384,8 +384,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     # A stem has several forms, none of which makes up most of it; terms are all words that stand out, those of a stem too.
     begun = by_word.where(F.length("word") >= 4).withColumn("stem", F.explode(F.expr("transform(sequence(3, least(length(word) - 1, 8)), i -> substring(word, 1, i))")))
     begun = begun.groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.when(F.col("a") > 0, 1)).alias("forms"), F.max("a").alias("most")).where("forms >= 4 AND most <= 0.5 * a")
-    stems = dict(outstanding(begun, "stem", MOST_STEMS))
-    terms = dict(outstanding(by_word, "word", MOST_TERMS))
+    stems = dict(outstanding(begun, "stem"))
+    terms = dict(outstanding(by_word, "word"))
     model = Model(terms, stems, ordinary=near_misses(by_word, Model(terms, stems)))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
