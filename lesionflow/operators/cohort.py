@@ -77,6 +77,52 @@ def correlations(vectors: DataFrame, key: str, vector: str, first: int) -> DataF
     return rows.groupBy("i", "j").agg(F.abs(F.corr("a", "b")).alias("abs_corr"))
 
 
+def all_correlations(vectors: DataFrame, vector: str) -> DataFrame:
+    """(i, j, abs_corr) of all pairs of places, i < j, as many as the longest vector has; rows where either value is missing do not count for a pair.
+
+    Each batch gives one row per pair: its number of rows, means and sums of squared deviations and products about
+    them, which merge exactly by the law of the parallel variance, so no offset of the values is lost to rounding."""
+    size = vectors.select(F.max(F.size(vector))).first()[0] or 0
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        i, j = np.triu_indices(size, 1)
+        for batch in batches:
+            x = np.full((batch.num_rows, size), np.nan)
+            for row, values in zip(x, batch.column(0).to_pylist()):
+                if values:
+                    row[: len(values)] = [np.nan if v is None else v for v in values]
+            seen = ~np.isnan(x)
+            z = np.where(seen, x, 0.0)
+            f = seen.astype(float)
+            n = f.T @ f
+            shift = z.sum(0) / np.maximum(1, f.sum(0))
+            z = np.where(seen, x - shift, 0.0)
+            a = z.T @ f  # sums of place i over the rows that have place j too
+            least = np.maximum(1, n)
+            xx = (z * z).T @ f - a * a / least
+            xy = z.T @ z - a * a.T / least
+            mean = shift[:, None] + a / least
+            keep = n[i, j] > 0
+            i_, j_ = i[keep], j[keep]
+            columns = [n[i_, j_], mean[i_, j_], mean[j_, i_], xx[i_, j_], xx[j_, i_], xy[i_, j_]]
+            yield pa.RecordBatch.from_arrays([pa.array(i_, pa.int32()), pa.array(j_, pa.int32()), *map(pa.array, columns)], ["i", "j", "n", "ma", "mb", "aa", "bb", "ab"])
+
+    parts = vectors.select(vector).mapInArrow(run, "i int, j int, n double, ma double, mb double, aa double, bb double, ab double")
+    parts = parts.groupBy("i", "j").agg(F.collect_list(F.struct("n", "ma", "mb", "aa", "bb", "ab")).alias("parts"))
+
+    def merged(s: Column, t: Column) -> Column:
+        n = s["n"] + t["n"]
+        da, db, w = t["ma"] - s["ma"], t["mb"] - s["mb"], s["n"] * t["n"] / n
+        return F.struct(n.alias("n"), (s["ma"] + da * t["n"] / n).alias("ma"), (s["mb"] + db * t["n"] / n).alias("mb"), (s["aa"] + t["aa"] + da * da * w).alias("aa"), (s["bb"] + t["bb"] + db * db * w).alias("bb"), (s["ab"] + t["ab"] + da * db * w).alias("ab"))
+
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "ma", "mb", "aa", "bb", "ab")))
+    whole = parts.select("i", "j", F.aggregate("parts", zero, merged).alias("s")).select("i", "j", "s.*")
+    return whole.select("i", "j", F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.abs(F.col("ab") / F.sqrt(F.col("aa")) / F.sqrt(F.col("bb")))).alias("abs_corr"))
+
+
 def standardised_pca(vectors: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
     """One row (component, explained) per component of the standardised features (population sd). Signs of components are arbitrary, so only shares are given."""
     from pyspark.ml.feature import PCA

@@ -244,6 +244,11 @@ def k06(spark, sf_dir):
     return cohort.correlations(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 8).withColumn("abs_corr", F.round("abs_corr", 6))
 
 
+@query("k06_correlations_whole")
+def k06_whole(spark, sf_dir):
+    return cohort.all_correlations(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding").withColumn("abs_corr", F.round("abs_corr", 6))
+
+
 @query("k07_pca")
 def k07(spark, sf_dir):
     return cohort.standardised_pca(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
