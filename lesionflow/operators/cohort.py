@@ -136,14 +136,17 @@ def standardised_pca(vectors: DataFrame, key: str, vector: str, k: int = 2) -> D
     return vectors.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(shares)], "component int, explained double")
 
 
-def bootstrap_difference(per_patient: DataFrame, draws: int = 2000) -> DataFrame:
-    """(draw, difference): the share of right calls of b less that of a, over patients drawn with replacement.
+def bootstrap_difference(per_patient: DataFrame, classes: list[str], draws: int = 2000) -> DataFrame:
+    """(draw, difference): the balanced accuracy of b less that of a, over patients drawn with replacement.
 
-    per_patient: (patient, n, a_right, b_right). A draw gives each patient a Poisson(1) number of copies from a
-    hash of (draw, patient), so draws are independent of how rows are spread and no patient list is gathered."""
+    per_patient: patient and, for each class c, n_c (its scans), a_c and b_c (those that a and b call so). Balanced
+    accuracy averages recall over the classes of the draw. A draw gives each patient a Poisson(1) number of copies
+    from a hash of (draw, patient), so draws are independent of how rows are spread and no patient list is gathered."""
     u = F.pmod(F.xxhash64("draw", "patient"), F.lit(1 << 30)) / float(1 << 30)
     cuts = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
     copies = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     rows = per_patient.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("copies", copies).where("copies > 0")
-    total = F.sum(F.col("copies") * F.col("n"))
-    return rows.groupBy("draw").agg((F.sum(F.col("copies") * F.col("b_right")) / total - F.sum(F.col("copies") * F.col("a_right")) / total).alias("difference"))
+    drawn = rows.groupBy("draw").agg(*(F.sum(F.col("copies") * F.col(f"{x}_{c}")).alias(f"{x}_{c}") for x in "nab" for c in classes))
+    gains = sum((F.when(F.col(f"n_{c}") > 0, (F.col(f"b_{c}") - F.col(f"a_{c}")) / F.col(f"n_{c}")).otherwise(0.0) for c in classes), F.lit(0.0))
+    present = sum((F.when(F.col(f"n_{c}") > 0, 1).otherwise(0) for c in classes), F.lit(0))
+    return drawn.where(present > 0).select("draw", (gains / present).alias("difference"))

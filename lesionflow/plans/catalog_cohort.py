@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -261,9 +261,17 @@ def k08(spark, sf_dir):
     return both.select("lost", "won", F.round(evaluate.sign_test(F.col("won"), F.col("won") + F.col("lost")), 6).alias("p"))
 
 
+def patient_counts(rows: DataFrame) -> DataFrame:
+    """Per patient and class: scans that both rules score, and the right calls of mrano_volumetric (a) and rano_classic_ported (b) on them."""
+    def of(name: str) -> Column:
+        return F.max(F.when(F.col("profile") == name, F.col("predicted")))
+
+    both = rows.groupBy("patient", "timepoint").agg(F.max("expert").alias("expert"), of("mrano_volumetric").alias("a"), of("rano_classic_ported").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    right = {"n": F.lit(True), "a": F.col("a") == F.col("expert"), "b": F.col("b") == F.col("expert")}
+    return both.groupBy("patient").agg(*(F.count(F.when((F.col("expert") == c) & hit, 1)).alias(f"{x}_{c}") for x, hit in right.items() for c in evaluate.CLASSES))
+
+
 @query("k09_bootstrap")
 def k09(spark, sf_dir):
-    rows = evaluate.scorable(catalog_rule.rule_calls(spark, sf_dir))
-    hit = (F.col("predicted") == F.col("expert")).cast("int")
-    per = rows.groupBy("patient").agg(F.count(F.when(F.col("profile") == "mrano_volumetric", 1)).alias("n"), F.sum(F.when(F.col("profile") == "mrano_volumetric", hit).otherwise(0)).alias("a_right"), F.sum(F.when(F.col("profile") == "rano_classic_ported", hit).otherwise(0)).alias("b_right"))
-    return cohort.bootstrap_difference(per, 200).agg(F.avg("difference").alias("mean"), F.percentile("difference", 0.025).alias("low"), F.percentile("difference", 0.975).alias("high"))
+    per = patient_counts(evaluate.scorable(catalog_rule.rule_calls(spark, sf_dir)))
+    return cohort.bootstrap_difference(per, evaluate.CLASSES).agg(F.avg("difference").alias("mean"), F.percentile("difference", 0.025).alias("low"), F.percentile("difference", 0.975).alias("high"))

@@ -226,6 +226,18 @@ def i14(spark, sf_dir):
     return rounded_summary(evaluate.class_figures(evaluate.confusion(evaluate.scorable(rule_calls(spark, sf_dir, GRID)), "profile"), "profile"), "profile")
 
 
+#: The whole grids of the survey: both one by one with the other guard as shipped, and floors by five limits; None is unlimited.
+FLOORS, LIMITS, JOINT = (0.0, 1.0, 3.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 524.0, 1000.0), (6.0, 8.0, 10.0, 12.0, 14.0, 16.0, 20.0, 26.0, 52.0, None), (8.0, 12.0, 16.0, 20.0, None)
+SHIPPED = rule.profile("mrano_volumetric")
+POINTS = dict.fromkeys([(f, SHIPPED["confirm_max_weeks"]) for f in FLOORS] + [(SHIPPED["floor_mm3"], w) for w in LIMITS] + [(f, w) for f in FLOORS for w in JOINT])
+WHOLE_GRID = [{**SHIPPED, "profile": f"floor={f:g}, late={'unlimited' if w is None else format(w, 'g')}", "floor_mm3": f, "confirm_max_weeks": w} for f, w in POINTS]
+
+
+@query("i14_guard_sweep_whole")
+def i14_whole(spark, sf_dir):
+    return rounded_summary(evaluate.class_figures(evaluate.confusion(evaluate.scorable(rule_calls(spark, sf_dir, WHOLE_GRID)), "profile"), "profile"), "profile")
+
+
 @query("i15_run_profiles", f"WITH {CALLS}, {PAIRS} SELECT profile, expert, predicted, arm, count(*) AS n FROM pairs GROUP BY ALL", "scans")
 def i15(spark, sf_dir):
     return evaluate.scorable(rule_calls(spark, sf_dir)).groupBy("profile", "expert", "predicted", "arm").agg(F.count(F.lit(1)).alias("n"))

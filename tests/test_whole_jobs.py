@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from lesionflow.operators import cohort
-from lesionflow.plans import catalog_cohort
+from lesionflow.operators import cohort, evaluate
+from lesionflow.plans import catalog_cohort, catalog_rule
 
 
 def test_correlations_of_all_pairs(spark, sf_dir):
@@ -30,3 +29,20 @@ def test_correlations_with_offset_missing_and_constant_values(spark):
     for (i, j), rows_ in {(0, 1): both, (0, 2): seen, (1, 2): both}.items():
         assert got[i, j] == pytest.approx(abs(np.corrcoef(x[rows_][:, i], x[rows_][:, j])[0, 1]), abs=1e-9)
     assert got[0, 3] is None and cohort.all_correlations(spark.createDataFrame([], "v array<double>"), "v").count() == 0
+
+
+def test_guard_sweep_has_the_whole_grids(spark, sf_dir):
+    got = {r.profile: r for r in catalog_rule.QUERIES["i14_guard_sweep_whole"](spark, sf_dir).collect()}
+    assert len(got) == 60 and sum("unlimited" in p for p in got) == 11 and sum("floor=10," in p for p in got) == 10
+    far = [{**catalog_rule.SHIPPED, "profile": "far", "confirm_max_weeks": 1e9}]
+    one = catalog_rule.rounded_summary(evaluate.class_figures(evaluate.confusion(evaluate.scorable(catalog_rule.rule_calls(spark, sf_dir, far)), "profile"), "profile"), "profile").first()
+    assert got["floor=10, late=unlimited"][1:] == one[1:]
+
+
+def test_bootstrap_is_of_balanced_accuracy(spark):
+    rows = [(p, f"t{i}", e, a, b) for p in range(3) for i, (e, a, b) in enumerate([("PD", "PD", "PD")] * 8 + [("CR", "PD", "CR"), ("SD", "SD", "PD"), ("SD", "PD", "SD"), ("SD", "PD", "SD")])]
+    rows.append((0, "only a", "PR", "PR", None))
+    calls = spark.createDataFrame([(p, t, e, n, c) for p, t, e, a, b in rows for n, c in (("mrano_volumetric", a), ("rano_classic_ported", b)) if c], "patient long, timepoint string, expert string, profile string, predicted string")
+    got = cohort.bootstrap_difference(catalog_cohort.patient_counts(calls), evaluate.CLASSES).collect()
+    assert 1800 < len(got) <= 2000  # draws without any of three patients have no figure
+    assert all(r.difference == pytest.approx((0 + 1 + 1 / 3) / 3) for r in got)
