@@ -48,6 +48,8 @@ GIVEN = {
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Максим Никита Олег Павел Роман Семён".split(),
 }
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na ne no ra re ro sa se so ta te to va vi".split(), "cyrillic": "ба бе бо да де до фа фе га го ка ке ла ле ло ма ме мо на не но ра ре ро са се со та те то ва ви".split()}
+#: The country code of an international number, by the public numbering plan, where enough digits follow to tell numbers apart.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})\d{5,}$"
 MOST_ATTEMPTS = 12
 
 
@@ -63,7 +65,7 @@ def canonical(kind: Column, mention: Column) -> Column:
     name = F.lower(F.regexp_replace(mention, r"^\S+ ", ""))
     female = F.regexp_extract(mention, r"^([^ .]+)", 1).isin(*FEMALE)
     named = F.concat(F.when(female, "f ").otherwise("m "), name)
-    return F.when(kind.isin("email", "ip"), F.lower(mention)).when(kind == "name", named).otherwise(bare)
+    return F.when(kind.isin("email", "ip"), F.lower(mention)).when(kind == "name", named).when((kind == "phone") & F.startswith(mention, F.lit("+")), F.concat(F.lit("+"), bare)).otherwise(bare)
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -107,7 +109,7 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("letters", F.filter(F.split("entity", ""), lambda c: c != ""))
     rows = rows.withColumn("fresh", F.transform("letters", character))
     rows = rows.withColumn("plain", F.array_join("fresh", ""))
-    # an e-mail address keeps the last label of its domain, an IBAN its country
+    # an e-mail address keeps the last label of its domain, an IBAN its country, an international number its country code
     tail = F.regexp_extract("entity", r"(\.[^.@]*)$", 1)
     email = F.concat(F.col("plain").substr(F.lit(1), F.length("plain") - F.length(tail)), tail)
     octets = F.array_join(F.transform(F.split("entity", r"\."), lambda o, i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
@@ -115,14 +117,16 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     body = F.slice("fresh", 1, 15)
     card = F.when(luhn(F.col("letters"), 0) % 10 == 0, F.concat(F.array_join(body, ""), F.pmod(F.lit(10) - luhn(body, 1) % 10, F.lit(10)).cast("string"))).otherwise(F.col("plain"))
     iban = F.concat(F.substring("entity", 1, 2), F.substring("plain", 3, 100))
+    country = F.regexp_extract("entity", COUNTRY, 1)
+    phone = F.when(country != "", F.concat(F.lit("+"), country, F.col("plain").substr(F.length(country) + 2, F.lit(100)))).otherwise(F.col("plain"))
     kind = F.col("kind")
     named = F.when(F.regexp_like("entity", F.lit(r"\p{IsCyrillic}")), name("cyrillic")).otherwise(name("latin"))
-    new = F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "secret", secret).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", named).otherwise(F.col("plain"))
+    new = F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "secret", secret).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "name", named).otherwise(F.col("plain"))
     return rows.withColumn("new", new).select(*entities.columns, "new")
 
 
 def with_rendered(mentions: DataFrame) -> DataFrame:
-    """Adds ``fresh``: the surrogate ``new`` in the mention's own way of writing (separators, case, title, country code)."""
+    """Adds ``fresh``: the surrogate ``new`` in the mention's own way of writing (separators, case, title)."""
     mention, kind = F.col("mention"), F.col("kind")
     rows = mentions.withColumn("chars", F.filter(F.split("mention", ""), lambda c: c != ""))
     rows = rows.withColumn("kept", F.filter(F.split(F.regexp_replace("new", r"[^\p{L}\p{N}]", ""), ""), lambda c: c != ""))
@@ -134,10 +138,8 @@ def with_rendered(mentions: DataFrame) -> DataFrame:
         return F.when(F.array_contains("places", i), F.when(F.regexp_like(c, F.lit(r"\p{Lu}")), F.upper(x)).otherwise(x)).otherwise(c)
 
     rows = rows.withColumn("styled", F.array_join(F.transform("chars", styled), ""))
-    code = F.regexp_extract(mention, r"^(\+\d{1,3})[ .-]", 1)
-    phone = F.concat(code, F.substring("styled", F.length(code) + 1, F.lit(200)))
     name = F.concat(F.regexp_extract(mention, r"^(\S+ )", 1), F.initcap(F.substring("new", 3, 200)))
-    fresh = F.when(kind == "ip", F.col("new")).when(kind == "name", name).when(kind == "phone", phone).otherwise(F.col("styled"))
+    fresh = F.when(kind == "ip", F.col("new")).when(kind == "name", name).otherwise(F.col("styled"))
     return rows.withColumn("fresh", fresh).select("mention", "kind", "fresh")
 
 
