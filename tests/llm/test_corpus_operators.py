@@ -240,44 +240,84 @@ def test_exact_groups_equal_brute_force_at_any_split(spark, documents):
     assert exact_dedup.exact_groups(odd.limit(0)).count() == 0
 
 
-def test_ppm_counts_and_scores(spark, documents):
-    docs = documents.select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-20, "")], "doc_id bigint, text string"))
-    train, n_docs = Counter(), 0
-    held = {}
-    for r in docs.collect():
-        held[r.doc_id] = zlib.crc32(str(r.doc_id).encode()) % 10 == 0
-        if not held[r.doc_id]:
-            train.update(words(r.text))
-            n_docs += 1
-    n, v = sum(train.values()) + n_docs, len(train) + 1
-    got = {r.doc_id: r for r in ppm.score_documents(docs).collect()}
-    texts = {r.doc_id: words(r.text) for r in docs.collect()}
-    assert set(got) == set(texts)
-    for d, r in got.items():
-        base = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in texts[d]) + math.log10((n_docs + 0.1) / (n + 0.1 * (v + 1)))
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(texts[d]) + 1, sum(train[w] > 0 for w in texts[d]) + 1, n)
+def ppm_by_the_book(train, text):
+    """log10 probability of a text under PPM with method D escapes, exclusion and update exclusion; train: words of the training texts."""
+    table = defaultdict(Counter)
+    for ws in train:
+        whole = ppm.END * ppm.ORDER + b" ".join(ws) + ppm.END
+        for i in range(ppm.ORDER, len(whole)):
+            for k in range(ppm.ORDER, -1, -1):
+                own = table[whole[i - k : i]]
+                own[whole[i]] += 1
+                if own[whole[i]] > 1:
+                    break
+
+    def code_length(context, symbol):
+        total, excluded = 0.0, set()
+        for k in range(len(context) + 1):
+            own = {s: n for s, n in table.get(context[k:], {}).items() if s not in excluded}
+            if not own:
+                continue
+            if symbol in own:
+                return total + math.log10((own[symbol] - 0.5) / sum(own.values()))
+            total += math.log10(len(own) / 2 / sum(own.values()))
+            excluded |= own.keys()
+        return total - math.log10(256 - len(excluded))
+
+    def of(ws):
+        whole = ppm.END * ppm.ORDER + b" ".join(ws) + ppm.END
+        return sum(code_length(whole[i - ppm.ORDER : i], whole[i]) for i in range(ppm.ORDER, len(whole)))
+
+    return of(text) if text is not None else code_length
+
+
+def test_ppm_equals_brute_force(spark, documents):
+    more = [(-1, None), (-20, ""), (-21, "Zz \x1c\x85 日本 " + "x" * 3000), (None, "no id, yet it trains"), (3, "an id twice"), (3, "an id twice")]
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id bigint, text string"))
+    rows = [(r.doc_id, words(r.text)) for r in docs.collect()]
+    held = {d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows}
+    train = [ws for d, ws in rows if not held[d]]
+    counts = Counter(w for ws in train for w in ws)
+    n, v = sum(counts.values()) + len(train), len(counts) + 1
+    got = ppm.score_documents(docs).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    texts, by = dict(rows), {r.doc_id: r for r in got}
+    for d, r in by.items():
+        if d == 3:
+            continue
+        ws = texts[d]
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws) + math.log10((len(train) + 0.1) / (n + 0.1 * (v + 1)))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(ws) + 1, sum(counts[w] > 0 for w in ws) + 1, n)
         assert r.base_score == pytest.approx(base, abs=1e-6) and r.score < 0
-    counts = defaultdict(dict)
-    for w in train:
-        for c, s in ppm.spelt(w):
-            for j in range(len(c) + 1):
-                t = counts[c[len(c) - j :]]
-                t[s] = t.get(s, 0) + 1
-    some = next(d for d in got if held[d] and any(w not in train for w in texts[d]))
-    score = 0.0
-    for w in texts[some]:
-        if train[w]:
-            score += math.log10(train[w] / (n + v))
-        else:
-            score += math.log10(v / (n + v)) + sum(ppm.code_length([counts.get(c[len(c) - j :]) for j in range(len(c), -1, -1)], s) for c, s in ppm.spelt(w))
-    assert got[some].score == pytest.approx(score + math.log10(n_docs / (n + v)), abs=1e-6)
+    table = ppm_by_the_book(train, None)
+    for d in (d for d in by if d != 3 and (held[d] or d in (-1, -20, -21))):
+        whole = ppm.END * ppm.ORDER + b" ".join(texts[d]) + ppm.END
+        want = sum(table(whole[i - ppm.ORDER : i], whole[i]) for i in range(ppm.ORDER, len(whole)))
+        assert by[d].score == pytest.approx(want, rel=1e-5)
     assert ppm.score_documents(docs_of(spark, ODD)).count() == len(ODD)
     assert ppm.score_documents(docs.limit(0)).count() == 0
+    untrained = ppm.score_documents(spark.createDataFrame([(-1, "ab")], "doc_id bigint, text string").where("doc_id < 0")).collect()
+    assert untrained[0].score < 0
+
+
+def test_ppm_beats_the_base_and_knows_word_order(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = ppm.score_documents(docs).where("held_out").agg(F.avg("score"), F.avg("base_score")).first()
+    assert got[0] > got[1]
+    train = [b"one two three four".split(), b"one two five".split()]
+    assert ppm_by_the_book(train, b"one two three".split()) > ppm_by_the_book(train, b"three one two".split())
+
 
+def test_ppm_probabilities_sum_to_one():
+    import numpy as np
 
-def test_ppm_excludes_and_sums_to_one():
-    tables = [{97: 3, 98: 1}, {97: 5, 99: 2}, {97: 1, 98: 1, 99: 1, 100: 4}]
-    assert sum(10 ** ppm.code_length(tables, s) for s in range(257)) == pytest.approx(1.0)
+    rng = np.random.default_rng(1)
+    bodies = [bytes(rng.integers(97, 100, 40).astype(np.uint8)) for _ in range(6)]
+    keys, counts = np.unique(ppm.windows(bodies)[0], return_counts=True)
+    chain = ppm.levels(keys, counts, ppm.ORDER, None)
+    for context in (keys[5], keys[50], np.uint64(int.from_bytes(b"zzzzz?", "big"))):
+        every = (context >> np.uint64(8) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        assert (10 ** ppm.code_lengths(chain, every)).sum() == pytest.approx(1.0)
 
 
 def linked_components(texts):
