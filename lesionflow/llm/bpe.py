@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text and new pieces in a block; rows in an output batch.
-BLOCK_CHARS, BLOCK_PIECES, ROWS_OUT = 24_000_000, 400_000, 2_000
+BLOCK_CHARS, BLOCK_PIECES, ROWS_OUT = 6_000_000, 150_000, 1_000
 
 
 #: What may count as white space; no other character comes near a single space that is cut at.
@@ -121,6 +121,7 @@ def replay(words: list[bytes], merges: Merges) -> dict[bytes, list[int]]:
             continue
         if len(held) > 1:
             at = distinct(at)
+        open_ = at
         taken[at] = True
         follows = (p := before[at]) >= 0
         if (follows & taken[p]).any():  # pairs that share a token: the left one is merged
@@ -132,10 +133,12 @@ def replay(words: list[bytes], merges: Merges) -> dict[bytes, list[int]]:
             taken[at] = True
         k = after[after[at]]
         inner = k >= 0
-        # Where merging one place makes a pair of lower rank, the word's other places wait for it.
+        # Where merging one place makes a pair of lower rank, also with the place merged next to it, the word's other places wait for it.
         lower = np.zeros(len(at), bool)
         between = merges(np.full(int(inner.sum()), r, np.int32), ids[k[inner]])
         lower[inner] = (between >= 0) & (between < r)
+        if (next_to := taken[k] & inner).any():
+            lower |= next_to & (0 <= (twice := int(merges(np.array([r], np.int32), np.array([r], np.int32))[0])) < r)
         p = before[at]
         outer = p >= 0
         ahead = merges(ids[p[outer]], np.full(int(outer.sum()), r, np.int32))
@@ -146,9 +149,9 @@ def replay(words: list[bytes], merges: Merges) -> dict[bytes, list[int]]:
             now = ~slow
             now[first] = True
             taken[at[~now]] = False
-            if not now.all():
+            if slow.any():  # with the places that were passed over for a left one that now waits
                 heapq.heappush(heap, r)
-                index[r] = [at[~now]]
+                index[r] = [open_[np.isin(owner[open_], owner[at[slow]])]]
             at, k, inner = at[now], k[now], inner[now]
         taken[at] = False
         gone = after[at]

@@ -6,18 +6,21 @@ stretch of text as long as an item lies whole in some window. Scores are divided
 against itself, hence one threshold serves all items, and all items at or above it are retrieved:
 
 * postings of a term are sorted by item and cut into blocks that know their largest impact;
-* windows whose sum of upper bounds stays below the threshold in every range of items are left out at once;
+* windows whose sum of upper bounds stays below the threshold in every range of items are left out at once, first by ranges of 8 items
+  and all windows of a text together, then by ranges of 2 items and the window's distinct terms;
 * else, in the ranges that are left, the cursors move as in WAND: the pivot is the first item at which the bounds reach the threshold,
   the block maxima at the pivot are checked before scoring, and a failed check skips to the end of the
   shallowest block.
 
 A retrieved pair counts when the window holds at least ``overlap`` of the item's question n-grams and of
-its answer n-grams (the answer: the last quarter of the words; n is 5, or less for very short parts).
+its answer n-grams (the answer: the last quarter of the words; n is a third of the part's words, 1 to 5, so that
+one changed word leaves half of the n-grams of any part).
 
 Items are sent to the tasks in shards of at most SHARD_WORDS words, one pass over the documents for each,
 so nothing unbounded is broadcast; document frequencies are counted over all items beforehand. Null and
-empty texts have no passages; items without words match nothing; repeated rows are each searched, and
-``contaminated`` returns a pair once; further columns are ignored by it and kept by ``drop_contaminated``.
+empty texts have no passages; items without words match nothing; an item_id with several texts is found by any of
+them; repeated rows are each searched, and ``contaminated`` returns a pair once; further columns are ignored
+by it and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -40,14 +43,15 @@ BLOCK = 32
 #: Words of items in one shard of the index.
 SHARD_WORDS = 2_000_000
 LEAST_CLASS = 16
-#: Most cells of the table of bounds by term and range of items.
-RANGE_CELLS = 4_000_000
+#: Most cells of a table of bounds by term and range of items; least items in a range of the coarse and the fine table; what sums of bounds may lose by rounding.
+RANGE_CELLS, COARSE, FINE, ROUNDING = 4_000_000, 3, 2, 1e-5
+SIGNS = b".,;:!?\"'()[]{}<>|*#$%&"
 NGRAM = 5
 
 
 def edges(ws: list[bytes]) -> list[bytes]:
     """Words without signs at their edges."""
-    return [w.strip(b".,;:!?\"'()[]{}<>|*#$%&") or w for w in ws]
+    return [w.strip(SIGNS) or w for w in ws]
 
 
 def grams(ws: list[bytes], n: int) -> list[bytes]:
@@ -64,7 +68,7 @@ class Item:
         """Shares of the question's and the answer's n-grams in the window; an item of one word has no answer and 1.0."""
         out = []
         for part in (self.question, self.answer):
-            n = min(NGRAM, len(part))
+            n = max(1, min(NGRAM, len(part) // 3)) if part else 0
             own = grams(part, n) if n else []
             held = set(grams(window, n)) if own else ()
             out.append(sum(g in held for g in own) / len(own) if own else 1.0)
@@ -90,9 +94,9 @@ class Index:
             self.postings[t] = numbers, impacts, peaks, max(peaks)
         self.bound = {t: p[3] for t, p in self.postings.items()}
 
-    def range_bounds(self, terms: list[bytes]) -> np.ndarray:
-        """Largest impact of each term in each range of items; as many ranges as RANGE_CELLS allows, 8 items or more in each."""
-        ranges = max(1, min(math.ceil(len(self.items) / 8), RANGE_CELLS // max(1, len(terms))))
+    def range_bounds(self, terms: list[bytes], least: int) -> np.ndarray:
+        """Largest impact of each term in each range of items; as many ranges as RANGE_CELLS allows, ``least`` items or more in each."""
+        ranges = max(1, min(math.ceil(len(self.items) / least), RANGE_CELLS // max(1, len(terms))))
         out = np.zeros((len(terms), ranges), np.float32)
         for row, t in enumerate(terms):
             for number, impact in zip(*self.postings[t][:2]) if t in self.postings else ():
@@ -155,32 +159,44 @@ class Searcher:
     def __init__(self, classes: dict[int, Index]):
         self.classes = classes
         self.terms = [b"", *dict.fromkeys(t for index in classes.values() for t in index.bound)]
+        coarse = {length: index.range_bounds(self.terms, COARSE) for length, index in classes.items()}
+        self.fine = {length: index.range_bounds(self.terms, FINE) for length, index in classes.items()}
+        ends = np.cumsum([x.shape[1] for x in coarse.values()]).tolist()
+        self.columns = {length: slice(end - x.shape[1], end) for (length, x), end in zip(coarse.items(), ends)}
+        self.coarse = np.concatenate(list(coarse.values()), axis=1) if coarse else np.zeros((1, 0), np.float32)
         self.number = {t: i for i, t in enumerate(self.terms)}
-        self.bounds = {length: index.range_bounds(self.terms) for length, index in classes.items()}
-        self.seen = Known(self.number)
+
+    def likely(self, numbers: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """For each length class the places of the windows whose bounds reach the threshold in some coarse range."""
+        n, held = len(numbers), np.flatnonzero(numbers)
+        if not len(held):
+            return
+        cell = held // LEAST_CLASS
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        widest = max(self.classes) // LEAST_CLASS
+        sums = np.zeros(((n // (widest * LEAST_CLASS) + 2) * widest, self.coarse.shape[1]), np.float32)
+        sums[cell[starts]] = np.add.reduceat(self.coarse[numbers[held]], starts, axis=0)
+        for length in self.classes:
+            windows = len(range(0, max(1, n - length), length))
+            step = length // LEAST_CLASS
+            own = sums[: (windows + 1) * step, self.columns[length]].reshape(windows + 1, step, -1).sum(axis=1)
+            yield length, ((own[:-1] + own[1:]).max(axis=1) >= threshold - ROUNDING).nonzero()[0]
 
     def __call__(self, text: str | None, threshold: float, overlap: float) -> dict[int, tuple[float, float, float]]:
         """item_id -> (score, question overlap, answer overlap) of the verified items of a text, the best window of each."""
         raw = words(text)
-        n = len(raw)
         out: dict[int, tuple[float, float, float]] = {}
-        if not n:
-            return out
-        numbers = np.fromiter(map(self.seen.__getitem__, raw), np.int64, n)
-        for length, index in self.classes.items():
-            bounds = self.bounds[length]
-            sums = np.zeros((n + 1, bounds.shape[1]))
-            np.cumsum(bounds[numbers], axis=0, out=sums[1:])
-            first = np.arange(0, max(1, n - length), length)
-            # a little is allowed for the rounding of sums
-            likely = (sums[np.minimum(first + 2 * length, n)] - sums[first]).max(axis=1) >= threshold - 1e-6
-            for at in first[likely].tolist():
+        known = self.number.get  # a word with a sign at an edge stands for the one without
+        numbers = np.array([known(w) or (known(w.strip(SIGNS), 0) if w[-1] in SIGNS or w[0] in SIGNS else 0) for w in raw], np.int64)
+        for length, places in self.likely(numbers, threshold):
+            index, fine = self.classes[length], self.fine[length]
+            for at in (places * length).tolist():
                 inside = np.array(list(set(numbers[at : at + 2 * length].tolist())))
-                ranges = np.flatnonzero(bounds[inside].sum(axis=0) >= threshold - 1e-6).tolist()
+                ranges = np.flatnonzero(fine[inside].sum(axis=0) >= threshold - ROUNDING).tolist()
                 if not ranges:
                     continue
                 window, terms = None, [t for i in inside.tolist() if (t := self.terms[i]) in index.bound]
-                for number, score in (x for r in ranges for x in index.search(terms, threshold, *index.range(r, bounds.shape[1]))):
+                for number, score in (x for r in ranges for x in index.search(terms, threshold, *index.range(r, fine.shape[1]))):
                     item = index.items[number]
                     window = window or edges(raw[at : at + 2 * length])
                     q, a = item.overlaps(window)
@@ -189,22 +205,9 @@ class Searcher:
         return out
 
 
-class Known(dict):
-    """Term numbers of raw words."""
-
-    def __init__(self, number: dict[bytes, int]):
-        self.number = number
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = found = self.number.get(*edges([word]), 0)
-        return found
-
-
 def shards(items: DataFrame) -> Iterator[dict[int, Index]]:
     """The index by length class, one shard after the other."""
-    rows = items.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
+    rows = items.where(F.col("item_id").isNotNull()).select("item_id", "text").distinct()
     tokens = F.filter(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     rows = stash(rows.select("item_id", "text", F.size(tokens).cast("long").alias("n")).where("n > 0"))
     n_items, mean, total = rows.agg(F.count(F.lit(1)), F.avg("n"), F.sum("n")).first()

@@ -47,17 +47,32 @@ def test_bpe_equals_the_tiktoken_library(spark, documents):
     assert bpe.encode(docs.limit(0), ranks, P.PATTERN).count() == 0
 
 
+def merged_one_by_one(word, ranks):
+    parts = [bytes([b]) for b in word]
+    while len(parts) > 1:
+        best = min(((ranks.get(a + b, 10**9), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
+        if best[0] == 10**9:
+            break
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    return [ranks[p] for p in parts]
+
+
 def test_bpe_lower_rank_after_a_merge_waits():
-    ranks = {bytes([b]): b + 10 for b in range(256)} | {b"ab": 300, b"abc": 5, b"bc": 400}
+    import random
+
+    random.seed(5)
+    ranks = {bytes([b]): b + 1000 for b in range(256)} | {b"ab": 300, b"abc": 5, b"bc": 400}
     merges = bpe.Merges(ranks)
     for word in (b"abcabc", b"ababcab", b"bcabcbc"):
-        parts = [bytes([b]) for b in word]
-        while len(parts) > 1:
-            best = min(((ranks.get(a + b, 10**9), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
-            if best[0] == 10**9:
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        assert bpe.replay([word], merges)[word] == [ranks[p] for p in parts]
+        assert bpe.replay([word], merges)[word] == merged_one_by_one(word, ranks)
+    assert bpe.replay([b"bbbbb"], bpe.Merges({bytes([b]): b + 1000 for b in range(256)} | {b"bb": 77, b"bbb": 18}))[b"bbbbb"] == [18, 77]
+    for _ in range(60):
+        made = {bytes(random.choices(b"abc", k=random.randint(2, 5))) for _ in range(random.randint(2, 14))}
+        ranks = {bytes([b]): b + 1000 for b in range(256)} | dict(zip(made, random.sample(range(900), len(made))))
+        some = list({bytes(random.choices(b"abc", k=random.randint(1, 14))) for _ in range(120)})
+        got = bpe.replay(some, bpe.Merges(ranks))
+        for word in some:
+            assert got[word] == ([ranks[word]] if word in ranks else merged_one_by_one(word, ranks)), (word, made)
 
 
 def test_url_rules_and_odd_urls(spark):
@@ -149,6 +164,51 @@ def test_decontamination_equals_brute_force(spark, sf_dir, documents):
     assert kept == {r.doc_id for r in documents.collect()} - {d for d, _ in got}
 
 
+def test_decontamination_scores_equal_brute_force(spark, sf_dir, documents):
+    """Every window against every item by plain BM25; the pairs, their best scores and overlaps must be the same."""
+    items = [r for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if words(r.text)]
+    held = [(r.item_id, decontam.edges(words(r.text))) for r in items]
+    df, mean = Counter(t for _, ws in held for t in set(ws)), sum(len(ws) for _, ws in held) / len(held)
+
+    def impacts(ws):
+        idf = lambda t: math.log(1 + (len(held) - df[t] + 0.5) / (df[t] + 0.5))
+        out = {t: idf(t) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for t, n in Counter(ws).items()}
+        return {t: x / sum(out.values()) for t, x in out.items()}
+
+    def share(part, window):
+        n = max(1, min(5, len(part) // 3))
+        own = [part[i : i + n] for i in range(len(part) - n + 1)]
+        there = {tuple(window[i : i + n]) for i in range(len(window) - n + 1)}
+        return sum(tuple(g) in there for g in own) / len(own)
+
+    indexed = [(item, ws, impacts(ws), max(16, 1 << (len(ws) - 1).bit_length())) for item, ws in held]
+    want = {}
+    for r in documents.collect():
+        ws = decontam.edges(words(r.text))
+        for length in {x[3] for x in indexed}:
+            for at in range(0, max(1, len(ws) - length), length):
+                window = ws[at : at + 2 * length]
+                terms = set(window)
+                for item, own, impact, of in indexed:
+                    if of == length and (score := sum(x for t, x in impact.items() if t in terms)) >= 0.5:
+                        cut = len(own) - max(1, len(own) // 4)
+                        found = (round(score, 6), share(own[:cut], window), share(own[cut:], window))
+                        if min(found[1:]) >= 0.5:
+                            want[r.doc_id, item] = max(found, want.get((r.doc_id, item), found))
+    docs, bench = documents.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): (round(r.score, 6), r.question_overlap, r.answer_overlap) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == want and want
+
+
+def test_one_changed_word_does_not_hide_an_item(spark):
+    said = "which of these many rivers flows through the old town of the northern plain and what is it called by those who live along its lower banks today".split()
+    items = spark.createDataFrame([(1, " ".join(said)), (1, "an item with one more text is found by either of them as well"), *((i, f"filler item number {i} speaks of other things such as {i * 7} and {i * 11}") for i in range(2, 30))], "item_id bigint, text string")
+    rows = [(i, "he asked " + " ".join([*said[:i], "zebra", *said[i + 1 :]]) + " and left") for i in range(len(said))]
+    rows += [(100, "an item with one more text is found by either of them as well")]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), items)
+    assert {r.doc_id for r in got.where("item_id = 1").collect()} == {r[0] for r in rows}
+
+
 def test_wand_retrieves_all_above_the_threshold():
     import random
 
