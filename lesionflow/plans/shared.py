@@ -9,24 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local temporary one where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a local temporary one in local mode (tests), an error on a cluster."""
     java = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None and java.getCheckpointDir().isDefined():
         found = java.getCheckpointDir().get()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-lesionflow-", dir="/tmp")
     if java.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes the rows as Parquet into the shared folder and reads them back: lineage ends here, the
     plan that follows knows the size, and a lost executor costs only its own tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
