@@ -20,7 +20,6 @@ import hashlib
 import heapq
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text and new pieces in a block; rows in an output batch.
-BLOCK_CHARS, BLOCK_PIECES, ROWS_OUT = 6_000_000, 150_000, 1_000
+BLOCK_CHARS, BLOCK_PIECES, ROWS_OUT = 24_000_000, 250_000, 1_000
 
 
 #: What may count as white space; no other character comes near a single space that is cut at.
@@ -72,16 +71,16 @@ def distinct(places: np.ndarray) -> np.ndarray:
     return places[keep]
 
 
-def replay(words: list[bytes], merges: Merges) -> dict[bytes, list[int]]:
-    """The ids of each word, all merges replayed over all words together.
+def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and the ids of all words end to end; all merges are replayed over all words together.
 
     ``pair[i]`` is the rank of the pair that begins at position i, -1 where none does; the index holds
     positions by rank, some of them stale, and ``pair`` tells which still hold."""
     ranks = merges.ranks
-    whole = {w: [ranks[w]] for w in words if w in ranks}
-    rest = [w for w in words if w not in whole]
+    whole = np.array([ranks.get(w, -1) for w in words], np.int64)
+    rest = [w for w in words if w not in ranks]
     if not rest:
-        return whole
+        return np.ones(len(words), np.int64), whole.astype(np.int32)
     lengths = np.array([len(w) for w in rest])
     ids = merges.bytes[np.frombuffer(b"".join(rest), np.uint8)]
     ends = np.cumsum(lengths)
@@ -91,7 +90,9 @@ def replay(words: list[bytes], merges: Merges) -> dict[bytes, list[int]]:
     after[ends - 1], before[ends - lengths] = -1, -1
     pair = np.full(n, -1, np.int32)
     heads = np.flatnonzero(after >= 0).astype(np.int32)
-    pair[heads] = merges(ids[heads], ids[heads + 1])
+    for a in range(0, len(heads), 500_000):  # in parts, as a lookup takes many times its input's room
+        some = heads[a : a + 500_000]
+        pair[some] = merges(ids[some], ids[some + 1])
     index: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
@@ -166,13 +167,12 @@ def replay(words: list[bytes], merges: Merges) -> dict[bytes, list[int]]:
         pair[p] = merges(ids[p], ids[after[p]])
         enter(distinct(np.concatenate([at, p])))
     kept = np.flatnonzero(alive)
-    counts = np.bincount(owner[kept], minlength=len(rest))
-    out = ids[kept].tolist()
-    start = 0
-    for word, m in zip(rest, counts.tolist()):
-        whole[word] = out[start : start + m]
-        start += m
-    return whole
+    counts = np.ones(len(words), np.int64)
+    counts[whole < 0] = np.bincount(owner[kept], minlength=len(rest))
+    out = np.empty(int(counts.sum()), np.int32)
+    single = np.repeat(whole >= 0, counts)
+    out[single], out[~single] = whole[whole >= 0], ids[kept]
+    return counts, out
 
 
 def spread(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -182,17 +182,33 @@ def spread(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 class Numbered(dict):
-    """Pieces of text by number; a new one gets the next number of the list it joins."""
+    """Numbers of strings; a new one gets the next number of the list that it joins, which holds those not yet encoded."""
 
-    def __init__(self, pieces: list[str], lead: str):
-        self.pieces, self.lead = pieces, lead
+    def __init__(self, new: list[str], lead: str = "", counter: list[int] | None = None):
+        self.new, self.lead, self.counter = new, lead, [0] if counter is None else counter
 
     def __missing__(self, piece: str) -> int:
-        self.pieces.append(self.lead + piece)
-        self[piece] = found = len(self.pieces) - 1
+        self.new.append(self.lead + piece)
+        self[piece] = found = self.counter[0]
+        self.counter[0] += 1
         return found
 
 
+class Strings:
+    """Ids of numbered strings, end to end."""
+
+    def __init__(self) -> None:
+        self.ids, self.at, self.len = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.len = np.concatenate([self.len, lengths])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        return spread(self.ids, self.at[numbers], self.len[numbers])
+
+
 class Codec:
     """Encodes and decodes the documents of a task; ids are numpy arrays of unsigned 32-bit integers.
 
@@ -213,10 +229,11 @@ class Codec:
         self.clear()
 
     def clear(self) -> None:
-        self.pieces: list[str] = []
-        self.raw, self.spaced = Numbered(self.pieces, ""), Numbered(self.pieces, " ")
-        self.words: dict[str, list[int]] = {}
-        self.ids, self.at, self.len = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new_pieces: list[str] = []
+        self.new_words: list[str] = []
+        self.seen = [0]
+        self.raw, self.spaced = Numbered(self.new_pieces, "", self.seen), Numbered(self.new_pieces, " ", self.seen)
+        self.words, self.pieces, self.of_words = Numbered(self.new_words), Strings(), Strings()
 
     def note(self, text: str | None) -> array:
         """The numbers of the text's pieces."""
@@ -231,28 +248,26 @@ class Codec:
 
     def settle(self) -> None:
         """Encodes the pieces that came since the last call."""
-        gc.disable()  # nothing here has cycles, and the many small lists would be searched for them again and again
+        gc.disable()  # nothing here has cycles, and the many small objects would be searched for them again and again
         try:
-            self.settle_new()
+            numbers, each = array("I"), array("I")
+            for piece in self.new_pieces:
+                own = self.find(piece)
+                each.append(len(own))
+                numbers.extend(map(self.words.__getitem__, own))
+            self.new_pieces.clear()
+            self.of_words.add(*replay([w.encode("utf-8") for w in self.new_words], self.merges))
+            self.new_words.clear()
+            numbers, each = (np.frombuffer(x, np.uint32) if len(x) else np.zeros(0, np.uint32) for x in (numbers, each))
+            ends = np.r_[0, np.cumsum(self.of_words.len[numbers])]
+            stops = np.cumsum(each)
+            self.pieces.add(ends[stops] - ends[stops - each], self.of_words.of(numbers))
         finally:
             gc.enable()
 
-    def settle_new(self) -> None:
-        split = list(map(self.find, self.pieces[len(self.at) :]))
-        new = set(chain.from_iterable(split)).difference(self.words)
-        raw = {w.encode("utf-8"): w for w in new}
-        for word, ids in replay(list(raw), self.merges).items():
-            self.words[raw[word]] = ids
-        of = self.words.__getitem__
-        ids = [of(ws[0]) if len(ws) == 1 else list(chain.from_iterable(map(of, ws))) for ws in split]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.len = np.concatenate([self.len, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
-
     def encode(self, noted: array) -> np.ndarray:
         numbers = np.frombuffer(noted, np.uint32) if len(noted) else np.zeros(0, np.uint32)
-        return spread(self.ids, self.at[numbers], self.len[numbers])
+        return self.pieces.of(numbers)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return spread(self.token_bytes, self.token_at[ids], self.token_len[ids]).tobytes()
@@ -271,14 +286,14 @@ def coded(make: Callable[[], Codec], report: Callable[[Codec, np.ndarray], tuple
                 rows = zip(*(report(codec, codec.encode(noted)) for _, noted in part))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), *(pa.array(c, k) for c, k in zip(rows, kinds))], names)
             held.clear()
-            if len(codec.pieces) > BLOCK_PIECES:
+            if codec.seen[0] > BLOCK_PIECES:
                 codec.clear()
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held.append((key, codec.note(text := text.as_py())))
                 chars += len(text) if text else 0
-                if chars > BLOCK_CHARS or len(codec.pieces) - len(codec.at) > BLOCK_PIECES:
+                if chars > BLOCK_CHARS or len(codec.new_pieces) > BLOCK_PIECES:
                     yield from finish()
                     chars = 0
         if held:

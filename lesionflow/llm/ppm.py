@@ -401,7 +401,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
-    dealt = stash(docs.select("doc_id", "text").mapInArrow(deal(buckets), DEALT))
+    dealt = stash(docs.select("doc_id", "text").mapInArrow(deal(buckets), DEALT), compression="zstd")
     trains = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0, F.lit(True))
     ends = dealt.where((F.col("kind") == TEXT) & trains).count()
 
