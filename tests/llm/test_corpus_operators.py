@@ -426,6 +426,37 @@ def test_near_groups_equal_brute_force(spark, documents, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, c in want.items() if d == c)
 
 
+def test_near_groups_lose_no_pair_at_the_limit(spark):
+    """2,000 pairs of texts whose similarity is 96 / 128 = 0.75 exactly, and 500 at 95 / 127, just below."""
+    import random
+
+    random.seed(11)
+    word = lambda: f"w{random.randrange(10**9)}"
+    rows = []
+    for i in range(2_500):
+        shared = [word() for _ in range(100 if i < 2_000 else 99)]
+        rows += [(2 * i, " ".join(shared + [word() for _ in range(16)])), (2 * i + 1, " ".join(shared + [word() for _ in range(16)]))]
+    got = {r.doc_id: r.component_id for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = sum(got[2 * i + 1] == 2 * i for i in range(2_000))
+    assert found >= 1_999  # each is missed with a chance of about 3e-5
+    assert all(got[2 * i + 1] == 2 * i + 1 for i in range(2_000, 2_500))
+
+
+def test_near_groups_join_a_family_by_links_that_no_star_has(spark, monkeypatch):
+    """A chain: each text links with the next ones only, and ids are shuffled so that centres lie anywhere."""
+    import random
+
+    random.seed(12)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2_000)
+    flow = [f"w{i}" for i in range(1_500)]
+    ids = random.sample(range(1_000), 140)
+    rows = [(d, " ".join(flow[10 * i : 10 * i + 104])) for i, d in enumerate(ids)]
+    rows += [(2_000 + i, " ".join(flow[24 * i : 24 * i + 104])) for i in range(50)]
+    got = {r.doc_id: r.component_id for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == linked_components(dict(rows))[0]
+
+
 def test_near_groups_of_odd_rows(spark):
     odd = docs_of(spark, ODD)
     got = {r.doc_id: r for r in neardup.near_groups(odd).collect()}
