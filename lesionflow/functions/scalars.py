@@ -53,45 +53,3 @@ def cosines(a: list[list[Column]]) -> list[list[Column]]:
     """Columns divided by their lengths; zero columns stay zero."""
     s = spacing(a)
     return [[F.when(s[j] > 0, a[i][j] / s[j]).otherwise(0.0) for j in range(3)] for i in range(3)]
-
-
-def cleaned_rationale(text: Column) -> Column:
-    """'' for blank text and ``none``; else the abbreviations in full."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    full = F.replace(F.replace(F.replace(F.replace(t, F.lit("L."), F.lit("lesion")), F.lit("Progr."), F.lit("progression")), F.lit("CRET"), F.lit("complete resection of enhancing tumour")), F.lit("PRET"), F.lit("partial resection of enhancing tumour"))
-    return F.when(F.lower(t).isin("", "none"), "").otherwise(full)
-
-
-PAIR = r"(\d+)\s*(?:mm)?\s*x\s*(\d+)\s*mm"
-
-
-def measured_pairs(text: Column) -> Column:
-    """array<struct<product, long_mm, short_mm>> of all ``a x b mm`` in a text."""
-    first, second = (F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PAIR), F.lit(i)) for i in (1, 2))
-    return F.transform(F.arrays_zip(first.alias("a"), second.alias("b")), lambda p: F.struct(
-        (p["a"].cast("double") * p["b"].cast("double")).alias("product"), F.greatest(p["a"].cast("double"), p["b"].cast("double")).alias("long_mm"), F.least(p["a"].cast("double"), p["b"].cast("double")).alias("short_mm")))
-
-
-#: What a rationale may mention, and the pattern (in lower case) that tells.
-MENTIONS = {"target": "target", "non_target": "non-target", "new": r"\bnew\b", "t2": r"\bt2", "resection": "cret|pret", "irradiated": "irradiated", "early": "less than 3 months"}
-
-
-def mentions(text: Column) -> dict[str, Column]:
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    return {k: F.regexp_like(lower, F.lit(p)) for k, p in MENTIONS.items()}
-
-
-def bucket_labels(text: Column) -> Column:
-    """All labels that a rationale carries, in order; ``none recorded`` for blank text, ``other`` where none fits."""
-    flags = mentions(text)
-    found = F.filter(F.array(*(F.when(c, k) for k, c in flags.items())), lambda x: x.isNotNull())
-    return F.when(cleaned_rationale(text) == "", F.array(F.lit("none recorded"))).when(F.size(found) == 0, F.array(F.lit("other"))).otherwise(found)
-
-
-def new_lesion_kind(text: Column) -> Column:
-    flags = mentions(text)
-    return F.when(flags["new"] & flags["non_target"], "new non-target").when(flags["new"] & flags["target"], "new target").when(flags["new"], "new, unspecified").otherwise("none")
-
-
-def signed_percent(x: Column) -> Column:
-    return F.when(x.isNull(), "n/a").otherwise(F.concat(F.when(x >= 0, "+").otherwise("-"), F.round(F.abs(x) * 100).cast("long").cast("string"), F.lit("%")))

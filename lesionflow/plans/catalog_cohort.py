@@ -42,44 +42,6 @@ def b02(spark, sf_dir):
     return rows.select("timepoint", F.round(ratio(F.col("enhancing_mm3"), F.col("p")), 6).alias("change"))
 
 
-CLEAN = "CASE WHEN lower(trim(rationale)) IN ('', 'none') THEN '' ELSE replace(replace(replace(replace(trim(rationale), 'L.', 'lesion'), 'Progr.', 'progression'), 'CRET', 'complete resection of enhancing tumour'), 'PRET', 'partial resection of enhancing tumour') END"
-
-
-@query("b04_rationale_display", f"SELECT timepoint, {CLEAN} AS shown FROM rationale", "rationale")
-def b04(spark, sf_dir):
-    return frame(spark, sf_dir, "rationale").select("timepoint", scalars.cleaned_rationale(F.col("rationale")).alias("shown"))
-
-
-PAIRS = r"""p AS (SELECT timepoint, unnest(regexp_extract_all(rationale, '(\d+)\s*(?:mm)?\s*x\s*(\d+)\s*mm', 1)) AS a, unnest(regexp_extract_all(rationale, '(\d+)\s*(?:mm)?\s*x\s*(\d+)\s*mm', 2)) AS b FROM rationale)"""
-
-
-@query("b05_largest_pair", f"WITH {PAIRS} SELECT timepoint, max(a::DOUBLE * b::DOUBLE) AS product, count(*) AS pairs FROM p GROUP BY timepoint", "rationale")
-def b05(spark, sf_dir):
-    rows = frame(spark, sf_dir, "rationale").select("timepoint", scalars.measured_pairs(F.col("rationale")).alias("p")).where(F.size("p") > 0)
-    return rows.select("timepoint", F.array_max("p")["product"].alias("product"), F.size("p").cast("long").alias("pairs"))
-
-
-@query("b06_rationale_features", rf"""WITH {PAIRS}, s AS (SELECT timepoint, sum(a::DOUBLE * b::DOUBLE) AS products, count(*) AS n FROM p GROUP BY timepoint)
-SELECT r.timepoint, coalesce(n, 0) AS n_pairs, coalesce(products, 0) AS products, regexp_matches(lower(rationale), 'target') AS target, regexp_matches(lower(rationale), 'non-target') AS non_target, regexp_matches(lower(rationale), '\bnew\b') AS "new",
-  regexp_matches(lower(rationale), '\bt2') AS t2, regexp_matches(lower(rationale), 'cret|pret') AS resection, regexp_matches(lower(rationale), 'irradiated') AS irradiated, regexp_matches(lower(rationale), 'less than 3 months') AS early FROM rationale r LEFT JOIN s USING (timepoint)""", "rationale")
-def b06(spark, sf_dir):
-    rows = frame(spark, sf_dir, "rationale").withColumn("p", scalars.measured_pairs(F.col("rationale")))
-    return rows.select("timepoint", F.size("p").cast("long").alias("n_pairs"), F.aggregate("p", F.lit(0.0), lambda s, x: s + x["product"]).alias("products"), *(c.alias(k) for k, c in scalars.mentions(F.col("rationale")).items()))
-
-
-FLAGS = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(rationale), '{p}') THEN '{k}' END" for k, p in scalars.MENTIONS.items()) + "]"
-
-
-@query("b07_rationale_buckets", f"WITH b AS (SELECT timepoint, {CLEAN} AS shown, list_filter({FLAGS}, lambda x: x IS NOT NULL) AS l FROM rationale) SELECT label, count(*) AS n FROM (SELECT unnest(CASE WHEN shown = '' THEN ['none recorded'] WHEN len(l) = 0 THEN ['other'] ELSE l END) AS label FROM b) GROUP BY label", "rationale")
-def b07(spark, sf_dir):
-    return frame(spark, sf_dir, "rationale").select(F.explode(scalars.bucket_labels(F.col("rationale"))).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("b08_new_lesion_kind", r"SELECT timepoint, CASE WHEN regexp_matches(lower(rationale), '\bnew\b') AND contains(lower(rationale), 'non-target') THEN 'new non-target' WHEN regexp_matches(lower(rationale), '\bnew\b') AND contains(lower(rationale), 'target') THEN 'new target' WHEN regexp_matches(lower(rationale), '\bnew\b') THEN 'new, unspecified' ELSE 'none' END AS kind FROM rationale", "rationale")
-def b08(spark, sf_dir):
-    return frame(spark, sf_dir, "rationale").select("timepoint", scalars.new_lesion_kind(F.col("rationale")).alias("kind"))
-
-
 @query("b10_phrase_counts", r"SELECT count(*) AS scans, count(*) FILTER (contains(lower(rationale), 'target')) AS target, count(*) FILTER (contains(lower(rationale), 't2')) AS t2, count(*) FILTER (contains(lower(rationale), 'target') AND contains(lower(rationale), 't2')) AS both_terms FROM rationale WHERE timepoint NOT IN (SELECT timepoint FROM scans WHERE arm = 'held_out')", "rationale", "scans")
 def b10(spark, sf_dir):
     rows = frame(spark, sf_dir, "rationale").join(frame(spark, sf_dir, "scans").where("arm = 'held_out'").select("timepoint"), "timepoint", "left_anti")

@@ -66,23 +66,10 @@ def a12(spark, sf_dir):
     return rows.where("expert <> predicted").select("patient", "timepoint", "expert", "predicted", F.lit("").alias("verdict"))
 
 
-@query("b03_clean_ratings", "SELECT timepoint, CASE WHEN contains(raw, '/') THEN split_part(raw, '/', 2) WHEN raw = 'None' THEN NULL ELSE raw END AS rating FROM (SELECT timepoint, CASE WHEN timepoint % 40 = 0 THEN 'Post-Op/PD' ELSE coalesce(rating, 'None') END AS raw FROM scans)", "scans")
-def b03(spark, sf_dir):
-    raw = F.when(F.col("timepoint") % 40 == 0, "Post-Op/PD").otherwise(F.coalesce("rating", F.lit("None")))
-    rows = scans(spark, sf_dir).select("timepoint", raw.alias("raw"))
-    return rows.select("timepoint", F.when(F.contains("raw", F.lit("/")), F.substring_index("raw", "/", -1)).when(F.col("raw") != "None", F.col("raw")).alias("rating"))
-
-
-@query("b15_detail_text", "SELECT timepoint, CASE WHEN c IS NULL THEN 'n/a' ELSE concat(CASE WHEN c >= 0 THEN '+' ELSE '-' END, CAST(CAST(round(abs(c) * 100) AS BIGINT) AS VARCHAR), '%') END AS detail FROM (SELECT timepoint, CASE WHEN p > 0 THEN (enhancing_mm3 - p) / p END AS c FROM (SELECT *, lag(enhancing_mm3) OVER (PARTITION BY patient ORDER BY rn) AS p FROM scans))", "scans")
-def b15(spark, sf_dir):
-    change = rule.ratio(F.col("enhancing_mm3"), F.lag("enhancing_mm3").over(by_rn()))
-    return scans(spark, sf_dir).select("timepoint", change.alias("c")).select("timepoint", scalars.signed_percent(F.col("c")).alias("detail"))
-
-
 @query("b18_flagged_progression", "SELECT s.timepoint FROM scans s JOIN rationale r USING (timepoint) WHERE s.rating = 'PD' AND (contains(lower(r.rationale), 'less than 3 months') OR contains(lower(r.rationale), 'irradiated'))", "scans", "rationale")
 def b18(spark, sf_dir):
-    flags = scalars.mentions(F.col("rationale"))
-    text = frame(spark, sf_dir, "rationale").where(flags["early"] | flags["irradiated"]).select("timepoint")
+    told = F.lower("rationale")
+    text = frame(spark, sf_dir, "rationale").where(F.contains(told, F.lit("less than 3 months")) | F.contains(told, F.lit("irradiated"))).select("timepoint")
     return scans(spark, sf_dir).where("rating = 'PD'").join(text, "timepoint", "left_semi").select("timepoint")
 
 

@@ -67,12 +67,26 @@ FROM supplier CROSS JOIN (SELECT 'mask' AS role UNION ALL SELECT 'mask_reference
 """,
     "rationale": """
 SELECT o_custkey AS patient, o_orderkey AS timepoint,
-  CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 6 = 1 THEN 'None'
-       WHEN o_orderkey % 6 = 2 THEN concat('Target L.: ', CAST(5 + o_orderkey % 31 AS VARCHAR(9)), 'mm x ', CAST(4 + o_orderkey % 23 AS VARCHAR(9)), 'mm')
-       WHEN o_orderkey % 6 = 3 THEN concat('new non-target L., T2-Progr. ', CAST(5 + o_orderkey % 17 AS VARCHAR(9)), ' x ', CAST(9 + o_orderkey % 7 AS VARCHAR(9)), ' mm')
-       WHEN o_orderkey % 6 = 4 THEN 'CRET, irradiated area, less than 3 months'
-       ELSE concat('PRET; new target L. 12mm x 10mm and ', CAST(6 + o_orderkey % 19 AS VARCHAR(9)), 'mm x 8mm') END AS rationale
+  CASE o_orderkey % 18 WHEN 0 THEN '' WHEN 1 THEN 'None' WHEN 2 THEN '  none  '
+       WHEN 3 THEN concat('Target L.: 1 ', CAST(5 + o_orderkey % 31 AS VARCHAR(9)), 'mm x ', CAST(4 + o_orderkey % 23 AS VARCHAR(9)), 'mm')
+       WHEN 4 THEN concat('new non-target L., T2-Progr. ', CAST(5 + o_orderkey % 17 AS VARCHAR(9)), ' x ', CAST(9 + o_orderkey % 7 AS VARCHAR(9)), ' mm')
+       WHEN 5 THEN 'CRET, irradiated area, less than 3 months'
+       WHEN 6 THEN concat('PRET; new target L. 12mm x 10mm and ', CAST(6 + o_orderkey % 19 AS VARCHAR(9)), 'mm x 8mm, target L. 10mm x 12mm')
+       WHEN 7 THEN concat('Target L. ', CAST(5 + o_orderkey % 11 AS VARCHAR(9)), '.5mm x 8.25mm')
+       WHEN 8 THEN '10mm × 9mm, 10 MM X 9 MM' WHEN 9 THEN '12 X 13, Non-measurable L.'
+       WHEN 10 THEN 'new non-measurable L. seen, Avastin started' WHEN 11 THEN 'New L. frontal; bevacizumab given'
+       WHEN 12 THEN 'Temodal, non target L. stable' WHEN 13 THEN 'temozolomide; T2 Progr., nontarget l. larger'
+       WHEN 14 THEN 'stable' WHEN 15 THEN 'renewed imaging, PRETX, t2progr' WHEN 16 THEN 'newly nonmeasurable focus; target L. 1: 7 x 7'
+       ELSE 'non-target L. and target L., new target lump' END AS rationale
 FROM orders
+""",
+    "demographics": """
+SELECT c_custkey AS patient,
+  CASE c_custkey % 7 WHEN 0 THEN 'WT' WHEN 1 THEN 'IDH1 R132H positive' WHEN 2 THEN ' wild type' WHEN 3 THEN 'IDH1 neg.' WHEN 4 THEN 'Mutated' WHEN 5 THEN 'n/a' END AS idh,
+  CASE c_custkey % 5 WHEN 0 THEN 'NA' WHEN 1 THEN ' Methylated' WHEN 2 THEN 'not methylated ' WHEN 3 THEN '' END AS mgmt,
+  CASE c_custkey % 3 WHEN 0 THEN ' Male' WHEN 1 THEN 'female ' ELSE 'F' END AS sex,
+  CASE c_custkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN '' ELSE concat(' ', CAST(c_custkey % 180 AS VARCHAR(9)), '.5') END AS weeks
+FROM customer
 """,
     "survival": """
 SELECT c_custkey AS patient, c_mktsegment AS grp, CAST(1 + (c_custkey * 7919) % 180 AS DOUBLE) AS weeks, 1 AS event FROM customer
