@@ -262,7 +262,7 @@ def test_shards_are_even_and_match_the_mixture(spark, documents, monkeypatch):
     assert sharding.shard_rows(odd.limit(0), 16).count() == 0
 
 
-def test_surrogates_hide_cohere_and_stay_distinct(spark, documents):
+def test_surrogates_hide_cohere_and_stay_distinct(spark, monkeypatch):
     text = 'Ab.c24@Mail4.example.com AB.C24@MAIL4.EXAMPLE.COM +1 (643) 555-5742 4111 1111 1111 1111 4111-1111-1111-1111 10.0.0.1 "73d74656391396c3efc1d06034ff67f14d73d746" Mrs. Anna Smith, Mr Carl Smith, Г-жа Ольга Петрова'
     docs = docs_of(spark, [*ODD, (90, text), (91, "again 10.0.0.1")])
     got = {r.doc_id: r for r in surrogates.mask(docs, "k").collect()}
@@ -280,6 +280,7 @@ def test_surrogates_hide_cohere_and_stay_distinct(spark, documents):
     assert surrogates.mask(docs, "k").count() == docs.count()
     assert surrogates.mask(docs.limit(0), "k").count() == 0
     entities = spark.createDataFrame([("ssn", str(i)) for i in range(10)], "kind string, entity string")
+    monkeypatch.setattr(surrogates, "MOST_IDLE", 3)
     with pytest.raises(ValueError):  # ten one-digit entities leave no free surrogate
         surrogates.distinct_surrogates(entities, "k")
     many = spark.createDataFrame([("number", f"{i:03d}") for i in range(100)], "kind string, entity string")
@@ -287,6 +288,60 @@ def test_surrogates_hide_cohere_and_stay_distinct(spark, documents):
     assert len({r.new for r in out}) == 100 and not {r.new for r in out} & {r.entity for r in out}
 
 
+def test_surrogates_of_all_documents_keep_form_and_identity(spark):
+    """Every mention of every document, found by an independent engine: the rest of the text stays, and forms, kinds and identities hold."""
+    import regex
+
+    find = regex.compile(surrogates.PATTERN)
+    kinds = {k: regex.compile(f"(?:{p})") for k, p in surrogates.KINDS.items()}
+    extra = [(-1, "IBAN DE89 3704 0044 0532 0130 00, DE89370400440532013000"), (-2, "ABCDEF0123456789ABCDEF0123456789"), (-3, None), (-4, "Mrs. Anna Smith, Dr. Anna Smith, Mrs. Smith")]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    new_of, old_of, seen = {}, {}, 0
+    for r in surrogates.mask(docs, "k").collect():
+        old = texts[r.doc_id]
+        spans = list(find.finditer(old)) if old else []
+        assert r.entities == len(spans)
+        if not spans:
+            assert r.text == old
+            continue
+        at = shift = 0
+        for m in spans:
+            assert r.text[at + shift : m.start() + shift] == old[at : m.start()]
+            seen += 1
+            mention, kind = m[0], next(k for k, p in kinds.items() if p.fullmatch(m[0]))
+            if kind == "name":  # the length of names changes
+                there = kinds["name"].match(r.text, m.start() + shift)
+                assert there and there[0].split(" ")[0] == mention.split(" ")[0] and there[0].split(" ")[1:] != mention.split(" ")[1:]
+                new = there[0]
+                identity, written = mention.split(" ")[-1].lower(), new.split(" ")[-1].lower()
+            elif kind == "ip":
+                new = kinds["ip"].match(r.text, m.start() + shift)[0]
+                identity, written = mention, new
+            else:
+                new = r.text[m.start() + shift : m.end() + shift]
+                identity, written = (regex.sub(r"[^\p{L}\p{N}]", "", x).lower() for x in (mention, new))
+                if kind != "secret":
+                    assert [(c.isdigit(), c.isalpha(), c.isupper()) for c in new] == [(c.isdigit(), c.isalpha(), c.isupper()) for c in mention]
+            assert kinds[kind].fullmatch(new), (mention, new)
+            identity = (kind, "+" * mention.startswith("+") + identity)
+            assert new_of.setdefault(identity, written) == written and old_of.setdefault((kind, written), identity) == identity
+            at, shift = m.end(), shift + len(new) - len(mention)
+        assert r.text[at + shift :] == old[at:]
+    assert seen > 50 and not {(k, i) for k, i in new_of} & set(old_of)
+    iban = new_of["iban", "de89370400440532013000"].upper()
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_surrogates_of_very_long_words_take_little_time(spark):
+    import time
+
+    rows = [(1, "x" * 1_000_000), (2, "7" * 1_000_000), (3, "a@" * 300_000), (4, "é" * 500_000 + "@b.example.org"), (5, "a.b@" + "c." * 100_000)]
+    began = time.time()
+    got = {r.doc_id: r for r in surrogates.mask(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").collect()}
+    assert time.time() - began < 60 and all(got[d].text == t for d, t in rows)
+
+
 def test_exact_groups_equal_brute_force_at_any_split(spark, documents):
     docs = documents.select("doc_id", "text").union(spark.createDataFrame([(i, "hot  text") for i in range(10_000, 10_150)] + [(20_000, None), (20_001, "")], "doc_id bigint, text string"))
     import re
