@@ -5,11 +5,10 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.components import components
-from ..plans.shared import stash
+from . import scan
 
 SCAN = ["patient", "visit"]
 CELL = ["patient", "visit", "x", "y", "z"]
@@ -27,35 +26,9 @@ def shifted(cells: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
     return rows.select(*cells.columns, "o.*")
 
 
-def packed() -> Column:
-    """One number per cell of a scan, in the order of (x, y, z)."""
-    return ((F.col("x") * 4096 + F.col("y")) * 4096 + F.col("z")).cast("long")
-
-
 def label_components(cells: DataFrame, offsets: list[tuple[int, int, int]] = HALF_26) -> DataFrame:
-    """Adds root (the smallest cell number of the component in its scan) to distinct cells.
-
-    Nodes are numbered over all scans at once by a dense scan key, so one run of components serves them all."""
-    scans = stash(cells.select(*SCAN).distinct().withColumn("scan", F.xxhash64(*SCAN)))
-    node = F.struct(F.col("scan"), packed().alias("cell"))
-    rows = cells.select(*CELL).distinct().join(scans, SCAN).withColumn("cell", packed())
-    far = shifted(rows.select("scan", "x", "y", "z", "cell"), offsets)
-    far = far.select("scan", F.col("cell").alias("a"), (((F.col("x") + F.col("dx")) * 4096 + F.col("y") + F.col("dy")) * 4096 + F.col("z") + F.col("dz")).cast("long").alias("b"))
-    edges = far.join(rows.select("scan", F.col("cell").alias("b")), ["scan", "b"])
-    key = lambda c: F.concat_ws(":", F.col("scan").cast("string"), F.lpad(F.col(c).cast("string"), 14, "0"))
-    found = components_of(edges.select(key("a").alias("a"), key("b").alias("b")))
-    out = rows.withColumn("node", key("cell")).join(found, "node", "left").withColumn("root", F.coalesce(F.split("component", ":")[1].cast("long"), F.col("cell")))
-    return out.select(*CELL, "root")
-
-
-def components_of(edges: DataFrame) -> DataFrame:
-    """Components of string nodes: numbered in their order first."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    numbered = stash(nodes.withColumn("id", F.xxhash64("node")))
-    ids = stash(edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
-    found = components(ids).withColumnRenamed("node", "id")
-    rows = numbered.join(found, "id")
-    return rows.select("node", F.min("node").over(Window.partitionBy("component")).alias("component"))
+    """(scan, x, y, z, root) of distinct cells; root is the smallest cell number of the component in its scan. One shuffle by scan."""
+    return scan.label_components(cells, offsets)
 
 
 def lesions(cells: DataFrame, floor: int = 20, offsets: list[tuple[int, int, int]] = HALF_26) -> DataFrame:
