@@ -103,6 +103,18 @@ def new_by_overlap(found: DataFrame, r: int, lo: tuple[int, int, int], hi: tuple
     return later.groupBy(*SCAN, "root").agg(F.count(F.lit(1)).alias("n")).join(touched, [*SCAN, "root"], "left_anti")
 
 
+def new_foci(cells: DataFrame, slack: int, floor: int, lo: tuple[int, int, int], hi: tuple[int, int, int]) -> DataFrame:
+    """(patient, visit, root, n): components of ``floor`` cells or more among the cells more than ``slack`` from the visit before that have
+    a cell with all its face neighbours, which mere growth along a surface lacks."""
+    own = cells.select(*CELL).distinct()
+    pairs = visit_pairs(own)
+    near = dilate(own, slack, lo, hi).withColumnRenamed("visit", "previous").join(pairs, ["patient", "previous"]).select(*CELL)
+    gained = own.join(pairs.select(*SCAN), SCAN, "left_semi").join(near, CELL, "left_anti")
+    found = label_components(gained)
+    solid = found.join(erode(gained), CELL, "left_semi").select(*SCAN, "root").distinct()
+    return found.groupBy(*SCAN, "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= floor).join(solid, [*SCAN, "root"], "left_semi")
+
+
 def centroids(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*SCAN).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"c{c}") for c in "xyz"))
 
@@ -125,14 +137,14 @@ def best_shift(cells: DataFrame, reach: int = 2) -> DataFrame:
 def resampled(cells: DataFrame, transforms: DataFrame, lo: tuple[int, int, int], hi: tuple[int, int, int]) -> DataFrame:
     """Labels on the fixed grid after a rigid transform, nearest neighbour: each fixed cell looks up the moving cell that it maps to.
 
-    transforms: (patient, visit, rx, ry, rz, tx, ty, tz, cx, cy, cz); rotations about x, then y, then z, around the centre,
-    from fixed to moving coordinates. Cells that map outside the moving table stay empty."""
+    transforms: (patient, visit, rx, ry, rz, tx, ty, tz, cx, cy, cz); the rotation is Z X Y, so that y turns first, then x, then z, around
+    the centre, from fixed to moving coordinates. Cells that map outside the moving table stay empty."""
     rows = transforms
     for axis, a, b in zip("xyz", lo, hi):
         rows = rows.withColumn(axis, F.explode(F.sequence(F.lit(a), F.lit(b))))
     u, v, w = (F.col(c) - F.col(f"c{c}") for c in "xyz")
-    v, w = F.cos("rx") * v - F.sin("rx") * w, F.sin("rx") * v + F.cos("rx") * w
     u, w = F.cos("ry") * u + F.sin("ry") * w, -F.sin("ry") * u + F.cos("ry") * w
+    v, w = F.cos("rx") * v - F.sin("rx") * w, F.sin("rx") * v + F.cos("rx") * w
     u, v = F.cos("rz") * u - F.sin("rz") * v, F.sin("rz") * u + F.cos("rz") * v
     there = {f"m{c}": F.round(p + F.col(f"c{c}") + F.col(f"t{c}")).cast("int") for c, p in zip("xyz", (u, v, w))}
     moving = cells.select(*SCAN, *(F.col(c).cast("int").alias(f"m{c}") for c in "xyz"), "label")

@@ -148,13 +148,17 @@ def d21(spark, sf_dir):
     return cells(spark, sf_dir).withColumn("c", names).groupBy("patient", "visit").pivot("c", ["enhancing", "necrosis", "edema"]).agg(F.count(F.lit(1))).fillna(0)
 
 
-@query("d26_grid_consistency", "WITH r AS (SELECT nx, ny, nz, a00, a11, a22, t0 FROM geometry ORDER BY patient, role LIMIT 1) SELECT g.patient, g.role FROM geometry g, r WHERE g.nx <> r.nx OR g.ny <> r.ny OR g.nz <> r.nz OR greatest(abs(g.a00::DOUBLE - r.a00::DOUBLE), abs(g.a11::DOUBLE - r.a11::DOUBLE), abs(g.a22::DOUBLE - r.a22::DOUBLE)) > 1e-4", "geometry")
+AFFINE = [f"a{i}{j}" for i in range(3) for j in range(3)] + ["t0", "t1", "t2"]  # the last row of an affine is 0 0 0 1
+
+
+@query("d26_grid_consistency", f"WITH r AS (SELECT * FROM geometry ORDER BY patient, role LIMIT 1) SELECT g.patient, g.role, g.nx <> r.nx OR g.ny <> r.ny OR g.nz <> r.nz AS other_shape, round(greatest({', '.join(f'abs(g.{a}::DOUBLE - r.{a}::DOUBLE)' for a in AFFINE)}), 6) AS most FROM geometry g, r WHERE other_shape OR most > 1e-4", "geometry")
 def d26(spark, sf_dir):
+    """Grids that differ from the first one in shape or in any entry of the affine."""
     grids = frame(spark, sf_dir, "geometry")
-    axes = ("a00", "a11", "a22")
-    first = grids.agg(F.min_by(F.struct("nx", "ny", "nz", *axes), F.struct("patient", "role")).alias("r"))
-    far = F.greatest(*(F.abs(F.col(a).cast("double") - F.col(f"r.{a}").cast("double")) for a in axes)) > 1e-4
-    return grids.crossJoin(F.broadcast(first)).where((F.col("nx") != F.col("r.nx")) | (F.col("ny") != F.col("r.ny")) | (F.col("nz") != F.col("r.nz")) | far).select("patient", "role")
+    first = grids.agg(F.min_by(F.struct("nx", "ny", "nz", *AFFINE), F.struct("patient", "role")).alias("r"))
+    rows = grids.crossJoin(F.broadcast(first)).withColumn("most", F.round(F.greatest(*(F.abs(F.col(a).cast("double") - F.col(f"r.{a}").cast("double")) for a in AFFINE)), 6))
+    rows = rows.withColumn("other_shape", (F.col("nx") != F.col("r.nx")) | (F.col("ny") != F.col("r.ny")) | (F.col("nz") != F.col("r.nz")))
+    return rows.where("other_shape OR most > 1e-4").select("patient", "role", "other_shape", "most")
 
 
 @query("d28_label_set_check", "SELECT patient, visit, len(list_filter(list(DISTINCT label), lambda l: l NOT IN (1, 2))) AS undocumented FROM voxels GROUP BY ALL", "voxels")
@@ -279,20 +283,47 @@ def j19(spark, sf_dir):
     return rows.select("patient", "visit", *(F.round(F.col(f"c{c}") - F.lag(f"c{c}").over(w), 6).alias(f"d{c}") for c in "xyz"))
 
 
-@query("j25_erosion_steps", f"WITH c AS (SELECT DISTINCT patient, visit, x, y, z FROM voxels), e AS (SELECT c.patient, c.visit, c.x, c.y, c.z FROM c CROSS JOIN {FACES} JOIN c n ON n.patient = c.patient AND n.visit = c.visit AND n.x = c.x + dx AND n.y = c.y + dy AND n.z = c.z + dz GROUP BY ALL HAVING count(*) = 6) SELECT (SELECT count(*) FROM c) AS step0, (SELECT count(*) FROM e) AS step1", "voxels")
-def j25(spark, sf_dir):
-    own = cells(spark, sf_dir).select(*voxel.CELL).distinct()
-    one = lambda rows, n: rows.agg(F.count(F.lit(1)).alias(n))
-    return one(own, "step0").crossJoin(one(voxel.erode(own), "step1"))
+#: A solid is a box A, on visit 2 also a box B and in some a neck of single voxels between them: pieces by number of erosions in closed form.
+#: Where the neck meets a B of two layers, it gives one cell of B its sixth neighbour.
+PIECES = """WITH k AS (SELECT patient, visit, 2 + patient % 3 + visit AS a1, 2 + patient % 5 AS a2, 2 + patient % 4 AS a3, visit = 2 AND patient % 4 <> 3 AS has_b, visit = 2 AND patient % 4 <> 3 AND patient % 5 = 0 AS neck,
+  1 + patient % 4 AS b1, 3 + patient % 2 AS b2, 3 + patient % 3 AS b3 FROM (SELECT DISTINCT patient, visit FROM solids)), s AS (SELECT unnest([0, 1, 2]) AS steps)"""
 
 
-@query("j18_rigid_resample", """WITH g AS (SELECT patient, visit, x, y, z, (patient % 5 - 2) * 0.02 AS r, visit % 3 - 1 AS t FROM (SELECT DISTINCT patient, visit FROM voxels), range(0, 8) a(x), range(0, 8) b(y), range(1, 8) c(z)),
-m AS (SELECT patient, visit, x, y, z, CAST(round(cos(r) * (x - 4) - sin(r) * (y - 4) + 4 + t) AS INTEGER) AS mx, CAST(round(sin(r) * (x - 4) + cos(r) * (y - 4) + 4 + t) AS INTEGER) AS my, z + t AS mz FROM g)
+@query("j25_erosion_steps", f"{PIECES} SELECT patient, visit, CAST(steps AS INTEGER) AS steps, CASE WHEN steps = 0 THEN CASE WHEN has_b AND NOT neck THEN 2 ELSE 1 END ELSE (least(a1, a2, a3) > 2 * steps)::INT + (has_b AND (least(b1, b2, b3) > 2 * steps OR (neck AND b1 = 2 AND steps = 1)))::INT END AS pieces FROM k, s", "solids")
+def j25(spark, sf_dir):
+    """Components of each scan after no, one and two erosions; scans that vanish have 0."""
+    own = frame(spark, sf_dir, "solids").select(*voxel.CELL)
+    every, out = own.select(*voxel.SCAN).distinct(), None
+    for steps in range(3):
+        pieces = voxel.label_components(own).groupBy(*voxel.SCAN).agg(F.countDistinct("root").alias("pieces"))
+        part = every.join(pieces, voxel.SCAN, "left").select(*voxel.SCAN, F.lit(steps).alias("steps"), F.coalesce("pieces", F.lit(0)).alias("pieces"))
+        out = part if out is None else out.union(part)
+        own = voxel.erode(own)
+    return out
+
+
+@query("j15_new_foci", """SELECT patient, 1 + patient % 4 AS width, (1 + patient % 4) * (3 + patient % 2) * (3 + patient % 3) + CASE WHEN patient % 5 = 0 THEN 3 - patient % 3 ELSE 0 END AS n
+FROM (SELECT DISTINCT patient FROM solids) WHERE (patient % 4 = 2 OR (patient % 4 = 1 AND patient % 5 = 0)) AND (1 + patient % 4) * (3 + patient % 2) * (3 + patient % 3) + CASE WHEN patient % 5 = 0 THEN 3 - patient % 3 ELSE 0 END >= 20""", "solids")
+def j15_foci(spark, sf_dir):
+    """New foci: gained more than 3 cells from the visit before, 20 cells or more, with a cell that survives one erosion."""
+    own = frame(spark, sf_dir, "solids")
+    found = voxel.new_foci(own, slack=3, floor=20, lo=(1, 1, 1), hi=(14, 7, 7))
+    return found.select("patient", (F.col("patient") % 4 + 1).alias("width"), "n")
+
+
+@query("j18_rigid_resample", """WITH g AS (SELECT patient, visit, x, y, z, (patient % 5 - 2) * 0.11 AS ax, (patient % 3 - 1) * 0.13 AS ay, (visit % 4 - 1) * 0.17 AS az, visit % 3 - 1 AS t
+  FROM (SELECT DISTINCT patient, visit FROM voxels), range(0, 8) a(x), range(0, 8) b(y), range(1, 8) c(z)),
+r AS (SELECT *, cos(az) * cos(ay) - sin(az) * sin(ax) * sin(ay) AS m00, -sin(az) * cos(ax) AS m01, cos(az) * sin(ay) + sin(az) * sin(ax) * cos(ay) AS m02,
+  sin(az) * cos(ay) + cos(az) * sin(ax) * sin(ay) AS m10, cos(az) * cos(ax) AS m11, sin(az) * sin(ay) - cos(az) * sin(ax) * cos(ay) AS m12,
+  -cos(ax) * sin(ay) AS m20, sin(ax) AS m21, cos(ax) * cos(ay) AS m22 FROM g),
+m AS (SELECT patient, visit, CAST(round(m00 * (x - 3.7) + m01 * (y - 4.1) + m02 * (z - 3.9) + 3.7 + t) AS INTEGER) AS mx, CAST(round(m10 * (x - 3.7) + m11 * (y - 4.1) + m12 * (z - 3.9) + 4.1 + t) AS INTEGER) AS my,
+  CAST(round(m20 * (x - 3.7) + m21 * (y - 4.1) + m22 * (z - 3.9) + 3.9 + t) AS INTEGER) AS mz FROM r)
 SELECT m.patient, m.visit, v.label, count(*) AS n FROM m JOIN voxels v ON v.patient = m.patient AND v.visit = m.visit AND v.x = mx AND v.y = my AND v.z = mz GROUP BY ALL""", "voxels")
 def j18(spark, sf_dir):
+    """All three angles; the SQL has the product of the three rotations Z X Y written out."""
     shift = (F.col("visit") % 3 - 1).cast("double")
     turns = cells(spark, sf_dir).select(*voxel.SCAN).distinct().withColumns(
-        {"rx": F.lit(0.0), "ry": F.lit(0.0), "rz": (F.col("patient") % 5 - 2) * 0.02, "tx": shift, "ty": shift, "tz": shift, "cx": F.lit(4.0), "cy": F.lit(4.0), "cz": F.lit(4.0)})
+        {"rx": (F.col("patient") % 5 - 2) * 0.11, "ry": (F.col("patient") % 3 - 1) * 0.13, "rz": (F.col("visit") % 4 - 1) * 0.17, "tx": shift, "ty": shift, "tz": shift, "cx": F.lit(3.7), "cy": F.lit(4.1), "cz": F.lit(3.9)})
     return voxel.resampled(cells(spark, sf_dir), turns, LO, HI).groupBy("patient", "visit", "label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -151,14 +151,14 @@ def j03(spark, sf_dir):
     return voxel.dilate(cells(spark, sf_dir, 1), 1, LO, HI).groupBy("patient", "visit").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j04_erosion", f"WITH c AS (SELECT DISTINCT patient, visit, x, y, z FROM voxels), {ERODED} SELECT * FROM e", "voxels")
+@query("j04_erosion", f"WITH c AS (SELECT patient, visit, x, y, z FROM solids), {ERODED} SELECT * FROM e", "solids")
 def j04(spark, sf_dir):
-    return voxel.erode(cells(spark, sf_dir))
+    return voxel.erode(frame(spark, sf_dir, "solids"))
 
 
-@query("j05_surface", f"WITH c AS (SELECT DISTINCT patient, visit, x, y, z FROM voxels), {ERODED} SELECT patient, visit, count(*) AS n FROM (SELECT * FROM c EXCEPT SELECT * FROM e) GROUP BY ALL", "voxels")
+@query("j05_surface", f"WITH c AS (SELECT patient, visit, x, y, z FROM solids), {ERODED} SELECT patient, visit, count(*) AS n FROM (SELECT * FROM c EXCEPT SELECT * FROM e) GROUP BY ALL", "solids")
 def j05(spark, sf_dir):
-    return voxel.surface(cells(spark, sf_dir)).groupBy("patient", "visit").agg(F.count(F.lit(1)).alias("n"))
+    return voxel.surface(frame(spark, sf_dir, "solids")).groupBy("patient", "visit").agg(F.count(F.lit(1)).alias("n"))
 
 
 GROWTH = f"""WITH {ONE}, vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c)),
@@ -236,13 +236,13 @@ def j27(spark, sf_dir):
 
 
 @query("j17_overlap_by_tolerance", f"""WITH {ONE}, vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c)),
-t AS (SELECT unnest([0, 1, 2]) AS tolerance), s AS (SELECT c.patient, c.visit, tolerance, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM c o WHERE o.patient = c.patient AND o.visit = previous AND abs(o.x - c.x) <= tolerance AND abs(o.y - c.y) <= tolerance AND abs(o.z - c.z) <= tolerance)) AS near FROM c JOIN vp USING (patient, visit), t WHERE previous IS NOT NULL GROUP BY ALL)
+t AS (SELECT unnest([0, 1, 2, 3, 5]) AS tolerance), s AS (SELECT c.patient, c.visit, tolerance, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM c o WHERE o.patient = c.patient AND o.visit = previous AND abs(o.x - c.x) <= tolerance AND abs(o.y - c.y) <= tolerance AND abs(o.z - c.z) <= tolerance)) AS near FROM c JOIN vp USING (patient, visit), t WHERE previous IS NOT NULL GROUP BY ALL)
 SELECT tolerance, count(*) AS scans, round(quantile_cont(near / n, 0.5), 6) AS median_share, round(quantile_cont(near / n, 0.25), 6) AS p25_share, count(*) FILTER (near / n > 0.5) AS over_half FROM s GROUP BY tolerance""", "voxels")
 def j17(spark, sf_dir):
     own = cells(spark, sf_dir, 1).select(*voxel.CELL).distinct()
     pairs = voxel.visit_pairs(own)
     out = None
-    for t in (0, 1, 2):
+    for t in (0, 1, 2, 3, 5):
         near = voxel.dilate(own, t, LO, HI).withColumnRenamed("visit", "previous").withColumn("near", F.lit(1))
         part = own.join(pairs, voxel.SCAN).join(near, ["patient", "previous", "x", "y", "z"], "left").groupBy("patient", "visit").agg((F.count("near") / F.count(F.lit(1))).alias("share")).withColumn("tolerance", F.lit(t))
         out = part if out is None else out.union(part)

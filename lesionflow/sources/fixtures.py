@@ -64,6 +64,27 @@ SELECT s_suppkey AS patient, role, 8 AS nx, CASE WHEN role = 'mask_reference' AN
   CASE WHEN s_suppkey % 4 = 0 THEN 5.0 ELSE 1.0 END AS a22,
   s_nationkey + CASE WHEN role = 'mask_reference' AND s_suppkey % 10 = 3 THEN 0.002 ELSE 0.0 END AS t0, 0.0 AS t1, 0.0 AS t2
 FROM supplier CROSS JOIN (SELECT 'mask' AS role UNION ALL SELECT 'mask_reference' AS role) r
+""",
+    "solids": """
+SELECT s_suppkey AS patient, v.visit, g.x, g.y, h.y AS z, 1 AS label
+FROM supplier
+CROSS JOIN (SELECT CAST(1 AS BIGINT) AS visit UNION ALL SELECT CAST(2 AS BIGINT) AS visit) v
+CROSS JOIN (SELECT a.x, b.y FROM (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS x FROM lineitem WHERE l_quantity <= 14) a CROSS JOIN (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS y FROM lineitem WHERE l_quantity <= 7) b) g
+CROSS JOIN (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS y FROM lineitem WHERE l_quantity <= 7) h
+WHERE (g.x <= 2 + s_suppkey % 3 + v.visit AND g.y <= 2 + s_suppkey % 5 AND h.y <= 2 + s_suppkey % 4)
+  OR (v.visit = 2 AND s_suppkey % 4 <> 3 AND g.x >= 10 AND g.x <= 10 + s_suppkey % 4 AND g.y <= 3 + s_suppkey % 2 AND h.y <= 3 + s_suppkey % 3)
+  OR (v.visit = 2 AND s_suppkey % 4 <> 3 AND s_suppkey % 5 = 0 AND g.y = 2 AND h.y = 2 AND g.x <= 10)
+""",
+    "visits": """
+SELECT patient, visit, CASE (patient + visit) % 6 WHEN 0 THEN 'Post-Op' WHEN 1 THEN 'CR' WHEN 2 THEN 'PR' WHEN 3 THEN 'SD' ELSE 'PD' END AS rating,
+  CASE (patient * 3 + visit) % 5 WHEN 0 THEN 'new target L. seen' WHEN 1 THEN 'New L. frontal' WHEN 2 THEN '' ELSE 'stable' END AS note
+FROM (SELECT DISTINCT l_suppkey AS patient, CAST(year(l_shipdate) AS BIGINT) AS visit FROM lineitem) v
+""",
+    "scan_items": """
+SELECT o_custkey AS patient, o_orderkey AS timepoint, o_orderkey % 13 <> 0 AS has_ct1, o_orderkey % 17 <> 0 AS has_flair,
+  label, n
+FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN l_linenumber = 7 AND l_orderkey % 10 = 0 THEN 9 WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 ELSE 3 END AS label, count(*) AS n
+  FROM lineitem WHERE l_orderkey % 29 <> 0 GROUP BY l_orderkey, CASE WHEN l_linenumber = 7 AND l_orderkey % 10 = 0 THEN 9 WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 ELSE 3 END) l ON l.l_orderkey = orders.o_orderkey
 """,
     "rationale": """
 SELECT o_custkey AS patient, o_orderkey AS timepoint,
