@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.shared import stash
-from .text import words
+from .text import likely_in, words
 
 SHINGLE, SIMILAR = 5, 75
 BINS, BANDS, ROWS = 256, 32, 4
@@ -155,7 +155,9 @@ def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, set) of the documents in ``wanted`` (doc_id), the set of the largest text where a doc_id repeats."""
-    sets = stash(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id bigint, set binary"))
+    wanted = stash(wanted)
+    few = likely_in(docs.select("doc_id", "text"), wanted)  # so that the join moves few texts that it drops
+    sets = stash(few.join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id bigint, set binary"))
     return sets.groupBy("id").agg(F.max_by("set", F.struct(F.length("set"), "set")).alias("set")) if has_repeats(sets) else sets
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import stash
+from .text import likely_in
 
 #: Most labelled rows that the logistic model is fitted on.
 FIT_ROWS = 20_000
@@ -363,16 +364,6 @@ def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def likely_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose doc_id hashes to a bit that some key has set: all rows with a key and few others, so that the join
-    that follows shuffles little else. The bits are 8 MB at any size of the keys; more keys only let more rows by."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
-    bits = keys.select(bit.alias("bit")).select(F.floor(F.col("bit") / 32768).alias("bucket"), (F.col("bit") % 32768).alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
-    marked = rows.withColumns({"bucket": F.floor(bit / 32768), "place": bit % 32768}).join(F.broadcast(bits), "bucket")
-    byte = F.conv(F.hex(F.expr("substring(bits, CAST(place DIV 8 AS INT) + 1, 1)")), 16, 10).cast("long")
-    return marked.where(byte.bitwiseAND(F.expr("shiftleft(1L, CAST(place % 8 AS INT))")) != 0).select(*rows.columns)
-
-
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Lexicon from all labelled rows that are not held out, coefficients from FIT_ROWS of them at most."""
     train = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
