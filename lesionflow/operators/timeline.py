@@ -68,3 +68,19 @@ def scored_scans(scans: DataFrame, records: DataFrame) -> DataFrame:
     """Scans that the rule sees: Pre-Op studies leave, order is renumbered, surgeries join by patient."""
     kept = scans.where(~F.col("rating").eqNullSafe("Pre-Op"))
     return chronological(kept.drop("rn")).join(records.select("patient", "surgeries"), "patient", "left")
+
+
+def since_radiotherapy(scans: DataFrame, records: DataFrame, cohort_end: float) -> DataFrame:
+    """``weeks_since_rt`` after the patient's own course where its end is known, else after the cohort's (none where that is negative)."""
+    end = F.coalesce(F.col("rt_end"), F.lit(cohort_end) if cohort_end >= 0 else F.lit(None).cast("double"))
+    return scans.drop("weeks_since_rt").join(records.select("patient", "rt_end"), "patient", "left").withColumn("weeks_since_rt", F.col("week") - end).drop("rt_end")
+
+
+def scans_after_radiotherapy(scans: DataFrame, records: DataFrame, cohort_end: float) -> DataFrame:
+    """Scans that the rule sees when the reference is each patient's first scan far enough past radiotherapy: that one and all later ones;
+    patients without one are left out. Pre-Op studies leave first."""
+    kept = chronological(scans.where(~F.col("rating").eqNullSafe("Pre-Op")).drop("rn"))
+    first = Window.partitionBy("patient")
+    rows = placed(kept, records).withColumn("from", F.min(F.when(F.col("stage") == "after_radiotherapy", F.col("rn"))).over(first)).where(F.col("rn") >= F.col("from"))
+    rows = since_radiotherapy(rows.drop("from", "stage", "weeks_after_rt", "late", "rt_start", "rt_end", "contradicted", "surgeries"), records, cohort_end)
+    return chronological(rows.drop("rn")).join(records.select("patient", "surgeries"), "patient", "left")

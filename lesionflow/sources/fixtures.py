@@ -84,7 +84,7 @@ FROM (SELECT DISTINCT l_suppkey AS patient, CAST(year(l_shipdate) AS BIGINT) AS
 SELECT o_custkey AS patient, o_orderkey AS timepoint, o_orderkey % 13 <> 0 AS has_ct1, o_orderkey % 17 <> 0 AS has_flair,
   label, n
 FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN l_linenumber = 7 AND l_orderkey % 10 = 0 THEN 9 WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 ELSE 3 END AS label, count(*) AS n
-  FROM lineitem WHERE l_orderkey % 29 <> 0 GROUP BY l_orderkey, CASE WHEN l_linenumber = 7 AND l_orderkey % 10 = 0 THEN 9 WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 ELSE 3 END) l ON l.l_orderkey = orders.o_orderkey
+  FROM lineitem WHERE l_orderkey % 29 <> 0 GROUP BY l_orderkey, CASE WHEN l_linenumber = 7 AND l_orderkey % 10 = 0 THEN 9 WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 ELSE 3 END) l ON l.l_orderkey = o_orderkey
 """,
     "rationale": """
 SELECT o_custkey AS patient, o_orderkey AS timepoint,
