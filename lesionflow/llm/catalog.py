@@ -48,7 +48,10 @@ WITH p AS (
 l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 o AS (SELECT page_id, max(bad) AS bad FROM p JOIN l USING (doc_id) GROUP BY page_id),
 h AS (SELECT host, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad,
-    array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+    CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.za', 'com.mx', 'com.ar')
+      THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+    CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.za', 'com.mx', 'com.ar')
+      THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix
   FROM p LEFT JOIN o USING (page_id) GROUP BY host),
 d AS (SELECT domain, suffix, sum(labelled) AS n, sum(bad) AS b FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM d GROUP BY suffix),

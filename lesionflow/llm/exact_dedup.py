@@ -2,8 +2,9 @@
 
 Misra-Gries summaries of every partition, merged by addition, hold each digest that more than
 N / (k + 1) rows share. Their exact counts and smallest ids (the verified winners, k rows at most)
-are broadcast, so the copies of hot texts leave before any shuffle. All other digests are shuffled; no
-group among them is larger than N / (k + 1).
+are broadcast, so the copies of hot texts leave before any shuffle. All other digests are shuffled, each task's
+copies of a text as one row: sums of groups meet the rows again in a join that can be split, and of whole rows
+a task sends on the first of each text only.
 
 Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` became one space; null counts as
 empty. Of equal texts the row with the smallest doc_id stays. Rows that repeat a doc_id and its text are
@@ -18,10 +19,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import stash
+from .text import unused
 
 HEAVY_COUNTERS = 255
 
@@ -68,17 +70,19 @@ def exact_groups(docs: DataFrame, k: int = HEAVY_COUNTERS) -> DataFrame:
     rows = stash(docs.select("doc_id", digest(F.col("text")).alias("digest")))
     heavy = winners(rows, k)
     hot = rows.join(F.broadcast(heavy), "digest")
-    group = Window.partitionBy("digest")
-    rest = rows.join(F.broadcast(heavy), "digest", "left_anti").select("digest", "doc_id", F.min("doc_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"))
+    others = rows.join(F.broadcast(heavy), "digest", "left_anti")
+    sums = others.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rest = others.join(sums, "digest").select("digest", "doc_id", "keep_id", "group_size")
     return hot.select("digest", "doc_id", "keep_id", "group_size").union(rest).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def drop_exact_copies(docs: DataFrame, k: int = HEAVY_COUNTERS) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    marked = docs.withColumn("__digest", digest(F.col("text")))
-    heavy = winners(marked.select("doc_id", F.col("__digest").alias("digest")), k).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__hot"))
-    left = marked.join(F.broadcast(heavy), "__digest", "left").where(F.col("__hot").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep")))
-    first = F.row_number().over(Window.partitionBy("__digest").orderBy(F.col("doc_id").asc_nulls_last()))
-    return left.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    """The rows that stay, with all their columns; of rows that repeat a doc_id and its text any one, the same in every run."""
+    mark, keep, hot = unused(docs.columns, "digest_of_text", "id_that_stays", "is_hot")
+    marked = docs.withColumn(mark, digest(F.col("text")))
+    heavy = winners(marked.select("doc_id", F.col(mark).alias("digest")), k).select(F.col("digest").alias(mark), F.col("keep_id").alias(keep), F.lit(True).alias(hot))
+    left = marked.join(F.broadcast(heavy), mark, "left").where(F.col(hot).isNull() | F.col("doc_id").eqNullSafe(F.col(keep)))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns))
+    return left.groupBy(mark).agg(F.min_by(F.struct(*docs.columns), order).alias(keep)).select(f"{keep}.*")

@@ -27,3 +27,13 @@ def likely_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
     marked = rows.withColumns({"bucket": F.floor(bit / 32768), "place": bit % 32768}).join(F.broadcast(bits), "bucket")
     byte = F.conv(F.hex(F.expr("substring(bits, CAST(place DIV 8 AS INT) + 1, 1)")), 16, 10).cast("long")
     return marked.where(byte.bitwiseAND(F.expr("shiftleft(1L, CAST(place % 8 AS INT))")) != 0).select(*rows.columns)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -96,6 +96,15 @@ def test_url_rules_and_odd_urls(spark):
     assert url_reputation.judge_urls(pages.limit(0), outcomes, catalog.URL_RULES).count() == 0
 
 
+def test_urls_with_further_columns_and_of_any_length(spark):
+    long = "http://" + "a." * 30_000 + "co.uk/" + "p" * 100_000
+    pages = spark.createDataFrame([(1, long, "x", "y"), (2, "http://www.shop.co.uk/", "x", "y"), (3, "http://shop.co.uk/", "x", "y")], "page_id bigint, url string, host string, domain string")
+    got = {r.page_id: r for r in url_reputation.judge_urls(pages, spark.createDataFrame([(3, 1)], "page_id bigint, bad int"), catalog.URL_RULES).collect()}
+    assert len(got[1].host) == 60_005 and len(got[1].path) == 100_001 and got[2].host == "www.shop.co.uk"
+    named = spark.createDataFrame([(h,) for h in ("www.shop.co.uk", "shop.co.uk", "x.example.com", "com", "")], "h string")
+    assert [tuple(r) for r in named.select(url_reputation.domain_of(F.col("h")), url_reputation.suffix_of(F.col("h"))).collect()] == [("shop.co.uk", "co.uk")] * 2 + [("example.com", "com"), ("com", "com"), ("", "")]
+
+
 def test_reputation_shrinks_to_the_domain(spark):
     rows = [("a.bad.com", 1)] * 60 + [("b.bad.com", None)] + [("x.good.com", 0)] * 60 + [("y.good.com", 1)]
     got = {r.host: r for r in url_reputation.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
@@ -361,6 +370,15 @@ def test_exact_groups_equal_brute_force_at_any_split(spark, documents):
     assert exact_dedup.exact_groups(odd.limit(0)).count() == 0
 
 
+def test_exact_copies_with_clashing_columns(spark):
+    rows = [(1, "a  b", "one", 7), (1, "a b", "two", 8), (2, "a b", "three", 9), (3, "c", "four", 10), (None, "c", "five", 11)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, digest_of_text string, __digest int").withColumn("ID_that_stays", F.lit(1))
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.digest_of_text) for r in kept.collect())
+    assert [d for d, _ in got] == [1, 3] and got[0][1] in ("one", "two") and got[1][1] == "four"
+
+
 def ppm_by_the_book(train, text):
     """log10 probability of a text under PPM with method D escapes, exclusion and update exclusion; train: words of the training texts."""
     table = defaultdict(Counter)
