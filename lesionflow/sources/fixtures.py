@@ -74,6 +74,18 @@ CROSS JOIN (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS y FROM lineitem WHERE
 WHERE (g.x <= 2 + s_suppkey % 3 + v.visit AND g.y <= 2 + s_suppkey % 5 AND h.y <= 2 + s_suppkey % 4)
   OR (v.visit = 2 AND s_suppkey % 4 <> 3 AND g.x >= 10 AND g.x <= 10 + s_suppkey % 4 AND g.y <= 3 + s_suppkey % 2 AND h.y <= 3 + s_suppkey % 3)
   OR (v.visit = 2 AND s_suppkey % 4 <> 3 AND s_suppkey % 5 = 0 AND g.y = 2 AND h.y = 2 AND g.x <= 10)
+""",
+    "plates": """
+SELECT s_suppkey AS patient, CAST(1 AS BIGINT) AS visit, g.x, h.y, z.z, 1 AS label
+FROM supplier
+CROSS JOIN (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS x FROM lineitem WHERE l_quantity <= 9) g
+CROSS JOIN (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS y FROM lineitem WHERE l_quantity <= 10) h
+CROSS JOIN (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS z FROM lineitem WHERE l_quantity <= 2) z
+WHERE g.x <= 6 + s_suppkey % 4 - (CASE WHEN z.z = 1 THEN 1 ELSE 0 END) AND h.y <= 6 + s_suppkey % 5
+  AND NOT (s_suppkey % 7 < 2 AND g.x BETWEEN 3 AND 4 AND h.y BETWEEN 3 AND 4)
+  AND NOT (s_suppkey % 7 = 2 AND g.x = 3 AND h.y <= 4)
+  AND NOT (s_suppkey % 7 = 3 AND g.x <= 3 AND h.y <= 3)
+  AND NOT (s_suppkey % 7 = 4 AND g.x BETWEEN 3 AND 4 AND h.y >= 3)
 """,
     "visits": """
 SELECT patient, visit, CASE (patient + visit) % 6 WHEN 0 THEN 'Post-Op' WHEN 1 THEN 'CR' WHEN 2 THEN 'PR' WHEN 3 THEN 'SD' ELSE 'PD' END AS rating,
