@@ -206,7 +206,7 @@ def k06(spark, sf_dir):
     return cohort.correlations(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 8).withColumn("abs_corr", F.round("abs_corr", 6))
 
 
-@query("k06_correlations_whole")
+@query("k06_correlations_whole", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(abs(corr(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE)), 6) AS abs_corr FROM embeddings, range(0, (SELECT max(len(embedding)) FROM embeddings)) a(i), range(0, (SELECT max(len(embedding)) FROM embeddings)) b(j) WHERE i < j GROUP BY ALL")
 def k06_whole(spark, sf_dir):
     return cohort.all_correlations(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding").withColumn("abs_corr", F.round("abs_corr", 6))
 

@@ -233,7 +233,18 @@ POINTS = dict.fromkeys([(f, SHIPPED["confirm_max_weeks"]) for f in FLOORS] + [(S
 WHOLE_GRID = [{**SHIPPED, "profile": f"floor={f:g}, late={'unlimited' if w is None else format(w, 'g')}", "floor_mm3": f, "confirm_max_weeks": w} for f, w in POINTS]
 
 
-@query("i14_guard_sweep_whole")
+def sweep_sql(points: list[tuple[float, float | None]]) -> str:
+    """The calls of one parameter set at all points at once: patients are told apart by point, as 100 * patient + point."""
+    values = ", ".join(f"({i}, CAST({f} AS DOUBLE), CAST({'NULL' if w is None else w} AS DOUBLE))" for i, (f, w) in enumerate(points))
+    swept = rule_sql({**SHIPPED, "floor_mm3": 111.5, "confirm_max_weeks": 222.5}).replace("CAST(111.5 AS DOUBLE)", "floor_at").replace("CAST(222.5 AS DOUBLE)", "late_at")
+    swept = swept.replace("FROM scans WHERE", "FROM many WHERE").replace("surg.patient = w.patient", "surg.patient = w.patient // 100").replace("'mrano_volumetric' AS profile", "patient % 100 AS profile")
+    return f"many AS (SELECT s.* REPLACE (s.patient * 100 + p.id AS patient), floor_at, late_at FROM scans s, (VALUES {values}) p(id, floor_at, late_at)), calls AS ({swept})"
+
+
+NAMES = ", ".join(f"({i}, '{g['profile']}')" for i, g in enumerate(WHOLE_GRID))
+
+
+@query("i14_guard_sweep_whole", f"WITH {RECORDS}, {sweep_sql(list(POINTS))}, {PAIRS}, classes AS (SELECT unnest(['CR','PR','SD','PD']) AS class), figures AS (SELECT name AS profile, class, count(*) FILTER (expert = class) AS support, count(*) FILTER (expert = class AND predicted = class) AS correct FROM pairs JOIN (VALUES {NAMES}) v(id, name) ON id = profile, classes GROUP BY ALL) {SUMMARY.format(by='profile')}", "scans")
 def i14_whole(spark, sf_dir):
     return rounded_summary(evaluate.class_figures(evaluate.confusion(evaluate.scorable(rule_calls(spark, sf_dir, WHOLE_GRID)), "profile"), "profile"), "profile")
 
