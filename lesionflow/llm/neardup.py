@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.shared import stash
-from .text import likely_in, words
+from .text import likely_in, without, words
 
 SHINGLE, SIMILAR = 5, 75
 BINS, BANDS, ROWS = 256, 32, 4
@@ -326,5 +326,4 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows whose document stays (one of each component), with all their columns."""
-    gone = near_groups(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, stash(near_groups(docs).where("NOT kept").select("doc_id")))
