@@ -12,6 +12,22 @@ def average_rank(order: Column, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (peers - 1) / 2
 
 
+#: Ranges of values that are ranked apart, and how exactly their limits halve the rows.
+RANGES, ACCURACY = 256, 10_000
+
+
+def spread_rank(rows: DataFrame, value: str, *by: str, name: str = "rank") -> DataFrame:
+    """Adds the average rank of ``value`` within by without gathering a group: approximate percentiles cut its values into RANGES
+    ranges, the sizes of the ranges have a running total, and only rows of one range are ordered together."""
+    at = [i / RANGES for i in range(1, RANGES)]
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, at, ACCURACY).alias("cuts"))
+    cuts = F.broadcast(cuts)  # a row for each group, of RANGES numbers
+    ranged = (rows.join(cuts, list(by)) if by else rows.crossJoin(cuts)).withColumn("range", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col(value)))).drop("cuts")
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most for each group
+    sizes = ranged.groupBy(*by, "range").agg(F.count(F.lit(1)).alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+    return ranged.join(sizes, [*by, "range"]).withColumn(name, F.col("offset") + average_rank(F.col(value), *by, "range")).drop("range", "offset")
+
+
 def event_table(rows: DataFrame, group: str = "grp", time: str = "weeks") -> DataFrame:
     """(group, time, deaths, at_risk): distinct times of a group, all events observed."""
     deaths = rows.groupBy(group, time).agg(F.count(F.lit(1)).alias("deaths"))
@@ -44,14 +60,10 @@ def log_rank(rows: DataFrame, a: str, b: str, group: str = "grp", time: str = "w
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (n, rho). Ranks come from counts of distinct values with a running total, which is what is ordered in one task."""
-    def ranks(c: str) -> DataFrame:
-        counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(c, (before + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
-
-    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).join(ranks(a), a).join(ranks(b), b)
-    return both.agg(F.count(F.lit(1)).alias("n"), F.corr(f"rank_{a}", f"rank_{b}").alias("rho"))
+    """One row (n, rho) over rows that have both values."""
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
+    ranked = spread_rank(spread_rank(both, a, name="rank_a"), b, name="rank_b")
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("rank_a", "rank_b").alias("rho"))
 
 
 def bland_altman(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -64,7 +76,7 @@ def bland_altman(rows: DataFrame, a: str, b: str) -> DataFrame:
 def feature_auc(vectors: DataFrame, vector: str, positive: Column, least: int = 6) -> DataFrame:
     """(feature, n_pos, n_neg, auc) per place of a vector: Mann-Whitney with average ranks; features need ``least`` rows on both sides."""
     rows = vectors.select(positive.alias("pos"), F.posexplode(vector).alias("feature", "value"))
-    rows = rows.withColumn("rank", average_rank(F.col("value"), "feature"))
+    rows = spread_rank(rows, "value", "feature")
     out = rows.groupBy("feature").agg(F.count(F.when(F.col("pos"), 1)).alias("n_pos"), F.count(F.when(~F.col("pos"), 1)).alias("n_neg"), F.sum(F.when(F.col("pos"), F.col("rank"))).alias("r"))
     out = out.where((F.col("n_pos") >= least) & (F.col("n_neg") >= least))
     return out.select("feature", "n_pos", "n_neg", ((F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))

@@ -94,6 +94,29 @@ def tracked(found: DataFrame) -> DataFrame:
     return every.select("patient", "visit", "root", "parent", F.when(F.col("parent").isNull(), "new").when(F.col("h") == 1, "kept").otherwise("split").alias("state"))
 
 
+def lesion_ids(links: DataFrame) -> DataFrame:
+    """(patient, visit, root, lesion) of tracked components: an heir takes over the lesion of its parent at the visit before, any other
+    component begins a lesion ``visit:root``. A patient's components are followed inside one task."""
+    rows = links.select("patient", "visit", "root", F.when(F.col("state") == "kept", F.col("parent")).alias("parent"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, before, now = None, {}, {}
+        for batch in batches:
+            patients, visits, roots, parents = (c.to_pylist() for c in batch.columns)
+            out = []
+            for p, v, r, parent in zip(patients, visits, roots, parents):
+                if (p, v) != at:
+                    before, now = (now if at and at[0] == p else {}), {}
+                    at = p, v
+                now[r] = before[parent] if parent is not None else f"{v}:{r}"
+                out.append(now[r])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string())], ["patient", "visit", "root", "lesion"])
+
+    return rows.repartition("patient").sortWithinPartitions("patient", "visit").mapInArrow(run, "patient bigint, visit bigint, root bigint, lesion string")
+
+
 def new_by_overlap(found: DataFrame, r: int, lo: tuple[int, int, int], hi: tuple[int, int, int]) -> DataFrame:
     """(patient, visit, root, n) of components that touch no cell of the visit before, dilated by r."""
     pairs = visit_pairs(found)

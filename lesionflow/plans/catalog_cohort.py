@@ -104,7 +104,11 @@ def d14(spark, sf_dir):
 @query("e14_stratified_stride", "WITH p AS (SELECT patient, count(*) AS n, bool_or(coalesce(rating = 'CR', FALSE)) AS has_cr FROM scans GROUP BY patient) SELECT patient, has_cr, CASE WHEN (row_number() OVER (PARTITION BY has_cr ORDER BY n DESC, patient) - 1) % 4 = 0 THEN 'practice' ELSE 'held_out' END AS arm FROM p", "scans")
 def e14(spark, sf_dir):
     rows = frame(spark, sf_dir, "scans").groupBy("patient").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(F.col("rating") == "CR", F.lit(False))).alias("has_cr"))
-    turn = F.row_number().over(Window.partitionBy("has_cr").orderBy(F.desc("n"), "patient")) - 1
+    # places from the sizes of (stratum, number of scans) with a running total, so that only patients with as many scans are ordered together
+    more = Window.partitionBy("has_cr").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("has_cr", "n").agg(F.count(F.lit(1)).alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(more), F.lit(0)))
+    rows = rows.join(sizes, ["has_cr", "n"])
+    turn = F.col("offset") + F.row_number().over(Window.partitionBy("has_cr", "n").orderBy("patient")) - 1
     return rows.select("patient", "has_cr", F.when(turn % 4 == 0, "practice").otherwise("held_out").alias("arm"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import cohort, evaluate, rule, timeline, voxel
+from ..operators import cohort, evaluate, rule, ruler, timeline, voxel
 from ..sources.fixtures import frame, oracle
 from . import catalog_rule
 from .catalog_cohort import BAND
@@ -251,16 +251,7 @@ def j02(spark, sf_dir):
 
 @query("j07_caliper", f"WITH {R26}, kk AS (SELECT k.*, root FROM k JOIN roots USING (patient, visit, cell)), p AS (SELECT DISTINCT patient, visit, root, x + i AS x, y + j AS y, z + l AS z FROM kk, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS l)) SELECT a.patient, a.visit, a.root, round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 6) AS caliper FROM p a JOIN p b USING (patient, visit, root) GROUP BY ALL", "voxels")
 def j07(spark, sf_dir):
-    """Longest distance between two corners of a component. Of the corners in each row along x only the ends can matter, so the pairs per component stay with its surface."""
-    found = voxel.label_components(cells(spark, sf_dir, 1))
-    key = ["patient", "visit", "root"]
-    corners = found
-    for c in "xyz":
-        corners = corners.withColumn(c, F.explode(F.array(F.col(c), F.col(c) + 1)))
-    ends = corners.groupBy(*key, "y", "z").agg(F.array_distinct(F.array(F.min("x"), F.max("x"))).alias("xs")).select(*key, "y", "z", F.explode("xs").alias("x"))
-    other = ends.select(*key, *(F.col(c).alias(f"o{c}") for c in "xyz"))
-    d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in "xyz"), F.lit(0.0)))
-    return ends.join(other, key).groupBy(*key).agg(F.round(F.max(d), 6).alias("caliper"))
+    return ruler.calipers(cells(spark, sf_dir, 1)).withColumn("caliper", F.round("caliper", 6))
 
 
 @query("j26_pieces_by_connectivity", f"WITH {R6} SELECT patient, visit, count(DISTINCT root) AS pieces FROM roots GROUP BY ALL", "voxels")

@@ -146,6 +146,18 @@ def j13(spark, sf_dir):
     return voxel.tracked(voxel.label_components(cells(spark, sf_dir, 1)))
 
 
+@query_recursive("j13_lesion_ids", f"""WITH {R26}, kk AS (SELECT k.*, root FROM k JOIN roots USING (patient, visit, cell)), vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c)),
+s AS (SELECT a.patient, a.visit, a.root, previous, b.root AS parent, count(*) AS n FROM kk a JOIN vp ON vp.patient = a.patient AND vp.visit = a.visit JOIN kk b ON b.patient = a.patient AND b.visit = previous AND b.cell = a.cell GROUP BY ALL),
+p AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY patient, visit, root ORDER BY n DESC, parent DESC) = 1),
+h AS (SELECT *, row_number() OVER (PARTITION BY patient, previous, parent ORDER BY n DESC, root DESC) AS turn FROM p),
+t AS (SELECT r.patient, r.visit, r.root, h.previous, h.parent, CASE WHEN h.parent IS NULL THEN 'new' WHEN turn = 1 THEN 'kept' ELSE 'split' END AS state FROM (SELECT DISTINCT patient, visit, root FROM roots) r LEFT JOIN h USING (patient, visit, root)),
+chain AS (SELECT patient, visit, root, concat(visit, ':', root) AS lesion FROM t WHERE state <> 'kept' UNION ALL SELECT t.patient, t.visit, t.root, chain.lesion FROM chain JOIN t ON t.patient = chain.patient AND t.previous = chain.visit AND t.parent = chain.root AND t.state = 'kept')
+SELECT patient, visit, root, lesion FROM chain""")
+def j13_ids(spark, sf_dir):
+    """The lesion of each component, handed down along heirs from visit to visit."""
+    return voxel.lesion_ids(voxel.tracked(voxel.label_components(cells(spark, sf_dir, 1))))
+
+
 @query("j03_dilation", f"WITH {ONE} SELECT patient, visit, count(*) AS n FROM (SELECT DISTINCT patient, visit, x + dx AS x, y + dy AS y, z + dz AS z FROM c, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dz) WHERE x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7 AND z + dz BETWEEN 1 AND 7) GROUP BY ALL", "voxels")
 def j03(spark, sf_dir):
     return voxel.dilate(cells(spark, sf_dir, 1), 1, LO, HI).groupBy("patient", "visit").agg(F.count(F.lit(1)).alias("n"))
