@@ -575,3 +575,22 @@ def test_pipeline_keeps_clean_documents_and_applies_every_decision(spark, sf_dir
         assert kept <= set(texts) and len(kept) > 0.6 * len(texts)
         rows = after
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == {r.doc_id for r in rows.collect()}
+
+
+def test_pipeline_on_odd_documents(spark, sf_dir, tmp_path):
+    """Nulls in every column, empty, very long and repeated texts and rows, further columns; and an empty table."""
+    import corpus_pipeline
+
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    odd = [(-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "  \n", "en", "s", 3), (-4, "long " * 30_000, "en", "s", 5), (-5, "x" * 200_000, None, "s", 5), (-6, "same text here", "en", "s", 1), (-7, "same  text\there", "en", "s", 1), (-7, "same  text\there", "en", "s", 1), (None, "an id is missing here and the text is kept as it is", "en", "s", 1)]
+    both = given.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(odd, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    both.withColumns({"digest": F.lit("d"), "is_likely": F.lit(True), "component_id": F.lit(7)}).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in got]
+    assert len(ids) == len(set(ids)) and {-4, -5} <= set(ids) and -6 not in ids and -7 in ids
+    assert len({-1, -2} & set(ids)) == 1 and None in ids  # null and empty are one text
+    assert next(r for r in got if r.doc_id == -5).n_tokens > 10_000
+    both.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
