@@ -140,7 +140,7 @@ def trajectories(scans: DataFrame, params: DataFrame) -> DataFrame:
     parameter sets share one ``confirm_weeks``, which bounds a RANGE frame; sets that differ in it are
     run apart and united."""
     out = None
-    for reset in (True, False):
+    for reset in sorted(r[0] for r in params.select("reset_at_surgery").distinct().collect()):  # one or both, of a handful of rows
         rows = references(scans, reset).crossJoin(F.broadcast(params.where(F.col("reset_at_surgery") == reset)))
         out = rows if out is None else out.unionByName(rows)
     rows = single_scan(out)

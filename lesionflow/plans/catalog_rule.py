@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, rule, timeline
 from ..sources.fixtures import frame, oracle
+from .shared import stash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -47,7 +48,8 @@ def rule_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_calls(spark: SparkSession, sf_dir: str, rows: list[dict] | None = None) -> DataFrame:
-    return rule.trajectories(rule_inputs(spark, sf_dir), rule.profiles(spark, rows))
+    """Calls under every parameter set; the scans with their surgeries are kept, as each way of resetting reads them."""
+    return rule.trajectories(stash(rule_inputs(spark, sf_dir)), rule.profiles(spark, rows))
 
 
 def flag(x) -> str:
