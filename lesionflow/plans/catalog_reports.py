@@ -462,3 +462,104 @@ def d27(spark, sf_dir):
         rows = rows.withColumn(f"t{i}", F.when(own > 0, nearest["k"]))
         rows = rows.withColumn("left", F.filter("left", lambda x: ~x["k"].eqNullSafe(taken)))  # noqa: B023
     return rows.select(*voxel.SCAN, "t1", "t2", "t3")
+
+
+# --- further columns of the reports
+
+@query("d09_incomplete", f"WITH {catalog_rule.CALLS} SELECT profile, count(*) AS n, count(*) FILTER (unknowns <> '') AS incomplete FROM calls WHERE call IN ('CR','PR','SD','PD') AND rating IN ('CR','PR','SD','PD') GROUP BY profile", "scans")
+def d09_incomplete(spark, sf_dir):
+    """Scored scans whose call a missing input could have changed."""
+    rows = catalog_rule.rule_calls(spark, sf_dir).where(F.col("call").isin(*evaluate.CLASSES) & F.col("rating").isin(*evaluate.CLASSES))
+    return rows.groupBy("profile").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("unknowns") > 0, 1)).alias("incomplete"))
+
+
+@query(
+    "d14_rating_mix",
+    "WITH r AS (SELECT patient, rating, count(*) AS n FROM scans WHERE rating IN ('CR','PR','SD','PD') GROUP BY ALL) SELECT patient, string_agg(concat(rating, '=', n), ',' ORDER BY rating) AS mix, CAST(sum(n) AS BIGINT) AS assessable FROM r GROUP BY patient HAVING sum(n) >= 6",
+    "scans",
+)
+def d14_mix(spark, sf_dir):
+    """How the ratings of an eligible patient (six assessable scans or more) mix, as a map shown in one line."""
+    per = scans(spark, sf_dir).where(F.col("rating").isin(*evaluate.CLASSES)).groupBy("patient", "rating").agg(F.count(F.lit(1)).alias("n"))
+    rows = per.groupBy("patient").agg(F.array_sort(F.collect_list(F.struct("rating", "n"))).alias("mix"), F.sum("n").alias("assessable")).where("assessable >= 6")
+    return rows.select("patient", F.array_join(F.transform("mix", lambda m: F.concat(m["rating"], F.lit("="), m["n"].cast("string"))), ",").alias("mix"), "assessable")
+
+
+@query("d18_crosstab", "SELECT arm, count(*) FILTER (rating = 'CR') AS cr, count(*) FILTER (rating = 'PR') AS pr, count(*) FILTER (rating = 'SD') AS sd, count(*) FILTER (rating = 'PD') AS pd, count(*) FILTER (rating IS NULL) AS unrated FROM scans GROUP BY arm", "scans")
+def d18_crosstab(spark, sf_dir):
+    rows = scans(spark, sf_dir).withColumn("r", F.coalesce(F.lower("rating"), F.lit("unrated")))
+    return rows.groupBy("arm").pivot("r", ["cr", "pr", "sd", "pd", "unrated"]).agg(F.count(F.lit(1))).fillna(0)
+
+
+@query(
+    "d22_t2_firing",
+    "WITH p AS (SELECT *, lag(t2_flair_mm3) OVER (PARTITION BY patient ORDER BY rn) AS before FROM scans) SELECT rating, count(*) AS n, count(*) FILTER (before > 0 AND (t2_flair_mm3 - before) / before >= 0.4) AS fired, count(*) FILTER (enhancing_mm3 = 0) AS silent FROM p WHERE rating IN ('CR','PR','SD','PD') GROUP BY rating",
+    "scans",
+)
+def d22(spark, sf_dir):
+    """By the expert's class: scans whose T2 volume grew by 40 % or more over the scan before, and scans without enhancing tissue."""
+    before = F.lag("t2_flair_mm3").over(Window.partitionBy("patient").orderBy("rn"))
+    rows = scans(spark, sf_dir).withColumn("change", rule.ratio(F.col("t2_flair_mm3"), before)).where(F.col("rating").isin(*evaluate.CLASSES))
+    return rows.groupBy("rating").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("change") >= 0.4, 1)).alias("fired"), F.count(F.when(F.col("enhancing_mm3") == 0, 1)).alias("silent"))
+
+
+@query(
+    "d32_resection_against_progression",
+    r"""SELECT CASE WHEN regexp_matches(rationale, '\bCRET\b') THEN 'CRET' ELSE 'PD' END AS kind, count(*) AS n, median(enhancing_mm3) AS enhancing, median(necrosis_mm3) AS necrosis, median(t2_flair_mm3) AS t2
+    FROM scans JOIN (SELECT timepoint, rationale FROM rationale) USING (timepoint) WHERE regexp_matches(rationale, '\bCRET\b') OR rating = 'PD' GROUP BY ALL""",
+    "scans", "rationale",
+)
+def d32(spark, sf_dir):
+    """Median volumes of scans after a complete resection and of other progressions."""
+    rows = scans(spark, sf_dir).join(frame(spark, sf_dir, "rationale").select("timepoint", rationale.features(F.col("rationale"))["cret"].alias("cret")), "timepoint").where(F.col("cret") | (F.col("rating") == "PD"))
+    return rows.groupBy(F.when(F.col("cret"), "CRET").otherwise("PD").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.median("enhancing_mm3").alias("enhancing"), F.median("necrosis_mm3").alias("necrosis"), F.median("t2_flair_mm3").alias("t2"))
+
+
+@query(
+    "d35_missed_reasons",
+    rf"""WITH {catalog_rule.CALLS}, {catalog_rule.PAIRS}, m AS (SELECT regexp_matches(lower(rationale), 't2-?progr') AS t2, regexp_matches(lower(rationale), '\bnew\b') AS is_new, regexp_matches(lower(rationale), 'non-?target') AS non_target
+      FROM pairs JOIN (SELECT timepoint, rationale FROM rationale) USING (timepoint) WHERE profile = 'mrano_volumetric' AND expert = 'PD' AND predicted <> 'PD')
+    SELECT count(*) AS missed, count(*) FILTER (t2) AS t2_progression, count(*) FILTER (is_new) AS new_lesion, count(*) FILTER (non_target) AS non_target, round(count(*) FILTER (t2 OR is_new OR non_target) / count(*), 6) AS share_explained FROM m""",
+    "scans", "rationale",
+)
+def d35(spark, sf_dir):
+    """Progressions that the rule misses, by what the text cites that volumes do not show; a scan may count for several."""
+    told = rationale.features(F.col("rationale"))
+    texts = frame(spark, sf_dir, "rationale").select("timepoint", *(told[k].alias(k) for k in ("t2_progression", "new_lesion", "non_target")))
+    rows = evaluate.scorable(catalog_rule.rule_calls(spark, sf_dir, [DEFAULT])).where("expert = 'PD' AND predicted <> 'PD'").select("timepoint").join(texts, "timepoint")
+    count = lambda c: F.count(F.when(c, 1))
+    return rows.agg(F.count(F.lit(1)).alias("missed"), *(count(F.col(k)).alias(k) for k in ("t2_progression", "new_lesion", "non_target")), F.round(count(F.expr("t2_progression OR new_lesion OR non_target")) / F.count(F.lit(1)), 6).alias("share_explained"))
+
+
+@query(
+    "b10_terms",
+    "WITH t AS (SELECT lower(rationale) AS r FROM rationale WHERE timepoint NOT IN (SELECT timepoint FROM scans WHERE arm = 'held_out')), w AS (SELECT unnest(['target', 'non-target', 'new', 't2', 'cret', 'pret', 'measurable', 'irradiated', 'progr']) AS term) SELECT term, count(*) FILTER (contains(r, term)) AS n, count(*) FILTER (contains(r, term) AND contains(r, 'mm')) AS with_size FROM t, w GROUP BY term",
+    "rationale", "scans",
+)
+def b10_terms(spark, sf_dir):
+    """How many texts use each term, and use it beside a measurement; the held-out arm stays unseen."""
+    held = scans(spark, sf_dir).where("arm = 'held_out'").select("timepoint")
+    rows = frame(spark, sf_dir, "rationale").join(held, "timepoint", "left_anti").select(F.lower("rationale").alias("r"))
+    terms = F.array(*map(F.lit, ("target", "non-target", "new", "t2", "cret", "pret", "measurable", "irradiated", "progr")))
+    rows = rows.select("r", F.explode(terms).alias("term"))
+    uses = F.contains("r", F.col("term"))
+    return rows.groupBy("term").agg(F.count(F.when(uses, 1)).alias("n"), F.count(F.when(uses & F.contains("r", F.lit("mm")), 1)).alias("with_size"))
+
+
+@query(
+    "c18_neither",
+    f"""WITH {catalog_rule.CALLS}, {catalog_rule.PAIRS}, a AS (SELECT * FROM pairs WHERE profile = 'enhancing_only'), b AS (SELECT * FROM pairs WHERE profile = 'mrano_volumetric'),
+    j AS (SELECT a.timepoint IS NOT NULL AS in_a, b.timepoint IS NOT NULL AS in_b, a.predicted = a.expert AS right_a, b.predicted = b.expert AS right_b FROM a FULL JOIN b ON a.timepoint = b.timepoint)
+    SELECT count(*) FILTER (in_a AND in_b AND NOT right_a AND NOT right_b) AS neither, round(avg(right_b::INT) FILTER (in_b) - avg(right_a::INT) FILTER (in_a), 6) AS headline,
+      round(avg(right_b::INT) FILTER (in_a AND in_b) - avg(right_a::INT) FILTER (in_a AND in_b), 6) AS rule_part,
+      round((avg(right_b::INT) FILTER (in_b) - avg(right_a::INT) FILTER (in_a)) - (avg(right_b::INT) FILTER (in_a AND in_b) - avg(right_a::INT) FILTER (in_a AND in_b)), 6) AS scan_set_part FROM j""",
+    "scans",
+)
+def c18(spark, sf_dir):
+    """Two rules on shared scans: scans that neither gets right, and how much of the difference in agreement is the rule's and how much that of the scans each one scores."""
+    rows = evaluate.scorable(catalog_rule.rule_calls(spark, sf_dir, [rule.profile("enhancing_only"), DEFAULT])).select("profile", "timepoint", (F.col("predicted") == F.col("expert")).cast("int").alias("right"))
+    side = lambda name, c: rows.where(F.col("profile") == name).select("timepoint", F.col("right").alias(c))
+    j = side("enhancing_only", "a").join(side(DEFAULT["profile"], "b"), "timepoint", "full")
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    headline, shared = F.avg("b") - F.avg("a"), F.avg(F.when(both, F.col("b"))) - F.avg(F.when(both, F.col("a")))
+    return j.agg(F.count(F.when((F.col("a") == 0) & (F.col("b") == 0), 1)).alias("neither"), F.round(headline, 6).alias("headline"), F.round(shared, 6).alias("rule_part"), F.round(headline - shared, 6).alias("scan_set_part"))
