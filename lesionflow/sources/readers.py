@@ -14,14 +14,34 @@ def manifest(spark: SparkSession, path: str, items: list[str]) -> DataFrame:
 
 
 def ratings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(clean, quarantine) of an expert rating file whose rating and rationale columns are found by the beginning of their
-    headers. Whole-row repeats count once; keys with two different rows go to quarantine, since files have no row order here."""
+    """(ratings, superseded) of an expert rating file whose rating and rationale columns are found by the beginning of their headers.
+    Whole-row repeats count once; of rows that differ for a key the later one in the file counts, by the place of its part in the file and in
+    the part, and the earlier ones are returned apart. Of several files the one later by name counts."""
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
     rating = next(c for c in raw.columns if c.startswith("Rating ("))
     reason = next(c for c in raw.columns if c.startswith("Rating rationale"))
-    rows = raw.select(F.trim("Patient").alias("patient"), F.trim("Date").alias("timepoint"), F.trim(f"`{rating}`").alias("rating"), F.trim(f"`{reason}`").alias("rationale")).dropDuplicates()
-    counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("patient", "timepoint")))
-    return counted.where("n = 1").drop("n"), counted.where("n > 1").drop("n")
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")
+    rows = raw.select(F.trim("Patient").alias("patient"), F.trim("Date").alias("timepoint"), F.trim(f"`{rating}`").alias("rating"), F.trim(f"`{reason}`").alias("rationale"), place)
+    rows = rows.groupBy("patient", "timepoint", "rating", "rationale").agg(F.max("place").alias("place"))
+    turn = F.row_number().over(Window.partitionBy("patient", "timepoint").orderBy(F.desc("place")))
+    counted = rows.withColumn("n", turn)
+    return counted.where("n = 1").drop("n", "place"), counted.where("n > 1").drop("n", "place")
+
+
+def cohort_file(spark: SparkSession, path: str) -> DataFrame:
+    """A cohort's file (demographics, completeness, scanners, features), all columns as text; long headers of ratings become Rating and Rationale."""
+    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    return rows.withColumnsRenamed({c: "Rating" if c.startswith("Rating (") else "Rationale" for c in rows.columns if c.startswith(("Rating (", "Rating rationale"))})
+
+
+def write_tidy_volumes(rows: DataFrame, path: str) -> None:
+    """Rows of (patient, timepoint, space, modality, compartment, volume_mm3, ...), one folder for each patient."""
+    rows.repartition("patient").write.partitionBy("patient").mode("overwrite").parquet(path)
+
+
+def append_results(results: DataFrame, path: str, on: list[str]) -> None:
+    """Adds results to a cache, in order of their keys inside each file; a key must not be there yet (``only_new``)."""
+    results.repartitionByRange(*on).sortWithinPartitions(*on).write.mode("append").parquet(path)
 
 
 def volume_json(spark: SparkSession, path: str) -> DataFrame:

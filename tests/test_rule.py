@@ -178,7 +178,9 @@ def test_readers_round_trip(spark, tmp_path):
     assert [(r.CT1, r.FLAIR) for r in readers.manifest(spark, str(tmp_path / "m.csv"), ["CT1", "FLAIR"]).collect()] == [(True, False), (True, True)]
     (tmp_path / "r.csv").write_text('Patient,Date,"Rating (a, b)","Rating rationale (x)"\nP1,week-000,SD,none\nP1,week-000,SD,none\nP2,week-001,PD,a\nP2,week-001,SD,b\n')
     clean, odd = readers.ratings(spark, str(tmp_path / "r.csv"))
-    assert [r.rating for r in clean.collect()] == ["SD"] and odd.count() == 2
+    assert {(r.patient, r.rating, r.rationale) for r in clean.collect()} == {("P1", "SD", "none"), ("P2", "SD", "b")}  # the later row counts
+    assert [(r.patient, r.rating) for r in odd.collect()] == [("P2", "PD")]
+    assert readers.cohort_file(spark, str(tmp_path / "r.csv")).columns == ["Patient", "Date", "Rating", "Rationale"]
     (tmp_path / "v/P1/week-000-2").mkdir(parents=True)
     (tmp_path / "v/P1/week-000-2/vol.json").write_text(json.dumps({"Enhancing_Core": 5.0, "Edema_Compartment": 2.0}))
     assert {(r.patient, r.timepoint, r.compartment, r.volume_mm3) for r in readers.volume_json(spark, str(tmp_path / "v")).collect()} == {("P1", "week-000-2", "enhancing", 5.0), ("P1", "week-000-2", "edema", 2.0)}
@@ -191,7 +193,16 @@ def test_readers_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "p")).count() == 2
     readers.write_worksheet(rows, str(tmp_path / "w"))
     assert spark.read.csv(str(tmp_path / "w"), header=True).columns[-2:] == ["verdict", "note"]
-    assert readers.only_new(rows, rows.where("week = 1"), ["patient"]).count() == 1
+    new = readers.only_new(rows, rows.where("week = 1"), ["patient"])
+    assert new.count() == 1
+    rows.where("week = 1").write.parquet(str(tmp_path / "cache"))
+    readers.append_results(new, str(tmp_path / "cache"), ["patient"])
+    assert sorted(r.patient for r in spark.read.parquet(str(tmp_path / "cache")).collect()) == ["p", "q"]
+    volumes = spark.createDataFrame([("P1", "week-000", "atlas", "CT1", "edema", 2.0), ("P1", "week-000", "native", "CT1", "edema", 3.0)], "patient string, timepoint string, space string, modality string, compartment string, volume_mm3 double")
+    readers.write_tidy_volumes(volumes, str(tmp_path / "volumes"))
+    assert spark.read.parquet(str(tmp_path / "volumes")).where("patient = 'P1'").count() == 2
+    volumes.write.csv(str(tmp_path / "tidy"), header=True)
+    assert [r.volume_mm3 for r in readers.tidy_volumes(spark, str(tmp_path / "tidy")).collect()] == [2.0]
 
 
 def test_streaming_calls_equal_the_batch_rule(spark, tmp_path):
