@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, neardup, ppm, sharding, surrogates, toxicity, url_reputation
+from . import bpe, chat, decontam, exact_dedup, jaccard_join, neardup, ppm, runs, sharding, surrogates, toxicity, url_reputation, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,7 +143,28 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs.find_runs(runs.with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = rows.select("doc_id", "runs", "collapsed", longest.alias("best"), F.size("runs").cast("long").alias("n_runs"))
+    return rows.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(listed, F.when(F.col("n_runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return rows.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    "op1_bpe": op1_bpe, "op2_url_reputation": op2_url_reputation, "op3_toxicity": op3_toxicity, "op4_decontam": op4_decontam, "op5_sharding": op5_sharding, "op6_surrogates": op6_surrogates, "op7_exact_dedup": op7_exact_dedup, "op8_ppm": op8_ppm, "op9_near_dedup": op9_near_dedup, "op10_chat": op10_chat,
+    "op1_bpe": op1_bpe, "op2_url_reputation": op2_url_reputation, "op3_toxicity": op3_toxicity, "op4_decontam": op4_decontam, "op5_sharding": op5_sharding, "op6_surrogates": op6_surrogates, "op7_exact_dedup": op7_exact_dedup, "op8_ppm": op8_ppm, "op9_near_dedup": op9_near_dedup, "op10_chat": op10_chat, "op11_runs": op11_runs, "op12_whitening": op12_whitening, "op13_jaccard_join": op13_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_reputation": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op10_chat": OP10_SQL}
