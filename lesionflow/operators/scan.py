@@ -2,7 +2,7 @@
 
 A scan is bounded by its grid, so tasks stay bounded as tables grow; components of graphs without such a
 key are in ``plans.components``. Cells are numbered by scan, x, y and z in one 64-bit integer; coordinates lie
-between 0 and 4094, so that no neighbour of a cell is taken for a cell of another row or scan."""
+between 0 and 4094, so that no neighbour of a cell is taken for a cell of another row or scan; others raise an error."""
 
 from __future__ import annotations
 
@@ -51,6 +51,8 @@ def by_scan(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str)
 def numbered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Each row's scan number in the table, and its cell's number in the scan."""
     patient, visit, x, y, z = (table.column(c).to_numpy().astype(np.int64) for c in (*SCAN, "x", "y", "z"))
+    if len(x) and not 0 <= min(x.min(), y.min(), z.min()) <= max(x.max(), y.max(), z.max()) < SIDE - 1:
+        raise ValueError(f"coordinates of cells must lie between 0 and {SIDE - 2}")
     scan = np.cumsum(np.r_[True, (patient[1:] != patient[:-1]) | (visit[1:] != visit[:-1])]) - 1
     return scan, (x * SIDE + y) * SIDE + z
 

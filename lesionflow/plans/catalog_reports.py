@@ -364,63 +364,6 @@ def d25(spark, sf_dir):
     return rows.groupBy("rating").agg(F.count(F.lit(1)).alias("silent"), fired.alias("fired"), F.round(fired / F.count(F.lit(1)), 6).alias("rate"))
 
 
-@query(
-    "j23_treated_zone",
-    f"""WITH {ONE}, vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c)),
-    seed AS (SELECT v.patient, v.visit, (SELECT max(q.visit) FROM visits q WHERE q.patient = v.patient AND q.visit < v.visit AND q.rating = 'Post-Op') AS seeded FROM visits v WHERE v.rating IN ('CR','PR','SD','PD')),
-    g AS (SELECT c.patient, c.visit, seed.seeded, c.x, c.y, c.z FROM c JOIN vp USING (patient, visit) JOIN seed USING (patient, visit) WHERE previous IS NOT NULL AND seeded IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c o WHERE o.patient = c.patient AND o.visit = previous AND o.x = c.x AND o.y = c.y AND o.z = c.z)),
-    m AS (SELECT unnest([0, 1, 2]) AS margin)
-    SELECT margin, patient, visit, count(*) AS gained, count(*) FILTER (NOT EXISTS (SELECT 1 FROM voxels z WHERE z.patient = g.patient AND z.visit = g.seeded AND z.label IN (1, 2) AND abs(z.x - g.x) <= margin AND abs(z.y - g.y) <= margin AND abs(z.z - g.z) <= margin)) AS outside FROM g, m GROUP BY ALL""",
-    "voxels", "visits",
-)
-def j23(spark, sf_dir):
-    """Gained cells outside the approximate treated zone: labels 1 and 2 at the latest Post-Op visit, dilated by each margin."""
-    own = cells(spark, sf_dir, 1).select(*voxel.CELL).distinct()
-    pairs = voxel.visit_pairs(own)
-    notes = frame(spark, sf_dir, "visits")
-    before = Window.partitionBy("patient").orderBy("visit").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = notes.withColumn("at", F.max(F.when(F.col("rating") == "Post-Op", F.col("visit"))).over(before)).where(F.col("rating").isin(*evaluate.CLASSES) & F.col("at").isNotNull()).select("patient", "visit", "at")
-    old = own.withColumnRenamed("visit", "previous")
-    gained = stash(own.join(pairs, voxel.SCAN).join(old, ["patient", "previous", "x", "y", "z"], "left_anti").join(seeds, voxel.SCAN).select("patient", "visit", "at", "x", "y", "z"))
-    zone, out = cells(spark, sf_dir, 1, 2).select(*voxel.CELL).distinct(), None
-    for margin in (0, 1, 2):
-        near = voxel.dilate(zone, margin, LO, HI).withColumnRenamed("visit", "at").withColumn("inside", F.lit(1))
-        part = gained.join(near, ["patient", "at", "x", "y", "z"], "left").groupBy("patient", "visit").agg(F.count(F.lit(1)).alias("gained"), F.count(F.when(F.col("inside").isNull(), 1)).alias("outside")).withColumn("margin", F.lit(margin))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query(
-    "j24_mismatch",
-    """WITH b AS (SELECT DISTINCT patient, visit, x, y, z FROM voxels), vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM b)),
-    u AS (SELECT patient, visit, previous, x, y, z, max(now) AS now, max(old) AS old FROM (SELECT b.patient, b.visit, previous, x, y, z, 1 AS now, 0 AS old FROM b JOIN vp USING (patient, visit) WHERE previous IS NOT NULL
-      UNION ALL SELECT b.patient, vp.visit, previous, x, y, z, 0, 1 FROM b JOIN vp ON vp.patient = b.patient AND vp.previous = b.visit) GROUP BY ALL),
-    q AS (SELECT patient, visit, quantile_cont(z, 0.05) FILTER (now = 1 AND old = 1) AS lo, quantile_cont(z, 0.95) FILTER (now = 1 AND old = 1) AS hi, greatest(sum(now), sum(old)) / greatest(least(sum(now), sum(old)), 1) AS volume_ratio FROM u GROUP BY ALL)
-    SELECT u.patient, u.visit, round(max(volume_ratio), 6) AS volume_ratio, count(*) FILTER (now <> old) AS mismatch, count(*) FILTER (now <> old AND (z < lo OR z > hi)) AS at_ends,
-      count(*) FILTER (now <> old AND EXISTS (SELECT 1 FROM voxels l WHERE l.patient = u.patient AND l.visit IN (u.visit, u.previous) AND l.label = 1 AND abs(l.x - u.x) + abs(l.y - u.y) + abs(l.z - u.z) <= 2)) AS near_lesion
-    FROM u JOIN q USING (patient, visit) GROUP BY ALL""",
-    "voxels",
-)
-def j24(spark, sf_dir):
-    """Where the masks of consecutive visits differ: ratio of volumes, cells beyond the middle 90 % of the stack, cells within two face steps of a lesion."""
-    own = cells(spark, sf_dir).select(*voxel.CELL).distinct()
-    pairs = voxel.visit_pairs(own)
-    key = ["patient", "visit", "previous", "x", "y", "z"]
-    now = own.join(pairs, voxel.SCAN).select(*key, F.lit(1).alias("now"), F.lit(0).alias("old"))
-    old = own.withColumnRenamed("visit", "previous").join(pairs, ["patient", "previous"]).select(*key, F.lit(0).alias("now"), F.lit(1).alias("old"))
-    u = now.union(old).groupBy(*key).agg(F.max("now").alias("now"), F.max("old").alias("old"))
-    shared = F.when((F.col("now") == 1) & (F.col("old") == 1), F.col("z"))
-    sums = F.sum("now"), F.sum("old")
-    q = u.groupBy(*voxel.SCAN).agg(F.percentile(shared, 0.05).alias("lo"), F.percentile(shared, 0.95).alias("hi"), (F.greatest(*sums) / F.greatest(F.least(*sums), F.lit(1))).alias("volume_ratio"))
-    diamond = [(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3) if abs(a) + abs(b) + abs(c) <= 2]
-    lesion = cells(spark, sf_dir, 1).select(*voxel.CELL).distinct()
-    seed = lesion.join(pairs, voxel.SCAN).select(*key).union(lesion.withColumnRenamed("visit", "previous").join(pairs, ["patient", "previous"]).select(*key))
-    near = voxel.shifted(seed, diamond).select("patient", "visit", *((F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz")).distinct().withColumn("near", F.lit(1))
-    rows = u.join(q, voxel.SCAN).join(near, voxel.CELL, "left").withColumn("differs", F.col("now") != F.col("old"))
-    count = lambda c, n: F.count(F.when(F.col("differs") & c, 1)).alias(n)
-    return rows.groupBy(*voxel.SCAN).agg(F.round(F.max("volume_ratio"), 6).alias("volume_ratio"), count(F.lit(True), "mismatch"), count((F.col("z") < F.col("lo")) | (F.col("z") > F.col("hi")), "at_ends"), count(F.col("near").isNotNull(), "near_lesion"))
-
-
 @query(
     "d33_registration_summary",
     f"""WITH {ONE}, vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c)), n AS (SELECT patient, visit, count(*) AS n FROM c GROUP BY ALL),

@@ -124,13 +124,6 @@ def f01(spark, sf_dir):
     return voxel.lesions(cells(spark, sf_dir, 1), floor=5).where("rank <= 5")
 
 
-@query_recursive("j14_new_by_overlap", f"""WITH {R26}, kk AS (SELECT k.*, root FROM k JOIN roots USING (patient, visit, cell)), vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c))
-SELECT kk.patient, kk.visit, kk.root, count(*) AS n FROM kk JOIN vp ON vp.patient = kk.patient AND vp.visit = kk.visit AND previous IS NOT NULL GROUP BY kk.patient, kk.visit, kk.root, previous
-HAVING NOT bool_or(EXISTS (SELECT 1 FROM c o WHERE o.patient = kk.patient AND o.visit = previous AND abs(o.x - kk.x) <= 1 AND abs(o.y - kk.y) <= 1 AND abs(o.z - kk.z) <= 1))""")
-def j14(spark, sf_dir):
-    return voxel.new_by_overlap(voxel.label_components(cells(spark, sf_dir, 1)), 1, LO, HI)
-
-
 @query_recursive("c14_component_overlaps", f"""WITH {R26}, kk AS (SELECT k.*, root FROM k JOIN roots USING (patient, visit, cell)), vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c))
 SELECT a.patient, a.visit, a.root, previous, b.root AS parent, count(*) AS n FROM kk a JOIN vp ON vp.patient = a.patient AND vp.visit = a.visit JOIN kk b ON b.patient = a.patient AND b.visit = previous AND b.cell = a.cell GROUP BY ALL""")
 def c14(spark, sf_dir):
@@ -178,11 +171,6 @@ s AS (SELECT patient, visit, previous, (SELECT count(*) FROM c WHERE c.patient =
   (SELECT count(*) FROM c n JOIN c o USING (patient, x, y, z) WHERE n.patient = vp.patient AND n.visit = vp.visit AND o.visit = vp.previous) AS kept FROM vp WHERE previous IS NOT NULL)"""
 
 
-@query("j16_growth", f"{GROWTH} SELECT patient, visit, previous, kept, a - kept AS gained, b - kept AS lost, round(100.0 * kept / b, 6) AS stable_pct FROM s", "voxels")
-def j16(spark, sf_dir):
-    return voxel.growth(cells(spark, sf_dir, 1)).select("patient", "visit", "previous", "kept", "gained", "lost", F.round("stable_pct", 6).alias("stable_pct"))
-
-
 @query("c13_kept_gained_lost", f"{GROWTH} SELECT CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(a - kept) AS BIGINT) AS gained, CAST(sum(b - kept) AS BIGINT) AS lost FROM s", "voxels")
 def c13(spark, sf_dir):
     return voxel.growth(cells(spark, sf_dir, 1)).agg(*(F.sum(c).alias(c) for c in ("kept", "gained", "lost")))
@@ -227,14 +215,6 @@ def g03(spark, sf_dir):
     return cells(spark, sf_dir).groupBy("patient", "visit").agg(*(F.count(F.when(F.col("label").isin(*s), 1)).alias(k) for k, s in sets.items()))
 
 
-@query("j20_best_shift", f"""WITH {ONE}, vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c)),
-m AS (SELECT c.patient, c.visit, previous, o.x - c.x AS dx, o.y - c.y AS dy, o.z - c.z AS dz, count(*) AS both_n FROM c JOIN vp USING (patient, visit) JOIN c o ON o.patient = c.patient AND o.visit = previous AND abs(o.x - c.x) <= 2 AND abs(o.y - c.y) <= 2 AND abs(o.z - c.z) <= 2 GROUP BY ALL),
-n AS (SELECT patient, visit, count(*) AS n FROM c GROUP BY ALL), j AS (SELECT m.*, 100.0 * both_n / (a.n + b.n - both_n) AS jaccard_pct FROM m JOIN n a ON a.patient = m.patient AND a.visit = m.visit JOIN n b ON b.patient = m.patient AND b.visit = m.previous)
-SELECT patient, visit, previous, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy, CAST(dz AS INTEGER) AS dz, round(jaccard_pct, 6) AS jaccard_pct FROM j QUALIFY row_number() OVER (PARTITION BY patient, visit ORDER BY jaccard_pct DESC, abs(dx) + abs(dy) + abs(dz), dx, dy, dz) = 1""", "voxels")
-def j20(spark, sf_dir):
-    return voxel.best_shift(cells(spark, sf_dir, 1)).withColumn("jaccard_pct", F.round("jaccard_pct", 6))
-
-
 @query("j22_outside_lesion", f"WITH {ONE} SELECT v.patient, v.visit, count(*) AS n FROM (SELECT DISTINCT patient, visit, x, y, z FROM voxels) v WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.patient = v.patient AND c.visit = v.visit AND abs(c.x - v.x) <= 1 AND abs(c.y - v.y) <= 1 AND abs(c.z - v.z) <= 1) GROUP BY ALL", "voxels")
 def j22(spark, sf_dir):
     near = voxel.dilate(cells(spark, sf_dir, 1), 1, LO, HI)
@@ -245,17 +225,3 @@ def j22(spark, sf_dir):
 def j27(spark, sf_dir):
     near = voxel.dilate(cells(spark, sf_dir, 1), 1, LO, HI)
     return cells(spark, sf_dir, 2, 3).join(near, voxel.CELL, "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("j17_overlap_by_tolerance", f"""WITH {ONE}, vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c)),
-t AS (SELECT unnest([0, 1, 2, 3, 5]) AS tolerance), s AS (SELECT c.patient, c.visit, tolerance, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM c o WHERE o.patient = c.patient AND o.visit = previous AND abs(o.x - c.x) <= tolerance AND abs(o.y - c.y) <= tolerance AND abs(o.z - c.z) <= tolerance)) AS near FROM c JOIN vp USING (patient, visit), t WHERE previous IS NOT NULL GROUP BY ALL)
-SELECT tolerance, count(*) AS scans, round(quantile_cont(near / n, 0.5), 6) AS median_share, round(quantile_cont(near / n, 0.25), 6) AS p25_share, count(*) FILTER (near / n > 0.5) AS over_half FROM s GROUP BY tolerance""", "voxels")
-def j17(spark, sf_dir):
-    own = cells(spark, sf_dir, 1).select(*voxel.CELL).distinct()
-    pairs = voxel.visit_pairs(own)
-    out = None
-    for t in (0, 1, 2, 3, 5):
-        near = voxel.dilate(own, t, LO, HI).withColumnRenamed("visit", "previous").withColumn("near", F.lit(1))
-        part = own.join(pairs, voxel.SCAN).join(near, ["patient", "previous", "x", "y", "z"], "left").groupBy("patient", "visit").agg((F.count("near") / F.count(F.lit(1))).alias("share")).withColumn("tolerance", F.lit(t))
-        out = part if out is None else out.union(part)
-    return out.groupBy("tolerance").agg(F.count(F.lit(1)).alias("scans"), F.round(F.percentile("share", 0.5), 6).alias("median_share"), F.round(F.percentile("share", 0.25), 6).alias("p25_share"), F.count(F.when(F.col("share") > 0.5, 1)).alias("over_half"))
