@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import stash
+from . import order
+
 
 def average_rank(order: Column, *by: str) -> Column:
     """Rank of ``order`` within by, ties sharing the mean of their places."""
@@ -12,22 +17,6 @@ def average_rank(order: Column, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (peers - 1) / 2
 
 
-#: Ranges of values that are ranked apart, and how exactly their limits halve the rows.
-RANGES, ACCURACY = 256, 10_000
-
-
-def spread_rank(rows: DataFrame, value: str, *by: str, name: str = "rank") -> DataFrame:
-    """Adds the average rank of ``value`` within by without gathering a group: approximate percentiles cut its values into RANGES
-    ranges, the sizes of the ranges have a running total, and only rows of one range are ordered together."""
-    at = [i / RANGES for i in range(1, RANGES)]
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, at, ACCURACY).alias("cuts"))
-    cuts = F.broadcast(cuts)  # a row for each group, of RANGES numbers
-    ranged = (rows.join(cuts, list(by)) if by else rows.crossJoin(cuts)).withColumn("range", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col(value)))).drop("cuts")
-    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most for each group
-    sizes = ranged.groupBy(*by, "range").agg(F.count(F.lit(1)).alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
-    return ranged.join(sizes, [*by, "range"]).withColumn(name, F.col("offset") + average_rank(F.col(value), *by, "range")).drop("range", "offset")
-
-
 def event_table(rows: DataFrame, group: str = "grp", time: str = "weeks") -> DataFrame:
     """(group, time, deaths, at_risk): distinct times of a group, all events observed."""
     deaths = rows.groupBy(group, time).agg(F.count(F.lit(1)).alias("deaths"))
@@ -56,13 +45,29 @@ def log_rank(rows: DataFrame, a: str, b: str, group: str = "grp", time: str = "w
     expected = F.col("d") * F.col("n_a") / F.col("n")
     variance = F.when(F.col("n") > 1, F.col("d") * (F.col("n_a") / F.col("n")) * (1 - F.col("n_a") / F.col("n")) * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
     out = per.agg(F.sum("d_a").alias("observed"), F.sum(expected).alias("expected"), F.sum(variance).alias("variance"))
-    return out.withColumn("chi2", (F.col("observed") - F.col("expected")) * (F.col("observed") - F.col("expected")) / F.col("variance"))
+    out = out.withColumn("chi2", (F.col("observed") - F.col("expected")) * (F.col("observed") - F.col("expected")) / F.col("variance"))
+    return out.withColumn("p", chi_square_tail(F.col("chi2")))
+
+
+def chi_square_tail(x: Column) -> Column:
+    """The share of a chi-square distribution with 1 degree of freedom above x: the complementary error function of sqrt(x / 2), below 2 by the series of
+    erf in rising powers, whose terms are all positive, above by its continued fraction from the inside out. Negative and null values give null."""
+    z = F.sqrt(x / 2)
+    term = F.struct(z.alias("term"), z.alias("sum"))
+
+    def longer(s: Column, k: Column) -> Column:
+        term = s["term"] * 2 * z * z / (2 * k + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    series = 1 - 2 / math.sqrt(math.pi) * F.exp(-z * z) * F.aggregate(F.sequence(F.lit(1), F.lit(60)), term, longer, lambda s: s["sum"])
+    inner = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), z, lambda t, k: z + k / 2 / t)
+    return F.when(z < 2, series).when(z >= 2, F.exp(-z * z) / (math.sqrt(math.pi) * inner))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, rho) over rows that have both values."""
-    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    ranked = spread_rank(spread_rank(both, a, name="rank_a"), b, name="rank_b")
+    both = stash(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b))
+    ranked = order.with_rank(order.with_rank(both, a, name="rank_a"), b, name="rank_b")
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("rank_a", "rank_b").alias("rho"))
 
 
@@ -76,78 +81,13 @@ def bland_altman(rows: DataFrame, a: str, b: str) -> DataFrame:
 def feature_auc(vectors: DataFrame, vector: str, positive: Column, least: int = 6) -> DataFrame:
     """(feature, n_pos, n_neg, auc) per place of a vector: Mann-Whitney with average ranks; features need ``least`` rows on both sides."""
     rows = vectors.select(positive.alias("pos"), F.posexplode(vector).alias("feature", "value"))
-    rows = spread_rank(rows, "value", "feature")
-    out = rows.groupBy("feature").agg(F.count(F.when(F.col("pos"), 1)).alias("n_pos"), F.count(F.when(~F.col("pos"), 1)).alias("n_neg"), F.sum(F.when(F.col("pos"), F.col("rank"))).alias("r"))
+    marks = {"pos": F.count(F.when(F.col("pos"), 1)), "neg": F.count(F.when(~F.col("pos"), 1))}
+    ranked = order.places(rows, "value", "feature", also=marks)  # the ranks are summed by value, no row gets its own
+    out = ranked.groupBy("feature").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("before") + (F.col("m") + 1) / 2)).alias("r"))
     out = out.where((F.col("n_pos") >= least) & (F.col("n_neg") >= least))
     return out.select("feature", "n_pos", "n_neg", ((F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
-def correlations(vectors: DataFrame, key: str, vector: str, first: int) -> DataFrame:
-    """(i, j, abs_corr) of the first places of a vector, i < j: one pass of sums per pair inside each row."""
-    pairs = vectors.select(F.expr(f"transform(sequence(0, {first - 2}), i -> transform(sequence(i + 1, {first - 1}), j -> struct(i AS i, j AS j, CAST({vector}[i] AS DOUBLE) AS a, CAST({vector}[j] AS DOUBLE) AS b)))").alias("p"))
-    rows = pairs.select(F.explode(F.flatten("p")).alias("p")).select("p.*")
-    return rows.groupBy("i", "j").agg(F.abs(F.corr("a", "b")).alias("abs_corr"))
-
-
-def all_correlations(vectors: DataFrame, vector: str) -> DataFrame:
-    """(i, j, abs_corr) of all pairs of places, i < j, as many as the longest vector has; rows where either value is missing do not count for a pair.
-
-    Each batch gives one row per pair: its number of rows, means and sums of squared deviations and products about
-    them, which merge exactly by the law of the parallel variance, so no offset of the values is lost to rounding."""
-    size = vectors.select(F.max(F.size(vector))).first()[0] or 0
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        i, j = np.triu_indices(size, 1)
-        for batch in batches:
-            x = np.full((batch.num_rows, size), np.nan)
-            for row, values in zip(x, batch.column(0).to_pylist()):
-                if values:
-                    row[: len(values)] = [np.nan if v is None else v for v in values]
-            seen = ~np.isnan(x)
-            z = np.where(seen, x, 0.0)
-            f = seen.astype(float)
-            n = f.T @ f
-            shift = z.sum(0) / np.maximum(1, f.sum(0))
-            z = np.where(seen, x - shift, 0.0)
-            a = z.T @ f  # sums of place i over the rows that have place j too
-            least = np.maximum(1, n)
-            xx = (z * z).T @ f - a * a / least
-            xy = z.T @ z - a * a.T / least
-            mean = shift[:, None] + a / least
-            keep = n[i, j] > 0
-            i_, j_ = i[keep], j[keep]
-            columns = [n[i_, j_], mean[i_, j_], mean[j_, i_], xx[i_, j_], xx[j_, i_], xy[i_, j_]]
-            yield pa.RecordBatch.from_arrays([pa.array(i_, pa.int32()), pa.array(j_, pa.int32()), *map(pa.array, columns)], ["i", "j", "n", "ma", "mb", "aa", "bb", "ab"])
-
-    parts = vectors.select(vector).mapInArrow(run, "i int, j int, n double, ma double, mb double, aa double, bb double, ab double")
-    parts = parts.groupBy("i", "j").agg(F.collect_list(F.struct("n", "ma", "mb", "aa", "bb", "ab")).alias("parts"))
-
-    def merged(s: Column, t: Column) -> Column:
-        n = s["n"] + t["n"]
-        da, db, w = t["ma"] - s["ma"], t["mb"] - s["mb"], s["n"] * t["n"] / n
-        return F.struct(n.alias("n"), (s["ma"] + da * t["n"] / n).alias("ma"), (s["mb"] + db * t["n"] / n).alias("mb"), (s["aa"] + t["aa"] + da * da * w).alias("aa"), (s["bb"] + t["bb"] + db * db * w).alias("bb"), (s["ab"] + t["ab"] + da * db * w).alias("ab"))
-
-    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "ma", "mb", "aa", "bb", "ab")))
-    whole = parts.select("i", "j", F.aggregate("parts", zero, merged).alias("s")).select("i", "j", "s.*")
-    return whole.select("i", "j", F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.abs(F.col("ab") / F.sqrt(F.col("aa")) / F.sqrt(F.col("bb")))).alias("abs_corr"))
-
-
-def standardised_pca(vectors: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
-    """One row (component, explained) per component of the standardised features (population sd). Signs of components are arbitrary, so only shares are given."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    long = vectors.select(F.col(key).alias("row"), F.posexplode(vector).alias("feature", "value"))
-    moments = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    scaled = long.join(moments, "feature").withColumn("z", F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0))
-    rows = scaled.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "z"))), lambda s: s["z"]).alias("z")).select(array_to_vector("z").alias("v"))
-    shares = PCA(k=k, inputCol="v", outputCol="p").fit(rows).explainedVariance.toArray().tolist()
-    return vectors.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(shares)], "component int, explained double")
-
-
 def bootstrap_difference(per_patient: DataFrame, classes: list[str], draws: int = 2000) -> DataFrame:
     """(draw, difference): the balanced accuracy of b less that of a, over patients drawn with replacement.
 

@@ -8,20 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import stash
 
 
-def places(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """(by, value, m, before): each distinct value of a group, how many rows have it, and how many have a smaller one. Nulls are left out."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("m"))
+def places(rows: DataFrame, value: str, *by: str, also: dict[str, Column] | None = None) -> DataFrame:
+    """(by, value, m, before): each distinct value of a group, how many rows have it, and how many have a smaller one; ``also``: further aggregates
+    of the rows of a value. Nulls are left out."""
+    more = [c.alias(k) for k, c in (also or {}).items()]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("m"), *more)
     ranged = stash(counts.repartitionByRange(*(F.col(c) for c in (*by, value))).withColumn("part", F.spark_partition_id()))
     earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range that a group reaches into
     sums = ranged.groupBy(*by, "part").agg(F.sum("m").alias("rows")).withColumn("offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
     within = Window.partitionBy(*by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(sums, [*by, "part"]).select(*by, value, "m", (F.col("offset") + F.coalesce(F.sum("m").over(within), F.lit(0))).alias("before"))
+    return ranged.join(sums, [*by, "part"]).select(*by, value, "m", *(also or {}), (F.col("offset") + F.coalesce(F.sum("m").over(within), F.lit(0))).alias("before"))
 
 
 def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *by: str, nearest: bool = False) -> DataFrame:
@@ -50,3 +52,12 @@ def with_rank(rows: DataFrame, value: str, *by: str, name: str = "rank") -> Data
     """Adds the average rank of ``value`` within by, from 1; equal values share the mean of their places; nulls have none."""
     ranks = places(rows, value, *by).select(*by, value, (F.col("before") + (F.col("m") + 1) / 2).alias(name))
     return rows.join(ranks, [*by, value], "left")
+
+
+def medians(rows: DataFrame, columns: dict[str, str], *by: str) -> DataFrame:
+    """(by, the median of each column under its new name): null where a group has no value; a row for each group, one of nulls without ``by`` and rows."""
+    out = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
+    for name, column in columns.items():
+        part = percentiles(rows, column, {name: 0.5}, *by).drop("n")
+        out = out.join(part, list(by), "left") if by else out.crossJoin(part)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import cohort, evaluate, validate
+from ..operators import cohort, evaluate, gram, order, validate
 from ..sources.fixtures import frame, oracle
 from . import catalog_rule
 from .catalog_voxel import DET
@@ -123,7 +123,7 @@ def e08(spark, sf_dir):
 def e09(spark, sf_dir):
     rows = frame(spark, sf_dir, "scans").where("week IS NOT NULL").select("patient", "week").distinct()
     gaps = rows.select((F.col("week") - F.lag("week").over(Window.partitionBy("patient").orderBy("week"))).alias("gap")).where("gap IS NOT NULL")
-    return gaps.agg(*(F.percentile("gap", q).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))), F.count("gap").alias("n"))
+    return order.percentiles(gaps, "gap", {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 @query("e11_transitions", "SELECT a, b, count(*) AS n FROM (SELECT rating AS a, lead(rating) OVER (PARTITION BY patient ORDER BY rn) AS b FROM scans WHERE rating IN ('CR', 'PR', 'SD', 'PD', 'Post-Op')) WHERE b IS NOT NULL GROUP BY ALL", "scans")
@@ -184,9 +184,12 @@ def k01m(spark, sf_dir):
     return cohort.median_survival(cohort.kaplan_meier(frame(spark, sf_dir, "survival")))
 
 
-@query("k02_log_rank", "WITH p AS (SELECT weeks, count(*) AS d, count(*) FILTER (grp = 'BUILDING') AS da FROM survival WHERE grp IN ('BUILDING', 'MACHINERY') GROUP BY weeks), n AS (SELECT *, sum(d) OVER (ORDER BY weeks DESC) AS n, sum(da) OVER (ORDER BY weeks DESC) AS na FROM p), s AS (SELECT sum(da) AS observed, sum(d * na / n) AS expected, sum(CASE WHEN n > 1 THEN d * (na / n) * (1 - na / n) * (n - d) / (n - 1) ELSE 0 END) AS variance FROM n) SELECT CAST(observed AS BIGINT) AS observed, round(expected, 6) AS expected, round((observed - expected) * (observed - expected) / variance, 6) AS chi2 FROM s", "survival")
+@query("k02_log_rank", "WITH p AS (SELECT weeks, count(*) AS d, count(*) FILTER (grp = 'BUILDING') AS da FROM survival WHERE grp IN ('BUILDING', 'MACHINERY') GROUP BY weeks), n AS (SELECT *, sum(d) OVER (ORDER BY weeks DESC) AS n, sum(da) OVER (ORDER BY weeks DESC) AS na FROM p), s AS (SELECT sum(da) AS observed, sum(d * na / n) AS expected, sum(CASE WHEN n > 1 THEN d * (na / n) * (1 - na / n) * (n - d) / (n - 1) ELSE 0 END) AS variance FROM n), x AS (SELECT *, (observed - expected) * (observed - expected) / variance AS chi2 FROM s), e AS (SELECT sqrt(chi2 / 2) AS z, 0 AS k, sqrt(chi2 / 2) AS term, sqrt(chi2 / 2) AS total FROM x UNION ALL SELECT z, k + 1, term * 2 * z * z / (2 * k + 3), total + term * 2 * z * z / (2 * k + 3) FROM e WHERE k < 300) SELECT CAST(observed AS BIGINT) AS observed, round(expected, 6) AS expected, round((observed - expected) * (observed - expected) / variance, 6) AS chi2, round(1 - 2 / sqrt(pi()) * exp(-chi2 / 2) * (SELECT max(total) FROM e), 9) AS p FROM x", "survival")
 def k02(spark, sf_dir):
-    return cohort.log_rank(frame(spark, sf_dir, "survival"), "BUILDING", "MACHINERY").select("observed", F.round("expected", 6).alias("expected"), F.round("chi2", 6).alias("chi2"))
+    return cohort.log_rank(frame(spark, sf_dir, "survival"), "BUILDING", "MACHINERY").select("observed", F.round("expected", 6).alias("expected"), F.round("chi2", 6).alias("chi2"), F.round("p", 9).alias("p"))
+
+
+ORACLE["k02_log_rank"] = ORACLE["k02_log_rank"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("k03_spearman", "WITH r AS (SELECT rank() OVER (ORDER BY tool_a) + (count(*) OVER (PARTITION BY tool_a) - 1) / 2.0 AS a, rank() OVER (ORDER BY tool_b) + (count(*) OVER (PARTITION BY tool_b) - 1) / 2.0 AS b FROM methods) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r", "methods")
@@ -205,19 +208,34 @@ def k05(spark, sf_dir):
     return cohort.feature_auc(rows, "embedding", F.col("label") == 1).withColumn("auc", F.round("auc", 6))
 
 
-@query("k06_correlations", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(abs(corr(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE)), 6) AS abs_corr FROM embeddings, range(0, 8) a(i), range(0, 8) b(j) WHERE i < j GROUP BY ALL")
-def k06(spark, sf_dir):
-    return cohort.correlations(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 8).withColumn("abs_corr", F.round("abs_corr", 6))
-
-
 @query("k06_correlations_whole", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(abs(corr(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE)), 6) AS abs_corr FROM embeddings, range(0, (SELECT max(len(embedding)) FROM embeddings)) a(i), range(0, (SELECT max(len(embedding)) FROM embeddings)) b(j) WHERE i < j GROUP BY ALL")
 def k06_whole(spark, sf_dir):
-    return cohort.all_correlations(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding").withColumn("abs_corr", F.round("abs_corr", 6))
+    return gram.all_correlations(embedded(spark, sf_dir), "embedding").withColumn("abs_corr", F.round("abs_corr", 6))
+
+
+# all pairs too; a smaller form had this name before
+QUERIES["k06_correlations"], ORACLE["k06_correlations"] = QUERIES["k06_correlations_whole"], ORACLE["k06_correlations_whole"]
+
+
+def embedded(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
 @query("k07_pca")
 def k07(spark, sf_dir):
-    return cohort.standardised_pca(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return gram.components(embedded(spark, sf_dir), "embedding")[0]
+
+
+@query("k07_loadings")
+def k07_loadings(spark, sf_dir):
+    return gram.components(embedded(spark, sf_dir), "embedding")[1]
+
+
+@query("k07_scores")
+def k07_scores(spark, sf_dir):
+    rows = embedded(spark, sf_dir)
+    _, _, mean, weights = gram.components(rows, "embedding")
+    return gram.scores(rows, "vec_id", "embedding", mean, weights)
 
 
 @query("k08_sign_test", f"WITH {catalog_rule.CALLS}, {catalog_rule.PAIRS}, d AS (SELECT count(*) FILTER (a.predicted = a.expert AND b.predicted <> b.expert) AS lost, count(*) FILTER (a.predicted <> a.expert AND b.predicted = b.expert) AS won FROM pairs a JOIN pairs b ON a.timepoint = b.timepoint AND a.profile = 'mrano_volumetric' AND b.profile = 'rano_classic_ported') SELECT lost, won, round(least(1.0, 2 * (SELECT sum(exp(lgamma(lost + won + 1) - lgamma(i + 1) - lgamma(lost + won - i + 1) - (lost + won) * ln(2))) FROM range(0, least(lost, won) + 1) r(i))), 6) AS p FROM d", "scans")

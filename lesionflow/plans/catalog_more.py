@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import cohort, evaluate, rule, ruler, timeline, voxel
+from ..operators import cohort, evaluate, order, rule, ruler, timeline, voxel
 from ..sources.fixtures import frame, oracle
 from . import catalog_rule
 from .catalog_cohort import BAND
 from .catalog_voxel import FACES, HI, LO, ONE, R6, R26, cells, recursive
+from .shared import stash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -79,14 +80,6 @@ def c05(spark, sf_dir):
     return rated.join(frame(spark, sf_dir, "methods").select("timepoint"), "timepoint", "left_anti").select("patient", "timepoint")
 
 
-@query("c06_manifest_audit", "SELECT coalesce(g.patient, v.patient) AS patient, g.patient IS NOT NULL AS listed, v.patient IS NOT NULL AS present FROM (SELECT DISTINCT patient FROM geometry WHERE patient % 3 <> 0) g FULL JOIN (SELECT DISTINCT patient FROM voxels WHERE patient % 5 <> 0) v ON g.patient = v.patient WHERE g.patient IS NULL OR v.patient IS NULL", "geometry", "voxels")
-def c06(spark, sf_dir):
-    listed = frame(spark, sf_dir, "geometry").where("patient % 3 <> 0").select("patient").distinct().withColumn("listed", F.lit(True))
-    present = frame(spark, sf_dir, "voxels").where("patient % 5 <> 0").select("patient").distinct().withColumn("present", F.lit(True))
-    both = listed.join(present, "patient", "full").select("patient", F.col("listed").isNotNull().alias("listed"), F.col("present").isNotNull().alias("present"))
-    return both.where("listed <> present")
-
-
 @query("c09_first_later_scan", "SELECT s.timepoint, (SELECT min_by(q.timepoint, q.rn) FROM scans q WHERE q.patient = s.patient AND q.rn > s.rn AND q.week - s.week >= 4) AS later FROM scans s", "scans")
 def c09(spark, sf_dir):
     rows = scans(spark, sf_dir).withColumn("me", F.when(F.col("week").isNotNull(), F.struct("rn", "timepoint")))
@@ -133,7 +126,7 @@ def c20(spark, sf_dir):
 def d17(spark, sf_dir):
     rows = frame(spark, sf_dir, "methods").where("tool_a > 0").join(scans(spark, sf_dir).where("enhancing_mm3 IS NOT NULL"), "timepoint")
     rows = rows.select(scalars.uncertainty_pp(F.col("enhancing_mm3")).alias("pp"), (100.0 * (F.col("tool_b") - F.col("tool_a")) / F.col("tool_a")).alias("d"))
-    return rows.groupBy("pp").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("d", 0.9) - F.percentile("d", 0.1), 6).alias("spread")).where("n >= 20")
+    return order.percentiles(rows, "d", {"p10": 0.1, "p90": 0.9}, "pp").where("n >= 20").select("pp", "n", F.round(F.col("p90") - F.col("p10"), 6).alias("spread"))
 
 
 @query("d18_availability", "SELECT arm, round(avg((week IS NOT NULL)::INT), 6) AS dated, round(avg((enhancing_mm3 IS NOT NULL)::INT), 6) AS measured, round(avg((rating IS NOT NULL)::INT), 6) AS rated FROM scans GROUP BY arm", "scans")
@@ -168,7 +161,8 @@ def d28(spark, sf_dir):
 
 @query("d32_median_volumes", "SELECT rating, median(enhancing_mm3) AS enhancing, median(necrosis_mm3) AS necrosis, median(t2_flair_mm3) AS t2 FROM scans WHERE rating IS NOT NULL GROUP BY rating", "scans")
 def d32(spark, sf_dir):
-    return scans(spark, sf_dir).where("rating IS NOT NULL").groupBy("rating").agg(F.median("enhancing_mm3").alias("enhancing"), F.median("necrosis_mm3").alias("necrosis"), F.median("t2_flair_mm3").alias("t2"))
+    rows = scans(spark, sf_dir).where("rating IS NOT NULL")
+    return order.medians(stash(rows), {"enhancing": "enhancing_mm3", "necrosis": "necrosis_mm3", "t2": "t2_flair_mm3"}, "rating")
 
 
 @query("d35_missed_progression_reasons", f"WITH {catalog_rule.CALLS}, {catalog_rule.PAIRS} SELECT count(*) AS missed, count(*) FILTER (contains(lower(rationale), 'new')) AS new_lesion, count(*) FILTER (contains(lower(rationale), 't2')) AS t2 FROM pairs JOIN rationale USING (timepoint) WHERE profile = 'mrano_volumetric' AND expert = 'PD' AND predicted <> 'PD'", "scans", "rationale")
@@ -339,13 +333,6 @@ def d24(spark, sf_dir):
     return rows.groupBy("threshold").agg(*(F.count(F.when(c, 1)).alias(k) for k, c in (("tp", new & hit), ("fp", ~new & hit), ("fn", new & ~hit), ("tn", ~new & ~hit))))
 
 
-@query("d39_floor_trade_off", f"WITH {R26}, s AS (SELECT patient, visit, root, count(*) AS n FROM roots GROUP BY ALL), f AS (SELECT unnest([1, 3, 5]) AS floor), per AS (SELECT patient, visit, floor, count(*) FILTER (n >= floor) AS lesions FROM s, f GROUP BY ALL) SELECT floor, least(lesions, 8) AS lesions, count(*) AS scans FROM per GROUP BY ALL", "voxels")
-def d39(spark, sf_dir):
-    sizes = voxel.label_components(cells(spark, sf_dir, 1)).groupBy("patient", "visit", "root").agg(F.count(F.lit(1)).alias("n"))
-    per = sizes.crossJoin(F.broadcast(spark.createDataFrame([(1,), (3,), (5,)], "floor int"))).groupBy("patient", "visit", "floor").agg(F.count(F.when(F.col("n") >= F.col("floor"), 1)).alias("lesions"))
-    return per.groupBy("floor", F.least(F.col("lesions"), F.lit(8).cast("long")).alias("lesions")).agg(F.count(F.lit(1)).alias("scans"))
-
-
 @query("e18_first_postop_removed", "WITH f AS (SELECT patient, min(rn) AS first_rn FROM scans WHERE rating = 'Post-Op' GROUP BY patient) SELECT s.patient, s.timepoint FROM scans s JOIN f USING (patient) WHERE rn <> first_rn AND rating IS DISTINCT FROM 'Pre-Op'", "scans")
 def e18(spark, sf_dir):
     rows = scans(spark, sf_dir).withColumn("first_rn", F.min(F.when(F.col("rating") == "Post-Op", F.col("rn"))).over(Window.partitionBy("patient")))

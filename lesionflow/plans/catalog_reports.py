@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rationale, scalars
-from ..operators import contract, evaluate, rule, timeline, validate, voxel
+from ..operators import contract, evaluate, order, rule, timeline, validate, visits, voxel
 from ..sources.fixtures import frame, oracle
 from . import catalog_rule
 from .catalog_cohort import S
@@ -16,8 +16,6 @@ from .shared import stash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-#: Lesion floors of the connectivity study, in cells.
-FLOORS = (0, 1, 2, 5, 10, 20, 33, 50, 100)
 #: Weeks after the first scan at which the cohort's radiotherapy ends, for patients whose own course is unknown.
 COHORT_END = 10.0
 DEFAULT = rule.profile("mrano_volumetric")
@@ -270,51 +268,6 @@ def sizes_of(rows: DataFrame, offsets) -> DataFrame:
     return voxel.label_components(rows, offsets).groupBy(*voxel.SCAN, "root").agg(F.count(F.lit(1)).alias("n"))
 
 
-R6_AS = ROOTS.format(one=ONE, near="AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) <= 1").removeprefix("RECURSIVE ").replace("k AS", "k6 AS").replace("FROM k ", "FROM k6 ").replace("JOIN k ", "JOIN k6 ").replace("n AS (SELECT a", "n6 AS (SELECT a").replace("JOIN n ON n.", "JOIN n6 n ON n.").replace("walk AS", "walk6 AS").replace("FROM walk ", "FROM walk6 walk ").replace("roots AS", "roots6 AS").split("k6 AS", 1)[1]
-BOTH = f"{R26}, k6 AS{R6_AS}, s26 AS (SELECT patient, visit, root, count(*) AS n FROM roots GROUP BY ALL), s6 AS (SELECT patient, visit, root, count(*) AS n FROM roots6 GROUP BY ALL)"
-RECORD = f"""{BOTH}, record AS (SELECT a.patient, a.visit, a.total, a.n26, b.n6, a.largest FROM (SELECT patient, visit, CAST(sum(n) AS BIGINT) AS total, count(*) AS n26, max(n) AS largest FROM s26 GROUP BY ALL) a JOIN (SELECT patient, visit, count(*) AS n6 FROM s6 GROUP BY ALL) b USING (patient, visit))"""
-
-
-def both_sizes(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    own = cells(spark, sf_dir, 1).select(*voxel.CELL).distinct()
-    return sizes_of(own, voxel.HALF_26), sizes_of(own, voxel.HALF_6)
-
-
-@query("d16_connectivity_record", f"WITH {RECORD} SELECT patient, visit, total, n26, n6, largest, round(largest / total, 4) AS largest_share FROM record", "voxels")
-def d16(spark, sf_dir):
-    s26, s6 = both_sizes(spark, sf_dir)
-    a = s26.groupBy(*voxel.SCAN).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n26"), F.max("n").alias("largest"))
-    rows = a.join(s6.groupBy(*voxel.SCAN).agg(F.count(F.lit(1)).alias("n6")), list(voxel.SCAN))
-    return rows.select("patient", "visit", "total", "n26", "n6", "largest", F.round(F.col("largest") / F.col("total"), 4).alias("largest_share"))
-
-
-@query(
-    "d15_connectivity_by_floor",
-    f"""WITH {BOTH}, f AS (SELECT unnest([{', '.join(map(str, FLOORS))}]) AS floor),
-    a AS (SELECT patient, visit, floor, count(*) FILTER (n >= floor) AS k26, sum(n) AS total, coalesce(sum(n) FILTER (n < floor), 0) AS lost FROM s26, f GROUP BY ALL), b AS (SELECT patient, visit, floor, count(*) FILTER (n >= floor) AS k6 FROM s6, f GROUP BY ALL),
-    j AS (SELECT * FROM a JOIN b USING (patient, visit, floor))
-    SELECT floor, count(*) AS scans, count(*) FILTER (k26 = k6) AS agree, count(*) FILTER (k26 > k6) AS more_26, count(*) FILTER (k6 > k26) AS more_6, max(abs(k26 - k6)) AS widest, CAST(sum(lost) AS BIGINT) AS discarded,
-      round(max(lost / total), 6) AS worst_share, list_sort(list(k26))[count(*) // 2 + 1] AS median_lesions, count(*) FILTER (k26 = 1) AS single FROM j GROUP BY floor""",
-    "voxels",
-)
-def d15(spark, sf_dir):
-    """For each floor: how often the lesion counts of both connectivities agree, and what the floor throws away."""
-    s26, s6 = both_sizes(spark, sf_dir)
-    floors = F.broadcast(spark.createDataFrame([(f,) for f in FLOORS], "floor int"))
-    above = F.count(F.when(F.col("n") >= F.col("floor"), 1))
-    a = s26.crossJoin(floors).groupBy(*voxel.SCAN, "floor").agg(above.alias("k26"), F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("n") < F.col("floor"), F.col("n"))), F.lit(0)).alias("lost"))
-    rows = a.join(s6.crossJoin(floors).groupBy(*voxel.SCAN, "floor").agg(above.alias("k6")), [*voxel.SCAN, "floor"])
-    count = lambda c, n: F.count(F.when(c, 1)).alias(n)
-    # the median as the study takes it, the element at half the number of scans, by counts of each number of lesions
-    per = rows.groupBy("floor", "k26").agg(F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy("floor")
-    middle = per.withColumns({"upto": F.sum("m").over(w.orderBy("k26")), "all": F.sum("m").over(w)}).where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("floor").agg(F.min("k26").alias("median_lesions"))
-    out = rows.groupBy("floor").agg(
-        F.count(F.lit(1)).alias("scans"), count(F.col("k26") == F.col("k6"), "agree"), count(F.col("k26") > F.col("k6"), "more_26"), count(F.col("k6") > F.col("k26"), "more_6"), F.max(F.abs(F.col("k26") - F.col("k6"))).alias("widest"),
-        F.sum("lost").alias("discarded"), F.round(F.max(F.col("lost") / F.col("total")), 6).alias("worst_share"), count(F.col("k26") == 1, "single"))
-    return out.join(middle, "floor")
-
-
 GAINED = f"""{ONE}, vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c)),
 gained AS (SELECT c.patient, c.visit, c.x, c.y, c.z FROM c JOIN vp USING (patient, visit) WHERE previous IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c o WHERE o.patient = c.patient AND o.visit = previous AND abs(o.x - c.x) <= 1 AND abs(o.y - c.y) <= 1 AND abs(o.z - c.z) <= 1))"""
 LUMPS = ROOTS.format(one=GAINED, near="").replace("FROM c),", "FROM gained),", 1)
@@ -373,9 +326,11 @@ def d25(spark, sf_dir):
     "voxels",
 )
 def d33(spark, sf_dir):
-    own = cells(spark, sf_dir, 1)
-    rows = voxel.best_shift(own, 1).select(*voxel.SCAN, F.col("jaccard_pct").alias("best")).join(voxel.growth(own).select(*voxel.SCAN, F.col("jaccard_pct").alias("still")), voxel.SCAN)
-    return rows.agg(F.count(F.lit(1)).alias("visits"), F.round(F.median("still"), 6).alias("median_before"), F.round(F.median("best"), 6).alias("median_after"), F.round(F.min("still"), 6).alias("worst_before"), F.round(F.min("best"), 6).alias("worst_after"), F.count(F.when(F.col("best") < F.col("still") - 0.5, 1)).alias("worsened"), F.count(F.when(F.col("best") > F.col("still"), 1)).alias("registered"))
+    moved = visits.compared(cells(spark, sf_dir, 1), reach=1).where("moved_common IS NOT NULL")
+    share = lambda c: 100.0 * F.col(c) / (F.col("n") + F.col("n_previous") - F.col(c))
+    rows = stash(moved.select(share("moved_common").alias("best"), share("kept").alias("still")))
+    out = rows.agg(F.count(F.lit(1)).alias("visits"), F.round(F.min("still"), 6).alias("worst_before"), F.round(F.min("best"), 6).alias("worst_after"), F.count(F.when(F.col("best") < F.col("still") - 0.5, 1)).alias("worsened"), F.count(F.when(F.col("best") > F.col("still"), 1)).alias("registered"))
+    return out.crossJoin(order.medians(rows, {"median_before": "still", "median_after": "best"}).select(F.round("median_before", 6).alias("median_before"), F.round("median_after", 6).alias("median_after")))
 
 
 #: What a measuring tool reports for each scan, its names in another order than the labels: off by a few voxels.
@@ -455,7 +410,9 @@ def d22(spark, sf_dir):
 def d32(spark, sf_dir):
     """Median volumes of scans after a complete resection and of other progressions."""
     rows = scans(spark, sf_dir).join(frame(spark, sf_dir, "rationale").select("timepoint", rationale.features(F.col("rationale"))["cret"].alias("cret")), "timepoint").where(F.col("cret") | (F.col("rating") == "PD"))
-    return rows.groupBy(F.when(F.col("cret"), "CRET").otherwise("PD").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.median("enhancing_mm3").alias("enhancing"), F.median("necrosis_mm3").alias("necrosis"), F.median("t2_flair_mm3").alias("t2"))
+    rows = stash(rows.withColumn("kind", F.when(F.col("cret"), "CRET").otherwise("PD")))
+    middle = order.medians(rows, {"enhancing": "enhancing_mm3", "necrosis": "necrosis_mm3", "t2": "t2_flair_mm3"}, "kind")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(middle, "kind")
 
 
 @query(

@@ -123,6 +123,29 @@ FROM customer
 """,
     "survival": """
 SELECT c_custkey AS patient, c_mktsegment AS grp, CAST(1 + (c_custkey * 7919) % 180 AS DOUBLE) AS weeks, 1 AS event FROM customer
+""",
+    "native_masks": """
+SELECT g.patient, g.timepoint, g.modality, g.s0, g.s1, g.s2, CASE WHEN (g.timepoint + g.k) % 37 = 0 AND c.label = 3 THEN 9 ELSE c.label END AS label,
+  CAST(floor(c.mm3 * (1.0E0 + g.k * (g.timepoint % 21 - 10) / 400.0E0) / (g.s0 * g.s1 * g.s2)) AS BIGINT) AS n
+FROM (SELECT o_orderkey AS timepoint, o_custkey AS patient, modality, k,
+    CASE WHEN k = 0 THEN 1.0E0 ELSE 0.5E0 + 0.25E0 * (o_orderkey % 3) END AS s0, CASE WHEN k = 0 THEN 1.0E0 ELSE 0.5E0 + 0.25E0 * (o_orderkey % 3) END AS s1,
+    CASE WHEN k = 0 THEN 1.0E0 WHEN (o_orderkey + k) % 5 = 0 THEN 0.5E0 + 0.25E0 * (o_orderkey % 3) WHEN (o_orderkey + k) % 5 = 1 THEN 2.0E0 WHEN (o_orderkey + k) % 5 = 2 THEN 4.0E0 WHEN (o_orderkey + k) % 5 = 3 THEN 5.5E0 ELSE 7.0E0 END AS s2
+  FROM orders CROSS JOIN (SELECT 'atlas' AS modality, 0 AS k UNION ALL SELECT 'CT1', 1 UNION ALL SELECT 'T1', 2 UNION ALL SELECT 'T2', 3 UNION ALL SELECT 'FLAIR', 4) m
+  WHERE NOT (k = 0 AND o_orderkey % 29 = 0) AND NOT (k > 0 AND (o_orderkey + k) % 23 = 0)) g
+JOIN (SELECT l_orderkey AS timepoint, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS label, 40.0E0 * CAST(sum(l_quantity) AS DOUBLE) AS mm3
+  FROM lineitem GROUP BY l_orderkey, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END) c ON c.timepoint = g.timepoint
+""",
+    "claims": """
+SELECT o_custkey AS patient, o_orderkey AS timepoint, item, CASE WHEN (o_orderkey * 7 + k) % 53 = 0 THEN NULL ELSE (o_orderkey * 7 + k) % 13 <> 0 END AS present
+FROM orders CROSS JOIN (SELECT 'CT1' AS item, 1 AS k UNION ALL SELECT 'T1', 2 UNION ALL SELECT 'T2', 3 UNION ALL SELECT 'FLAIR', 4 UNION ALL SELECT 'DeepBraTumIA', 5) m
+WHERE o_orderkey % 43 <> 0
+""",
+    "archive": """
+SELECT concat('Imaging/Patient-', CAST(o_custkey AS VARCHAR(20)), '/week-', CAST(o_orderkey AS VARCHAR(20)), CASE WHEN k = 5 THEN '/DeepBraTumIA-segmentation/atlas/segmentation/seg_mask.nii.gz' ELSE concat('/', item, '.nii.gz') END) AS path,
+  CASE WHEN (o_orderkey + k) % 61 = 0 THEN 0 ELSE 1000 + o_orderkey END AS length
+FROM orders CROSS JOIN (SELECT 'CT1' AS item, 1 AS k UNION ALL SELECT 'T1', 2 UNION ALL SELECT 'T2', 3 UNION ALL SELECT 'FLAIR', 4 UNION ALL SELECT 'DeepBraTumIA', 5) m
+WHERE ((o_orderkey * 7 + k) % 13 <> 0) <> ((o_orderkey + 3 * k) % 41 = 0)
+UNION ALL SELECT concat('Imaging/Patient-', CAST(o_custkey AS VARCHAR(20)), '/week-', CAST(o_orderkey AS VARCHAR(20)), '/notes.txt'), 10 FROM orders WHERE o_orderkey % 10 = 0
 """,
     "methods": """
 SELECT l_orderkey AS timepoint, sum(l_quantity) AS tool_a, sum(l_extendedprice) / 1500.0 AS tool_b FROM lineitem GROUP BY l_orderkey

@@ -1,10 +1,12 @@
 """Checks on broken records, ranks, components and statistics against plain versions."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lesionflow.operators import cohort, contract, scan, timeline, validate, voxel
+from lesionflow.operators import cohort, contract, gram, nested, order, scan, timeline, validate, voxel
 
 
 def test_broken_records_are_told(spark):
@@ -33,13 +35,12 @@ def test_orientation_codes(spark):
     assert all(r.got == r.code for r in rows.select(contract.orientation(scalars.affine()).alias("got"), "code").collect())
 
 
-def test_spread_ranks_equal_plain_ranks(spark, monkeypatch):
-    monkeypatch.setattr(cohort, "RANGES", 7)
+def test_spread_ranks_equal_plain_ranks(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 500), rng.integers(0, 60, 500))], "g int, v double")
-    got = cohort.spread_rank(rows, "v", "g").withColumn("plain", cohort.average_rank(F.col("v"), "g"))
+    got = order.with_rank(rows, "v", "g").withColumn("plain", cohort.average_rank(F.col("v"), "g"))
     assert got.count() == 500 and got.where("rank <> plain").count() == 0
-    assert cohort.spread_rank(rows, "v").withColumn("plain", cohort.average_rank(F.col("v"))).where("rank <> plain").count() == 0
+    assert order.with_rank(rows, "v").withColumn("plain", cohort.average_rank(F.col("v"))).where("rank <> plain").count() == 0
 
 
 def test_components_of_scans_equal_a_walk(spark, monkeypatch):
@@ -76,9 +77,63 @@ def test_lesion_ids_follow_heirs(spark):
 def test_principal_components_equal_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
-    got = cohort.standardised_pca(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "k int, v array<double>"), "k", "v").collect()
-    values = np.linalg.svd((x - x.mean(0)) / x.std(0), compute_uv=False) ** 2
-    assert [r.explained for r in got] == pytest.approx((values / values.sum())[:2].tolist())
+    x[:, 4] = 3.0
+    rows = spark.createDataFrame([(i, (row + 1e6).tolist()) for i, row in enumerate(x)], "k int, v array<double>").repartition(5)
+    shares, loadings, mean, weights = gram.components(rows, "v", 3)
+    sd = x.std(0)
+    z = (x - x.mean(0)) / np.where(sd > 1e-9, sd, 1.0)
+    _, values, turn = np.linalg.svd(z, full_matrices=False)
+    turn = turn * np.sign(turn[np.arange(len(turn)), np.abs(turn).argmax(axis=1)])[:, None]
+    assert [r.explained for r in shares.orderBy("component").collect()] == pytest.approx((values**2 / (values**2).sum())[:3].tolist(), abs=1e-8)
+    assert [r.loading for r in loadings.orderBy("component", "feature").collect()] == pytest.approx(turn[:3].ravel().tolist(), abs=1e-6)
+    got = gram.scores(rows, "k", "v", mean, weights).orderBy("k", "component").collect()
+    assert [r.score for r in got] == pytest.approx((z @ turn[:3].T).ravel().tolist(), abs=1e-5)
+
+
+def test_tail_of_chi_square(spark):
+    xs = [0.0, 1e-9, 0.01, 0.5, 1.0, 3.841458820694124, 6.0, 7.999, 8.0, 8.001, 10.83, 30.0, 200.0, 1400.0]
+    rows = spark.createDataFrame([(x,) for x in xs] + [(None,), (-1.0,)], "x double")
+    got = [r.p for r in rows.select("x", cohort.chi_square_tail(F.col("x")).alias("p")).collect()]
+    for x, p in zip(xs, got):
+        want = math.erfc(math.sqrt(x / 2))
+        assert abs(p - want) < 1e-14 + 1e-12 * want
+    assert got[-2:] == [None, None] or (got[-2] is None and (got[-1] is None or math.isnan(got[-1])))
+
+
+def test_pieces_hang_under_their_lesion(spark):
+    """Both levels of the forest against plain walks."""
+    rng = np.random.default_rng(12)
+    cells = {(p, v, *map(int, c)) for p in (1, 2) for v in (1, 2) for c in rng.integers(0, 7, (110, 3))}
+    rows = spark.createDataFrame([(*c,) for c in cells], "patient bigint, visit bigint, x int, y int, z int")
+
+    def walk(own, near):
+        left, out = set(own), []
+        while left:
+            group, todo = set(), [min(left)]
+            while todo:
+                c = todo.pop()
+                if c in left:
+                    left.discard(c)
+                    group.add(c)
+                    todo += [d for d in left if near(c, d)]
+            out.append(group)
+        return out
+
+    close = lambda c, d: max(abs(a - b) for a, b in zip(c, d)) <= 1
+    number = lambda c: (c[0] * 4096 + c[1]) * 4096 + c[2]
+    pieces = {(r.patient, r.visit, r.root, r.z): r.pieces for r in nested.pieces(rows).collect()}
+    records = {(r.patient, r.visit): r for r in nested.records(rows).collect()}
+    want = {}
+    for p, v in records:
+        own = {c[2:] for c in cells if c[:2] == (p, v)}
+        lesions = sorted(walk(own, close), key=lambda g: (-len(g), min(g)))
+        flat = [{z: len(walk([c for c in g if c[2] == z], close)) for z in {c[2] for c in g}} for g in lesions]
+        want |= {(p, v, number(min(g)), z): n for g, f in zip(lesions, flat) for z, n in f.items()}
+        faces = walk(own, lambda c, d: sum(abs(a - b) for a, b in zip(c, d)) == 1)
+        r = records[p, v]
+        assert (r.total, r.sizes, r.sizes_6) == (len(own), [len(g) for g in lesions], sorted(map(len, faces), reverse=True))
+        assert (r.slices, r.fragmented) == (len(flat[0]), sum(n > 1 for n in flat[0].values()))
+    assert pieces == want
 
 
 def test_bootstrap_equals_a_plain_one_with_the_same_draws(spark):

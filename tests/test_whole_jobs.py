@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from lesionflow.operators import cohort, evaluate
+from lesionflow.operators import cohort, evaluate, gram
 from lesionflow.plans import catalog_cohort, catalog_rule
 
 
@@ -23,12 +23,12 @@ def test_correlations_with_offset_missing_and_constant_values(spark):
     x = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + 1e6
     x[:, 3] = 7.0
     rows = [(None if i % 50 == 0 else [None if i % 7 == 0 and j == 1 else float(v) for j, v in enumerate(r)],) for i, r in enumerate(x)]
-    got = {(r.i, r.j): r.abs_corr for r in cohort.all_correlations(spark.createDataFrame(rows, "v array<double>").repartition(5), "v").collect()}
+    got = {(r.i, r.j): r.abs_corr for r in gram.all_correlations(spark.createDataFrame(rows, "v array<double>").repartition(5), "v").collect()}
     seen = np.array([i % 50 != 0 for i in range(300)])
     both = seen & np.array([i % 7 != 0 for i in range(300)])
     for (i, j), rows_ in {(0, 1): both, (0, 2): seen, (1, 2): both}.items():
         assert got[i, j] == pytest.approx(abs(np.corrcoef(x[rows_][:, i], x[rows_][:, j])[0, 1]), abs=1e-9)
-    assert got[0, 3] is None and cohort.all_correlations(spark.createDataFrame([], "v array<double>"), "v").count() == 0
+    assert got[0, 3] is None and gram.all_correlations(spark.createDataFrame([], "v array<double>"), "v").count() == 0
 
 
 def test_guard_sweep_has_the_whole_grids(spark, sf_dir):
