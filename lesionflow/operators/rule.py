@@ -92,7 +92,7 @@ def single_scan(rows: DataFrame) -> DataFrame:
         .when(responds, made("PR", "enhancing"))
         .otherwise(made("SD", "enhancing"))
     )
-    return rows.withColumn("first", first).select("*", "first.*").drop("first", "pd_by", "in_window")
+    return rows.withColumn("first", first).select("*", "first.*").drop("first")
 
 
 def unknowns(call: Column) -> Column:
@@ -156,7 +156,7 @@ def trajectories(scans: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def confirmed(rows: DataFrame, weeks: float) -> DataFrame:
-    candidate = F.when(F.col("week").isNotNull() & (F.col("n") > 0), F.struct("n", "week", F.col("call").alias("call")))
+    candidate = F.when(F.col("week").isNotNull() & (F.col("n") > 0), F.struct("n", "week", F.col("call").alias("call"), "timepoint"))
     # A RANGE frame over doubles exists in SQL only; undated scans, whose frame would hold every row, are guarded.
     ahead = F.expr(f"min(candidate) OVER (PARTITION BY profile, patient ORDER BY week RANGE BETWEEN {weeks}D FOLLOWING AND UNBOUNDED FOLLOWING)")
     rows = rows.withColumn("candidate", candidate).withColumn("later", F.when(F.col("week").isNotNull(), ahead)).withColumn("call1", F.col("call"))
@@ -174,4 +174,5 @@ def confirmed(rows: DataFrame, weeks: float) -> DataFrame:
         "call": F.when(refuted, "SD").otherwise(call), "provisional": F.when(refuted, call).otherwise(F.col("provisional")), "driver": F.when(refuted, "confirmation").otherwise(F.col("driver")),
         "unknowns": F.when(note.isNotNull(), F.array_sort(F.concat(own, F.array(note)))).otherwise(own),
         "vs_nadir": F.when(~is_base, F.col("vs_nadir")), "vs_baseline": F.when(~is_base, F.col("vs_baseline")), "t2_vs_nadir": F.when(~is_base, F.col("t2_vs_nadir")),
-    }).drop("later", "call1", "candidate")
+        "refuted": refuted, "too_late": too_late,
+    }).withColumnsRenamed({"later": "confirming", "call1": "first_call"}).drop("candidate")

@@ -61,12 +61,6 @@ def a07(spark, sf_dir):
     return only_new(rows.select("patient", "timepoint"), rows.where("rn <= 2"), ["patient", "timepoint"])
 
 
-@query("a12_worksheet", f"WITH {catalog_rule.CALLS}, {catalog_rule.PAIRS} SELECT patient, timepoint, expert, predicted, '' AS verdict FROM pairs WHERE profile = 'mrano_volumetric' AND expert <> predicted", "scans")
-def a12(spark, sf_dir):
-    rows = evaluate.scorable(catalog_rule.rule_calls(spark, sf_dir, [rule.profile("mrano_volumetric")]))
-    return rows.where("expert <> predicted").select("patient", "timepoint", "expert", "predicted", F.lit("").alias("verdict"))
-
-
 @query("b18_flagged_progression", "SELECT s.timepoint FROM scans s JOIN rationale r USING (timepoint) WHERE s.rating = 'PD' AND (contains(lower(r.rationale), 'less than 3 months') OR contains(lower(r.rationale), 'irradiated'))", "scans", "rationale")
 def b18(spark, sf_dir):
     told = F.lower("rationale")

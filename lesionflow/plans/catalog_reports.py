@@ -205,28 +205,6 @@ def b17_dropped(spark, sf_dir):
 
 # --- adjudication and text against calls
 
-@query(
-    "i16_adjudication",
-    rf"""WITH {catalog_rule.RECORDS}, calls AS ({catalog_rule.rule_sql(DEFAULT).replace("round(vn, 6)", "vn").replace("round(vb, 6)", "vb").replace("rating, arm, week", "rating, arm, week, enhancing_mm3, nadir, baseline")}),
-    k AS (SELECT c.*, r.rationale, (SELECT min_by(q.timepoint, q.n) FROM calls q WHERE q.patient = c.patient AND q.n < c.n AND q.enhancing_mm3 = c.nadir AND q.baseline IS NOT DISTINCT FROM c.baseline) AS nadir_from
-      FROM calls c JOIN rationale r USING (timepoint) WHERE c.call IN ('CR','PR','SD','PD') AND c.rating IN ('CR','PR','SD','PD') AND c.call <> c.rating),
-    m AS (SELECT *, {BAND.format(v="enhancing_mm3")} + {BAND.format(v="nadir")} AS band FROM k)
-    SELECT timepoint, rating AS expert, call AS calc, CASE WHEN enhancing_mm3 = 0 THEN 1 WHEN regexp_matches(lower(rationale), '\bnew\b') OR regexp_matches(lower(rationale), 't2[- ]?progr') THEN 2 ELSE 3 END AS bucket,
-      nadir, round(band, 1) AS noise_band_pp, round(abs(vs_nadir) * 100 - band, 4) AS margin_pp, coalesce(vs_baseline <= -0.5 AND vs_nadir >= 0.4, FALSE) AS rebound,
-      lower(trim(rationale)) IN ('', 'none') AS rationale_blank FROM m""",
-    "scans", "rationale",
-)
-def i16(spark, sf_dir):
-    """One row for each disagreement with what is needed to judge it: bucket, nadir, noise of both volumes, margin beyond it, rebound after response, blank text."""
-    calls = catalog_rule.rule_calls(spark, sf_dir, [DEFAULT]).where(F.col("call").isin(*evaluate.CLASSES) & F.col("rating").isin(*evaluate.CLASSES) & (F.col("call") != F.col("rating")))
-    rows = calls.join(frame(spark, sf_dir, "rationale").select("timepoint", "rationale"), "timepoint")
-    band = scalars.uncertainty_pp(F.col("enhancing_mm3")) + scalars.uncertainty_pp(F.col("nadir"))
-    return rows.select(
-        "timepoint", F.col("rating").alias("expert"), F.col("call").alias("calc"), rationale.disagreement(F.col("enhancing_mm3"), F.col("rationale")).alias("bucket"), "nadir",
-        F.round(band, 1).alias("noise_band_pp"), F.round(F.abs("vs_nadir") * 100 - band, 4).alias("margin_pp"),
-        F.coalesce((F.col("vs_baseline") <= -0.5) & (F.col("vs_nadir") >= 0.4), F.lit(False)).alias("rebound"), (rationale.shown(F.col("rationale")) == "").alias("rationale_blank"),
-    )
-
 
 @query(
     "f03_worksheet_order",
