@@ -18,17 +18,20 @@ from pyspark.sql import functions as F
 from . import scan
 from .distance import Near, distances
 
+#: The label of a row that carries a visit's fit instead of a cell.
+FIT = -1
 HALF_26 = scan.steps_of([o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0)])
 
 
 @dataclass
 class Visit:
-    """One visit: its cells (n, 3) in order and their labels (the smallest where a cell repeats)."""
+    """One visit: its cells (n, 3) in order and their labels (the smallest where a cell repeats), and its fit where the rows carry one."""
 
     patient: int
     visit: int
     cells: np.ndarray
     labels: np.ndarray
+    fit: list[float] | None = None
 
     def only(self, *labels: int) -> np.ndarray:
         return self.cells[np.isin(self.labels, labels)]
@@ -36,12 +39,15 @@ class Visit:
 
 def visit_of(parts: list[pa.RecordBatch]) -> Visit:
     x, y, z, label = (np.concatenate([p.column(c).to_numpy() for p in parts]).astype(np.int64) for c in ("x", "y", "z", "label"))
+    fit = next((f for p in parts if "fit" in p.schema.names for f in p.column("fit").drop_null().to_pylist()), None)
+    if fit is not None:
+        x, y, z, label = (c[label != FIT] for c in (x, y, z, label))
     order = np.lexsort((label, z, y, x))
     cells = np.stack([x, y, z], axis=1)[order]
     if len(cells) and not 0 <= cells.min() <= cells.max() < scan.SIDE - 1:
         raise ValueError(f"coordinates of cells must lie between 0 and {scan.SIDE - 2}")
-    new = np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)]
-    return Visit(parts[0].column("patient")[0].as_py(), parts[0].column("visit")[0].as_py(), cells[new], label[order][new])
+    new = np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)] if len(cells) else np.zeros(0, bool)
+    return Visit(parts[0].column("patient")[0].as_py(), parts[0].column("visit")[0].as_py(), cells[new], label[order][new], fit)
 
 
 def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[Visit]:
@@ -61,8 +67,8 @@ def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[Visit]:
         yield visit_of(held)
 
 
-def by_patient(rows: DataFrame, work: Callable[[Iterator[Visit]], Iterator[dict]], schema: str, more: str = "") -> DataFrame:
-    """``work`` over the visits of all patients of a task, in order; rows: patient, visit, x, y, z, label."""
+def by_patient(rows: DataFrame, work: Callable[[Iterator[Visit]], Iterator[dict]], schema: str) -> DataFrame:
+    """``work`` over the visits of all patients of a task, in order; rows: patient, visit, x, y, z, label, and fit where they have it."""
     spark_schema = rows.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +84,7 @@ def by_patient(rows: DataFrame, work: Callable[[Iterator[Visit]], Iterator[dict]
             yield pa.RecordBatch.from_pylist(held, kinds)
 
     columns = [F.col(c).cast("bigint").alias(c) for c in ("patient", "visit", "x", "y", "z", "label")]
+    columns += [F.col("fit")] if "fit" in rows.columns else []
     return rows.select(*columns).repartition("patient").sortWithinPartitions("patient", "visit").mapInArrow(run, schema)
 
 
@@ -233,3 +240,71 @@ def mismatch(rows: DataFrame, steps: tuple[int, ...] = (10,), lesion: int = 1, e
             }
 
     return by_patient(rows, work, "patient bigint, visit bigint, previous bigint, volume_ratio double, mismatch bigint, at_ends bigint, near array<bigint>")
+
+
+REGISTERED = "patient bigint, visit bigint, status string, overlap_before double, overlap_after double, centre_before double, centre_after double"
+#: Cells of the fixed grid that are mapped together.
+SLAB = 1 << 20
+
+
+def turned(fit: list[float]) -> np.ndarray:
+    """The rotation Z X Y of a fit's first three numbers, from fixed to moving coordinates."""
+    (sx, sy, sz), (cx, cy, cz) = np.sin(fit[:3]), np.cos(fit[:3])
+    about_y, about_x, about_z = np.array([[cy, 0, sy], [0, 1, 0], [-sy, 0, cy]]), np.array([[1, 0, 0], [0, cx, -sx], [0, sx, cx]]), np.array([[cz, -sz, 0], [sz, cz, 0], [0, 0, 1]])
+    return about_z @ about_x @ about_y
+
+
+def resampled(moving: np.ndarray, fit: list[float], low: tuple[int, int, int], high: tuple[int, int, int]) -> np.ndarray:
+    """The cells of the grid from low to high that the fit (three angles, a translation, a centre) maps onto cells of ``moving``, to the nearest one, halves away from 0."""
+    turn, shift, centre = turned(fit), np.array(fit[3:6]), np.array(fit[6:9])
+    shape = np.array(high) - low + 1
+    held = np.sort(numbers(moving))
+    out = []
+    for start in range(0, int(shape.prod()), SLAB):
+        at = np.stack(np.unravel_index(np.arange(start, min(start + SLAB, int(shape.prod()))), shape), axis=1) + low
+        there = (at - centre) @ turn.T + centre + shift
+        there = (np.sign(there) * np.floor(np.abs(there) + 0.5)).astype(np.int64)
+        inside = ((there >= 0) & (there < scan.SIDE - 1)).all(axis=1)
+        at, key = at[inside], numbers(there[inside])
+        place = np.minimum(np.searchsorted(held, key), len(held) - 1)
+        out.append(at[held[place] == key])
+    return np.concatenate(out)
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Shared cells in percent of all; None where there are none."""
+    both = int(np.isin(numbers(a), numbers(b)).sum())
+    whole = len(a) + len(b) - both
+    return 100.0 * both / whole if whole else None
+
+
+def registered(rows: DataFrame, fits: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
+    """Each visit against the patient's first one: overlap and distance of the centres before and after its fit, judged by whether the masks line up better.
+
+    fits: patient, visit, fit (rx, ry, rz, tx, ty, tz, cx, cy, cz). A fit that overlaps less than no fit at all gives way to a slide by the difference of the centres
+    (``fell back to translation``) if that overlaps more, else the visit stays as it is (``REJECTED - left unregistered``). The first visit is the ``anchor``. Visits without a fit
+    or without cells give no rows."""
+    cells = rows.select(*(F.col(c).cast("bigint").alias(c) for c in ("patient", "visit", "x", "y", "z", "label")), F.lit(None).cast("array<double>").alias("fit"))
+    marks = fits.select(F.col("patient").cast("bigint").alias("patient"), F.col("visit").cast("bigint").alias("visit"), *(F.lit(0).cast("bigint").alias(c) for c in "xyz"), F.lit(FIT).cast("bigint").alias("label"), F.col("fit").cast("array<double>").alias("fit"))
+
+    def work(visits: Iterator[Visit]) -> Iterator[dict]:
+        anchor = None
+        for now in visits:
+            if not len(now.cells):
+                continue
+            if anchor is None or anchor.patient != now.patient:
+                anchor = now
+                yield {"patient": now.patient, "visit": now.visit, "status": "anchor", "overlap_before": 100.0, "overlap_after": 100.0, "centre_before": 0.0, "centre_after": 0.0}
+                continue
+            if now.fit is None:
+                continue
+            away = lambda m: float(np.sqrt(((m.mean(axis=0) - anchor.cells.mean(axis=0)) ** 2).sum())) if len(m) else None  # noqa: E731, B023
+            before, moved, status = overlap(anchor.cells, now.cells), resampled(now.cells, now.fit, low, high), "registered"
+            if overlap(anchor.cells, moved) < before:
+                slide = (now.cells.mean(axis=0) - anchor.cells.mean(axis=0)).tolist()
+                moved, status = resampled(now.cells, [0.0, 0.0, 0.0, *slide, *now.fit[6:9]], low, high), "fell back to translation"
+                if overlap(anchor.cells, moved) <= before:
+                    moved, status = now.cells, "REJECTED - left unregistered"
+            yield {"patient": now.patient, "visit": now.visit, "status": status, "overlap_before": before, "overlap_after": overlap(anchor.cells, moved), "centre_before": away(now.cells), "centre_after": away(moved)}
+
+    return by_patient(cells.unionByName(marks), work, REGISTERED)

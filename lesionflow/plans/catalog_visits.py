@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, order, visits, voxel
 from ..sources.fixtures import frame, oracle
-from .catalog_voxel import ONE, R26, ROOTS, cells, recursive
+from .catalog_voxel import HI, LO, ONE, R26, ROOTS, cells, recursive
 from .shared import stash
 
 QUERIES: dict = {}
@@ -262,3 +262,48 @@ def j24_summary(spark, sf_dir):
 QUERIES["j24_mismatch_summary"] = j24_summary
 ORACLE["j24_mismatch_summary"] = f"""WITH j AS ({ORACLE['j24_mismatch']}) SELECT count(*) AS pairs, max(volume_ratio) AS worst_ratio, round(quantile_cont(volume_ratio, 0.5), 6) AS median_ratio,
 round(quantile_cont(100.0 * at_ends / mismatch, 0.5) FILTER (mismatch > 0), 6) AS median_at_ends, round(quantile_cont(100.0 * near_lesion / mismatch, 0.5) FILTER (mismatch > 0), 6) AS median_near FROM j"""
+
+
+#: Every visit against its patient's first one under a given fit: the three rotations written out as one matrix, the slide as the difference of the centres.
+REGISTERED = """b AS (SELECT DISTINCT patient, visit, x, y, z FROM voxels), a AS (SELECT patient, min(visit) AS anchor FROM b GROUP BY ALL), n AS (SELECT patient, visit, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM b GROUP BY ALL),
+v AS (SELECT n.patient, n.visit, anchor, n.n, k.n AS k, n.cx - k.cx AS sx, n.cy - k.cy AS sy, n.cz - k.cz AS sz, (n.patient % 5 - 2) * 0.11 AS ax, (n.patient % 3 - 1) * 0.13 AS ay, (n.visit % 4 - 1) * 0.17 AS az, n.visit % 3 - 1 AS t
+  FROM n JOIN a ON a.patient = n.patient JOIN n k ON k.patient = n.patient AND k.visit = anchor WHERE n.visit <> anchor),
+g AS (SELECT v.*, x, y, z FROM v, range(0, 8) p(x), range(0, 8) q(y), range(1, 8) r(z)),
+f AS (SELECT patient, visit, anchor, x, y, z, CAST(round((cos(az) * cos(ay) - sin(az) * sin(ax) * sin(ay)) * (x - 3.7) - sin(az) * cos(ax) * (y - 4.1) + (cos(az) * sin(ay) + sin(az) * sin(ax) * cos(ay)) * (z - 3.9) + 3.7 + t) AS BIGINT) AS fx,
+  CAST(round((sin(az) * cos(ay) + cos(az) * sin(ax) * sin(ay)) * (x - 3.7) + cos(az) * cos(ax) * (y - 4.1) + (sin(az) * sin(ay) - cos(az) * sin(ax) * cos(ay)) * (z - 3.9) + 4.1 + t) AS BIGINT) AS fy,
+  CAST(round(-cos(ax) * sin(ay) * (x - 3.7) + sin(ax) * (y - 4.1) + cos(ax) * cos(ay) * (z - 3.9) + 3.9 + t) AS BIGINT) AS fz, CAST(round(x + sx) AS BIGINT) AS tx, CAST(round(y + sy) AS BIGINT) AS ty, CAST(round(z + sz) AS BIGINT) AS tz FROM g),
+w AS (SELECT f.patient, f.visit, f.x, f.y, f.z, m.patient IS NOT NULL AS fitted, s.patient IS NOT NULL AS slid, o.patient IS NOT NULL AS fixed, h.patient IS NOT NULL AS here FROM f LEFT JOIN b m ON m.patient = f.patient AND m.visit = f.visit AND m.x = fx AND m.y = fy AND m.z = fz
+  LEFT JOIN b s ON s.patient = f.patient AND s.visit = f.visit AND s.x = tx AND s.y = ty AND s.z = tz LEFT JOIN b o ON o.patient = f.patient AND o.visit = f.anchor AND o.x = f.x AND o.y = f.y AND o.z = f.z LEFT JOIN b h ON h.patient = f.patient AND h.visit = f.visit AND h.x = f.x AND h.y = f.y AND h.z = f.z),
+e AS (SELECT patient, visit, 100.0 * count(*) FILTER (fixed AND here) / count(*) FILTER (fixed OR here) AS still, 100.0 * count(*) FILTER (fixed AND fitted) / count(*) FILTER (fixed OR fitted) AS fit, 100.0 * count(*) FILTER (fixed AND slid) / count(*) FILTER (fixed OR slid) AS slide FROM w GROUP BY ALL),
+s AS (SELECT patient, visit, still, CASE WHEN fit >= still THEN 'registered' WHEN slide > still THEN 'fell back to translation' ELSE 'REJECTED - left unregistered' END AS status, CASE WHEN fit >= still THEN fit WHEN slide > still THEN slide ELSE still END AS after FROM e),
+c AS (SELECT w.patient, w.visit, avg(w.x) AS mx, avg(w.y) AS my, avg(w.z) AS mz FROM w JOIN s USING (patient, visit) WHERE CASE status WHEN 'registered' THEN fitted WHEN 'fell back to translation' THEN slid ELSE here END GROUP BY ALL),
+j AS (SELECT s.patient, s.visit, status, still AS overlap_before, after AS overlap_after, sqrt(sx ** 2 + sy ** 2 + sz ** 2) AS centre_before, sqrt((mx - k.cx) ** 2 + (my - k.cy) ** 2 + (mz - k.cz) ** 2) AS centre_after FROM s JOIN v USING (patient, visit) JOIN n k ON k.patient = s.patient AND k.visit = v.anchor LEFT JOIN c USING (patient, visit)
+  UNION ALL SELECT patient, anchor, 'anchor', 100, 100, 0, 0 FROM a)"""
+FIGURES = ("overlap_before", "overlap_after", "centre_before", "centre_after")
+
+
+def fits(spark, sf_dir: str) -> DataFrame:
+    """A fit of each visit, as a registration would hand it over: some bring the masks closer together, some apart."""
+    shift = (F.col("visit") % 3 - 1).cast("double")
+    numbers = [(F.col("patient") % 5 - 2) * 0.11, (F.col("patient") % 3 - 1) * 0.13, (F.col("visit") % 4 - 1) * 0.17, shift, shift, shift, F.lit(3.7), F.lit(4.1), F.lit(3.9)]
+    return cells(spark, sf_dir).select(*voxel.SCAN).distinct().withColumn("fit", F.array(*(n.cast("double") for n in numbers)))
+
+
+@query("j21_registration", f"WITH {REGISTERED} SELECT patient, visit, status, {', '.join(f'round({c}, 6) AS {c}' for c in FIGURES)} FROM j", "voxels")
+def j21_registration(spark, sf_dir):
+    """Each visit's fit judged by whether the masks line up better, with a slide to fall back to."""
+    rows = visits.registered(cells(spark, sf_dir), fits(spark, sf_dir), LO, HI)
+    return rows.select("patient", "visit", "status", *(F.round(c, 6).alias(c) for c in FIGURES))
+
+
+@query(
+    "d33_registration_status",
+    f"WITH {REGISTERED} SELECT status, count(*) AS n, round(median(overlap_before), 6) AS median_before, round(median(overlap_after), 6) AS median_after, round(min(overlap_before), 6) AS worst_before, round(min(overlap_after), 6) AS worst_after, count(*) FILTER (overlap_after < overlap_before - 0.5) AS worsened FROM j GROUP BY status",
+    "voxels",
+)
+def d33_status(spark, sf_dir):
+    """How the fits came out, by status."""
+    rows = stash(visits.registered(cells(spark, sf_dir), fits(spark, sf_dir), LO, HI))
+    out = rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("overlap_before"), 6).alias("worst_before"), F.round(F.min("overlap_after"), 6).alias("worst_after"), count(F.col("overlap_after") < F.col("overlap_before") - 0.5).alias("worsened"))
+    middle = order.medians(rows, {"median_before": "overlap_before", "median_after": "overlap_after"}, "status")
+    return out.join(middle.select("status", F.round("median_before", 6).alias("median_before"), F.round("median_after", 6).alias("median_after")), "status")

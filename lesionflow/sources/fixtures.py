@@ -86,6 +86,17 @@ WHERE g.x <= 6 + s_suppkey % 4 - (CASE WHEN z.z = 1 THEN 1 ELSE 0 END) AND h.y <
   AND NOT (s_suppkey % 7 = 2 AND g.x = 3 AND h.y <= 4)
   AND NOT (s_suppkey % 7 = 3 AND g.x <= 3 AND h.y <= 3)
   AND NOT (s_suppkey % 7 = 4 AND g.x BETWEEN 3 AND 4 AND h.y >= 3)
+""",
+    "cores": """
+SELECT s_suppkey AS patient, CAST(1 AS BIGINT) AS visit, g.x, h.y, z.z, CASE WHEN (s_suppkey % 7 < 2 AND g.x BETWEEN 3 AND 4 AND h.y BETWEEN 3 AND 4)
+    OR (s_suppkey % 7 = 2 AND g.x = 3 AND h.y <= 4)
+    OR (s_suppkey % 7 = 3 AND g.x <= 3 AND h.y <= 3)
+    OR (s_suppkey % 7 = 4 AND g.x BETWEEN 3 AND 4 AND h.y >= 3) THEN 2 ELSE 1 END AS label
+FROM supplier
+CROSS JOIN (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS x FROM lineitem WHERE l_quantity <= 9) g
+CROSS JOIN (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS y FROM lineitem WHERE l_quantity <= 10) h
+CROSS JOIN (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS z FROM lineitem WHERE l_quantity <= 2) z
+WHERE g.x <= 6 + s_suppkey % 4 - (CASE WHEN z.z = 1 THEN 1 ELSE 0 END) AND h.y <= 6 + s_suppkey % 5
 """,
     "visits": """
 SELECT patient, visit, CASE (patient + visit) % 6 WHEN 0 THEN 'Post-Op' WHEN 1 THEN 'CR' WHEN 2 THEN 'PR' WHEN 3 THEN 'SD' ELSE 'PD' END AS rating,
@@ -109,7 +120,8 @@ SELECT o_custkey AS patient, o_orderkey AS timepoint,
        WHEN 8 THEN '10mm × 9mm, 10 MM X 9 MM' WHEN 9 THEN '12 X 13, Non-measurable L.'
        WHEN 10 THEN 'new non-measurable L. seen, Avastin started' WHEN 11 THEN 'New L. frontal; bevacizumab given'
        WHEN 12 THEN 'Temodal, non target L. stable' WHEN 13 THEN 'temozolomide; T2 Progr., nontarget l. larger'
-       WHEN 14 THEN 'stable' WHEN 15 THEN 'renewed imaging, PRETX, t2progr' WHEN 16 THEN 'newly nonmeasurable focus; target L. 1: 7 x 7'
+       WHEN 14 THEN 'stable' WHEN 15 THEN 'renewed imaging, PRETX, t2progr'
+       WHEN 16 THEN concat('newly nonmeasurable focus; target L. 1: ', CAST(4 + o_orderkey % 5 AS VARCHAR(9)), ' x ', CAST(3 + o_orderkey % 4 AS VARCHAR(9)))
        ELSE 'non-target L. and target L., new target lump' END AS rationale
 FROM orders
 """,

@@ -94,3 +94,15 @@ def test_exact_order_statistics(spark):
         own = [v for k, v in rows if k == r.g and v is not None]
         assert r["rank"] == (None if r.v is None else sum(v < r.v for v in own) + (own.count(r.v) + 1) / 2)
     assert len(ranks) == len(rows)
+
+
+def test_fits_are_judged_by_overlap(spark):
+    cube = lambda v, x0, y0=0: [(1, v, x0 + x, y0 + y, z, 1) for x in range(4) for y in range(5) for z in range(3)]
+    cells = cube(1, 10, 10) + cube(2, 12, 10) + cube(3, 13, 10) + cube(4, 10, 10) + cube(5, 11, 11) + [(2, 1, 1, 1, 1, 2), (2, 7, 1, 1, 1, 3)]
+    none, far = [0.0] * 9, [0.0, 0.0, 0.0, 30.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    fits = [(1, 1, none), (1, 2, [0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 5.0, 5.0, 5.0]), (1, 3, far), (1, 4, far), (2, 7, [np.pi / 2, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0])]
+    fits = spark.createDataFrame([(p, v, [float(x) for x in f]) for p, v, f in fits], "patient bigint, visit bigint, fit array<double>")
+    rows = {(r.patient, r.visit): r for r in visits.registered(table(spark, cells), fits, (0, 0, 0), (40, 40, 40)).collect()}
+    assert {k: r.status for k, r in rows.items()} == {(1, 1): "anchor", (1, 2): "registered", (1, 3): "fell back to translation", (1, 4): "REJECTED - left unregistered", (2, 1): "anchor", (2, 7): "registered"}
+    assert rows[1, 2].overlap_before == pytest.approx(100 / 3) and rows[1, 2].overlap_after == 100 and rows[1, 2].centre_before == 2 and rows[1, 2].centre_after == 0
+    assert rows[1, 3].overlap_before == pytest.approx(100 / 7) and rows[1, 3].overlap_after == 100 and rows[1, 4].overlap_after == 100
