@@ -12,8 +12,9 @@
    segments are raised to 2 where it costs least. The cost is measured on all documents: index rows plus pairs that would meet,
    counted on one in SAMPLE of the possible keys. It changes what the join costs, never what it returns.
 5. Documents with a common key are candidates. In each bucket all members are compared with the smallest doc_id first; confirmed
-   links give components. Buckets that still hold several components are worked through in pairs of blocks, inside tasks that
-   leave out pairs already joined or met under an earlier segment and put out only links that join components.
+   links give components. Of buckets of up to FEW members that still hold several, the distinct pairs across components are compared. Larger
+   ones are worked through in pairs of blocks, inside tasks that leave out pairs already joined or met under an earlier
+   segment and put out only links that join components.
 6. Every link is confirmed on full sets: 100 * intersection >= 90 * union. No bucket, pair or partner list is cut.
 
 Words: A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``. With fewer than three words the whole sequence is one shingle; a document without
@@ -45,6 +46,10 @@ WEIGHED = 63
 SAMPLE, PAIR = 64, 500
 #: Members of a bucket's centre that are compared in one task's group.
 STAR = 512
+#: Members up to which a bucket gives pairs (120 at most, and each only once for all buckets); beyond, blocks of the bucket meet.
+FEW = 16
+#: Shingles that are hashed to subsets together, and documents whose sets are held together.
+TOGETHER, DOCUMENTS = 400_000, 1000
 _W = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 Plan = tuple[int, frozenset[int]]  # number of segments, those of value 2
@@ -111,6 +116,10 @@ def subsets(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return segment, value, total
 
 
+def key_of(held: np.ndarray, segment: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return mixed(held * np.uint64(_W[0]) + mixed((segment + (band.astype(np.int64) << 40)).astype(np.uint64) * np.uint64(_W[2]))).view(np.int64)
+
+
 def keys_of(s: np.ndarray, band: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(key, segment) of the set in the band: each segment's subset, and the subsets with one deletion where the value is 2."""
     m, raised = plan
@@ -120,36 +129,102 @@ def keys_of(s: np.ndarray, band: int, plan: Plan) -> tuple[np.ndarray, np.ndarra
         if raised:
             gone = np.flatnonzero(np.isin(segment, np.array(sorted(raised))))
             at, held = np.concatenate([at, segment[gone]]), np.concatenate([total, total[segment[gone]] - value[gone]])
-        keys, first = np.unique(mixed(held * np.uint64(_W[0]) + mixed((at + (band << 40)).astype(np.uint64) * np.uint64(_W[2]))), return_index=True)
-    return keys.view(np.int64), at[first]
+        return key_of(held, at, np.full(len(at), band)), at
 
 
-def weighed_keys(s: np.ndarray) -> list[dict]:
-    """The sampled keys of all choices of the set's bands."""
-    out = []
-    with np.errstate(over="ignore"):
+def segmented(sets: list[np.ndarray], ms: list[int]) -> tuple[np.ndarray, ...]:
+    """``subsets`` of several sets at once: (entry, segment, value, slot) of each shingle, (entry, segment, total) of each slot."""
+    sizes, m = np.array([len(s) for s in sets]), np.array(ms)
+    flat, entry = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    segment = ((flat >> np.uint64(9)) % m.astype(np.uint64)[entry]).astype(np.int64)
+    value, base = mixed(flat ^ np.uint64(_W[1])), np.cumsum(m) - m
+    slot, total = base[entry] + segment, np.zeros(int(m.sum()), np.uint64)
+    np.add.at(total, slot, value)
+    of = np.repeat(np.arange(len(sets)), m)
+    return entry, segment, value, slot, of, np.arange(len(total)) - base[of], total
+
+
+def some_sets(sets: list[np.ndarray]) -> Iterator[list[tuple[int, int]]]:
+    """(number of the set, band) for all bands of the sets, about TOGETHER shingles at a time."""
+    held, size = [], 0
+    for k, s in enumerate(sets):
         for band in bands_of(len(s)):
-            if most_differences(band) > WEIGHED:
-                continue
-            for m in choices(band):
-                segment, value, total = subsets(s, m)
-                kinds = [(False, np.arange(m), total)] + ([(True, segment, total[segment] - value)] if m <= most_differences(band) else [])
-                for deleted, at, held in kinds:
-                    for i in np.flatnonzero(mixed(held + at.astype(np.uint64)) % np.uint64(SAMPLE) == 0).tolist():
-                        out.append({"band": band, "m": m, "segment": int(at[i]), "subset": int(held[i].view(np.int64)), "deleted": deleted})
-    return out
+            held.append((k, band))
+            size += len(s)
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def lists(docs: list[np.ndarray], columns: list[list[np.ndarray]], n: int) -> tuple[pa.Array, list[np.ndarray]]:
+    """(offsets of n lists, values of each column in the lists' order) from parts: the number of each value's list, and the values."""
+    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    order = np.argsort(doc, kind="stable")
+    offsets = np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32)
+    return pa.array(offsets, pa.int32()), [np.concatenate(c)[order] if c else np.zeros(0, np.int64) for c in columns]
+
+
+def weighed_keys(sets: list[np.ndarray]) -> pa.Array:
+    """For each set the sampled keys of all choices of its bands."""
+    docs, columns = [], [[] for _ in range(5)]
+    with np.errstate(over="ignore"):
+        for some in some_sets(sets):
+            some = [(k, band) for k, band in some if most_differences(band) <= WEIGHED]
+            for choice in range(3):
+                use = [(k, band, choices(band)[choice]) for k, band in some if choice < len(choices(band))]
+                if not use:
+                    continue
+                number, band, m = (np.array(c) for c in zip(*use))
+                h = np.array([most_differences(b) for b in band])
+                entry, segment, value, slot, of, at, total = segmented([sets[k] for k in number], m.tolist())
+                for deleted, where, place, held in ((False, of, at, total), (True, entry, segment, total[slot] - value)):
+                    hit = np.flatnonzero((mixed(held + place.astype(np.uint64)) % np.uint64(SAMPLE) == 0) & ((m <= h)[where] if deleted else True))
+                    docs.append(number[where[hit]])
+                    for c, v in zip(columns, (band[where[hit]], m[where[hit]], place[hit], held[hit].view(np.int64), np.full(len(hit), deleted))):
+                        c.append(v)
+    offsets, values = lists(docs, columns, len(sets))
+    kinds = [("band", pa.int32()), ("m", pa.int32()), ("segment", pa.int32()), ("subset", pa.int64()), ("deleted", pa.bool_())]
+    fields = [pa.array(v.astype(bool) if k == "deleted" else v, t) for v, (k, t) in zip(values, kinds)]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, [k for k, _ in kinds]))
+
+
+def all_keys(sets: list[np.ndarray], plans: dict[int, Plan]) -> pa.Array:
+    """For each set its index keys, those of ``keys_of`` in its bands."""
+    docs, keys = [], []
+    with np.errstate(over="ignore"):
+        for some in some_sets(sets):
+            number, band = (np.array(c) for c in zip(*some))
+            used = [plans.get(b) or plain(b) for b in band.tolist()]
+            entry, segment, value, slot, of, at, total = segmented([sets[k] for k in number], [m for m, _ in used])
+            parts = [(of, at, total)]
+            if any(more for _, more in used):
+                raised = np.zeros(len(total), bool)
+                starts = np.cumsum([0, *(m for m, _ in used)])
+                raised[[int(starts[e]) + k for e, (_, more) in enumerate(used) for k in more]] = True
+                gone = np.flatnonzero(raised[slot])
+                parts.append((entry[gone], segment[gone], total[slot[gone]] - value[gone]))
+            for where, place, held in parts:
+                docs.append(number[where])
+                keys.append(key_of(held, place, band[where]))
+    offsets, (values,) = lists(docs, [keys], len(sets))
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()))
+
+
+def some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(at, DOCUMENTS) for at in range(0, batch.num_rows, DOCUMENTS))
 
 
 def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     hashes = WordHashes()
-    kind = pa.list_(pa.struct([("band", pa.int32()), ("m", pa.int32()), ("segment", pa.int32()), ("subset", pa.int64()), ("deleted", pa.bool_())]))
-    for batch in batches:
+    for batch in some_rows(batches):
         sets = [shingle_set(hashes, t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(map(weighed_keys, sets), kind),
-        ], ["doc_id", "n_shingles", "digest", "weighed"])
+        digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), digests, weighed_keys(sets)], ["doc_id", "n_shingles", "digest", "weighed"])
 
 
 def allocated(costs: list[tuple[int, int, int, int, int, int, int]]) -> dict[int, Plan]:
@@ -176,28 +251,34 @@ def measured(classes: DataFrame) -> dict[int, Plan]:
 
 
 def index_rows(docs: DataFrame, plans: dict[int, Plan]) -> DataFrame:
-    """(key, band, segment, id, n, digest) of the index; digest: 64 bits of the set's."""
+    """(key, id, n, digest) of the index; digest: 64 bits of the set's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in some_rows(batches):
             sets = [shingle_set(hashes, t.as_py()) for t in batch.column(1)]
-            bands = [bands_of(len(s)) for s in sets]
-            found = [[keys_of(s, b, plans.get(b) or plain(b)) for b in own] for s, own in zip(sets, bands)]
-            keys = [np.concatenate([k for k, _ in f]) if f else [] for f in found]
-            at = [np.concatenate([a for _, a in f]) if f else [] for f in found]
-            band = [np.repeat(own, [len(k) for k, _ in f]) if f else [] for own, f in zip(bands, found)]
-            digest = [int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)) if len(s) else 0 for s in sets]
-            arrays = [pa.array(keys, pa.list_(pa.int64())), pa.array(band, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.int64()), *arrays], ["id", "n", "digest", "key", "band", "segment"])
+            with np.errstate(over="ignore"):
+                digest = [int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.int64()), all_keys(sets, plans)], ["id", "n", "digest", "keys"])
 
-    packed = docs.select("doc_id", "text").mapInArrow(run, "id bigint, n bigint, digest bigint, key array<bigint>, band array<int>, segment array<int>")
-    return packed.select("id", "n", "digest", F.explode(F.arrays_zip("key", "band", "segment")).alias("k")).select("k.key", "k.band", "k.segment", "id", "n", "digest")
+    packed = stash(docs.select("doc_id", "text").mapInArrow(run, "id bigint, n bigint, digest bigint, keys array<bigint>"))
+    return packed.select(F.explode("keys").alias("key"), "id", "n", "digest")
+
+
+def where_is(key: int, s: np.ndarray, plans: dict[int, Plan]) -> tuple[Plan, int]:
+    """The plan and the segment of one of the set's keys."""
+    for band in bands_of(len(s)):
+        plan = plans.get(band) or plain(band)
+        keys, at = keys_of(s, band, plan)
+        hit = np.flatnonzero(keys == key)
+        if len(hit):
+            return plan, int(at[hit[0]])
+    raise ValueError("the set has no such key")
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in some_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(hashes, t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
 
 
@@ -236,12 +317,38 @@ def star_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return centres.union(members).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first()).mapInArrow(run, "a bigint, b bigint")
 
 
-def open_links(docs: DataFrame, members: DataFrame, whole: DataFrame, plans: dict[int, Plan]) -> DataFrame:
-    """(a, b): components of ``whole`` (node, component) joined by a link that the stars missed. Buckets of two have been compared."""
-    larger = members.groupBy("key").count().where("count > 2").select("key")
-    parts = members.join(larger, "key", "left_semi").join(whole.withColumnRenamed("node", "id"), "id", "left")
-    parts = parts.select("key", F.struct(F.col("band").alias("of"), "segment").alias("band"), "id", "n", F.coalesce("component", "id").alias("component"))
-    rows = stash(blocks_of(parts).select("key", "i", "j", "asks", "asked", "band.of", "band.segment", "id", "n", "component", "minor"))
+def labelled(members: DataFrame, whole: DataFrame) -> DataFrame:
+    """Members (key, id, n) with the component of ``whole`` (node, component), their own id where they have none."""
+    return members.join(whole.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+
+
+def pairs_of_few(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) across components of the buckets of 3 to FEW members (two have been compared), of sizes that may be linked."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(f"size BETWEEN 3 AND {FEW} AND lo <> hi")
+    held = members.join(sizes.select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n", "component"))).alias("m"))  # FEW at most
+    both = F.expr(f"filter(flatten(transform(m, x -> transform(m, y -> struct(x AS x, y AS y)))), p -> p.x.id < p.y.id AND p.x.component <> p.y.component AND 100 * least(p.x.n, p.y.n) >= {SIMILAR} * greatest(p.x.n, p.y.n))")
+    return held.select(F.explode(both).alias("p")).select(F.col("p.x.id").alias("a"), F.col("p.y.id").alias("b")).distinct()
+
+
+def component_pairs(links: DataFrame, whole: DataFrame) -> DataFrame:
+    """The components (a, b) of the ends of links."""
+    for c in ("a", "b"):
+        links = links.join(whole.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+    return links.select("a", "b").distinct()
+
+
+def relabelled(whole: DataFrame, joined: DataFrame) -> DataFrame:
+    """``whole`` (node, component) after links (a, b) between components; labels without a node of ``whole`` are nodes of their own."""
+    merged = components(joined).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    moved = whole.join(merged, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    return moved.union(merged.join(whole.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component")))
+
+
+def open_links(docs: DataFrame, members: DataFrame, plans: dict[int, Plan]) -> DataFrame:
+    """(a, b): components of the members (key, id, n, component) joined by a link inside buckets of more than FEW."""
+    larger = members.groupBy("key").count().where(f"count > {FEW}").select("key")
+    parts = members.join(larger, "key", "left_semi").withColumn("band", F.lit(0))
+    rows = stash(blocks_of(parts).select("key", "i", "j", "asks", "asked", "id", "n", "component", "minor"))
     sets = sets_of(docs, rows.select(F.col("id").alias("doc_id")).distinct())
     place = ("key", "i", "j")
 
@@ -256,12 +363,12 @@ def open_links(docs: DataFrame, members: DataFrame, whole: DataFrame, plans: dic
 
         for table in groups_of(batches):
             found = []
-            band, segment = table.column("of")[0].as_py(), table.column("segment")[0].as_py()
             ids, n, part = (table.column(c).to_numpy() for c in ("id", "n", "component"))
             asks, asked, minor = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "asked", "minor"))
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+            plan, segment = where_is(int(table.column("key")[0].as_py()), sets[0], plans)
             with np.errstate(over="ignore"):
-                earlier = np.stack([subsets(s, (plans.get(band) or plain(band))[0])[2][:segment] for s in sets])
+                earlier = np.stack([subsets(s, plan[0])[2][:segment] for s in sets])
             _, local = np.unique(np.concatenate(sets), return_inverse=True)
             local = np.split(local.astype(np.int32), np.cumsum(n)[:-1])
             flag = np.zeros(max(int(x.max()) for x in local) + 1, bool)
@@ -297,18 +404,19 @@ def join_groups(docs: DataFrame, plans: dict[int, Plan] | None = None) -> DataFr
     marks = stash(docs.mapInArrow(marked, f"doc_id bigint, n_shingles bigint, digest binary, weighed {weighed}"))
     if has_repeats(marks.withColumnRenamed("doc_id", "id")):
         marks = stash(marks.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "digest", "weighed"), F.struct("n_shingles", "digest")).alias("m")).select("doc_id", "m.*"))
-    classes = stash(marks.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("weighed", "doc_id").alias("weighed")))
+    classes = stash(marks.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.min_by("weighed", "doc_id").alias("weighed")))
     plans = measured(classes) if plans is None else plans
     index = index_rows(docs, plans)
-    centre = F.min(F.struct("id", "n"))
-    shared = stash(index.groupBy("key").agg(centre.alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("n_centre")))
-    likely = likely_in(index.withColumnsRenamed({"key": "doc_id"}), shared.select(F.col("key").alias("doc_id"))).withColumnRenamed("doc_id", "key")
-    members = stash(likely.join(shared, "key").join(classes.select("id"), "id", "left_semi").select("key", "band", "segment", "id", "n", "centre", "n_centre"))
+    shared = stash(index.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("key"))
+    likely = likely_in(index.select(F.col("key").alias("doc_id"), "id", "n"), shared.select(F.col("key").alias("doc_id"))).withColumnRenamed("doc_id", "key")
+    members = stash(likely.join(shared, "key", "left_semi").join(classes.select("id"), "id", "left_semi").select("key", "id", "n"))
+    centres = members.groupBy("key").agg(F.min("id").alias("centre"))
+    size = classes.select(F.col("id").alias("centre"), F.col("n_shingles").alias("n_centre"))
     fits = 100 * F.least("n", "n_centre") >= SIMILAR * F.greatest("n", "n_centre")
-    pairs = stash(members.where("id <> centre").where(fits).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
-    first = stash(components(star_links(docs, pairs)))
-    joined = components(stash(open_links(docs, members, first, plans))).select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    of_class = classes.select("digest", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    of_class = of_class.join(joined, "component", "left").select("digest", F.coalesce("joined", "component").alias("component_id"))
+    pairs = members.join(centres, "key").where("id <> centre").groupBy("centre", "id").agg(F.first("n").alias("n")).join(size, "centre").where(fits)
+    whole = stash(components(star_links(docs, stash(pairs.select(F.col("centre").alias("a"), F.col("id").alias("b"))))))
+    for find in (lambda rows: component_pairs(star_links(docs, stash(pairs_of_few(rows))), whole), lambda rows: open_links(docs, rows, plans)):
+        whole = stash(relabelled(whole, stash(find(stash(labelled(members, whole))))))
+    of_class = classes.select("digest", "id").join(whole.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     filled = marks.where("n_shingles > 0").join(of_class, "digest").select("doc_id", "n_shingles", "component_id")
     return filled.union(marks.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -85,6 +85,33 @@ def test_linked_pairs_share_a_key():
                 assert any(np.intersect1d(jaccard_join.keys_of(s, x, plan(x))[0], jaccard_join.keys_of(t, x, plan(x))[0]).size for x in common), (a, b, plan)
 
 
+def test_keys_of_many_sets_at_once():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 8, 9, 30, 90, 400, 0, 33)]
+    for plans in ({}, {b: raised(b) for b in range(40)}):
+        many = jaccard_join.all_keys(sets, plans).to_pylist()
+        for s, keys in zip(sets, many):
+            own = [k for b in jaccard_join.bands_of(len(s)) for k in jaccard_join.keys_of(s, b, plans.get(b) or jaccard_join.plain(b))[0].tolist()]
+            assert sorted(keys) == sorted(own)
+            if keys:
+                plan, segment = jaccard_join.where_is(keys[-1], s, plans)
+                assert segment < plan[0]
+    found = jaccard_join.weighed_keys(sets).to_pylist()
+    assert len(found) == len(sets) and not found[0] and not found[2] and all(k["band"] in jaccard_join.bands_of(len(s)) for s, x in zip(sets, found) for k in x)
+
+
+def test_large_buckets(spark, monkeypatch):
+    """Buckets of every size go through blocks, and through pairs."""
+    docs = groups_of_copies(11, 25, 40)
+    want = every_component(docs)
+    for few in (2, 1000):
+        monkeypatch.setattr(jaccard_join, "FEW", few)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_groups(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+        assert got == want
+
+
 def test_allocation_takes_the_cheapest():
     band = 6
     whole = jaccard_join.most_differences(band) + 1
