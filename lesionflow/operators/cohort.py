@@ -17,6 +17,18 @@ def average_rank(order: Column, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (peers - 1) / 2
 
 
+def scorecards(scans: DataFrame, fields: DataFrame) -> DataFrame:
+    """One row a patient: n, span (weeks), has_baseline, ever_pd, flags (progressions that the text places within three months), coverage (share of scans with a mask), field_strengths, scanner_switch.
+
+    scans: patient, week, rating, soon, masked (null without a mask). fields: patient, field_strengths. Patients without either are left out, as nothing is known of them."""
+    is_ = lambda c: F.bool_or(F.coalesce(F.col("rating") == c, F.lit(False)))
+    flagged = (F.col("rating") == "PD") & F.col("soon")
+    rows = scans.groupBy("patient").agg(
+        F.count(F.lit(1)).alias("n"), (F.max("week") - F.min("week")).alias("span"), is_("Post-Op").alias("has_baseline"), is_("PD").alias("ever_pd"), F.count(F.when(flagged, 1)).alias("flags"),
+        (F.count("masked") / F.count(F.lit(1))).alias("coverage"))
+    return rows.join(fields, "patient").withColumn("scanner_switch", F.col("field_strengths") > 1)
+
+
 def event_table(rows: DataFrame, group: str = "grp", time: str = "weeks") -> DataFrame:
     """(group, time, deaths, at_risk): distinct times of a group, all events observed."""
     deaths = rows.groupBy(group, time).agg(F.count(F.lit(1)).alias("deaths"))

@@ -176,3 +176,15 @@ def confirmed(rows: DataFrame, weeks: float) -> DataFrame:
         "vs_nadir": F.when(~is_base, F.col("vs_nadir")), "vs_baseline": F.when(~is_base, F.col("vs_baseline")), "t2_vs_nadir": F.when(~is_base, F.col("t2_vs_nadir")),
         "refuted": refuted, "too_late": too_late,
     }).withColumnsRenamed({"later": "confirming", "call1": "first_call"}).drop("candidate")
+
+
+def single_signal(scans: DataFrame, volume: str, pd_increase: float = 0.40, pr_decrease: float = -0.65) -> DataFrame:
+    """Calls by one volume alone: adds n (0 for the first scan that has the volume, the BASELINE) and call to the scans that have it. Needs rn. A complete response comes first, then progression against the smallest
+    earlier volume or out of nothing, then response against the first."""
+    v, own = F.col(volume), Window.partitionBy("patient").orderBy("rn")
+    rows = scans.where(v.isNotNull()).withColumns({"n": F.row_number().over(own) - 1, "base": F.first(volume).over(own), "low": F.min(volume).over(own.rowsBetween(Window.unboundedPreceding, -1))})
+    call = (
+        F.when(F.col("n") == 0, "BASELINE").when(v == 0, "CR").when(ratio(v, F.col("low")) >= pd_increase, "PD").when((F.col("low") == 0) & (v > 0), "PD")
+        .when(ratio(v, F.col("base")) <= pr_decrease, "PR").otherwise("SD")
+    )
+    return rows.withColumn("call", call).drop("base", "low")

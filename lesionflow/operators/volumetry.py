@@ -55,3 +55,17 @@ def intensity_stats(values: DataFrame, *by: str) -> DataFrame:
     return values.groupBy(*by).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.005).alias("p0_5"), F.percentile(v, 0.995).alias("p99_5"))
+
+
+def fingerprints(values: DataFrame, grids: DataFrame) -> DataFrame:
+    """(patient, n_scans, scans): a patient's scans in order of visit, each with its grid, its intensities over values other than 0, and each label's voxels and intensities.
+
+    values: patient, visit, label, value. grids: a row for each patient as ``validate.geometry`` gives it. A patient's scans meet in one row, which their number bounds."""
+    some = values.withColumn("value", F.when(F.col("value") != 0, F.col("value")))
+    whole = some.groupBy("patient", "visit").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile("value", 0.5).alias("median"))
+    each = values.groupBy("patient", "visit", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    labels = each.groupBy("patient", "visit").agg(F.array_sort(F.collect_list(F.struct("label", "n", "mean", "sd"))).alias("labels"))
+    grid = grids.select("patient", F.array("nx", "ny", "nz").alias("shape"), F.array("s0", "s1", "s2").alias("spacing"), "anisotropy", "voxel_mm3")
+    scan = F.struct("visit", "shape", "spacing", "anisotropy", "voxel_mm3", "mean", "sd", "least", "most", "median", "labels")
+    rows = whole.join(labels, ["patient", "visit"]).join(grid, "patient")
+    return rows.groupBy("patient").agg(F.count(F.lit(1)).alias("n_scans"), F.array_sort(F.collect_list(scan)).alias("scans"))

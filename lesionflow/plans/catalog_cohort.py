@@ -155,12 +155,6 @@ def d19(spark, sf_dir):
     return rows.groupBy("n").agg(F.count(F.lit(1)).alias("patients"), F.round(F.avg("span"), 6).alias("mean_span"))
 
 
-@query("d20_patient_scorecard", "SELECT patient, count(*) AS n, max(week) - min(week) AS span, bool_or(coalesce(rating = 'Post-Op', FALSE)) AS has_baseline, bool_or(coalesce(rating = 'PD', FALSE)) AS ever_pd, count(DISTINCT rating) AS ratings, round(avg(CASE WHEN enhancing_mm3 IS NULL THEN 0 ELSE 1 END), 6) AS coverage FROM scans GROUP BY patient", "scans")
-def d20(spark, sf_dir):
-    is_ = lambda c: F.bool_or(F.coalesce(F.col("rating") == c, F.lit(False)))
-    return frame(spark, sf_dir, "scans").groupBy("patient").agg(F.count(F.lit(1)).alias("n"), (F.max("week") - F.min("week")).alias("span"), is_("Post-Op").alias("has_baseline"), is_("PD").alias("ever_pd"), F.countDistinct("rating").alias("ratings"), F.round(F.avg(F.when(F.col("enhancing_mm3").isNull(), 0).otherwise(1)), 6).alias("coverage"))
-
-
 @query("d22_silent_scans", "SELECT rating, arm, count(*) AS n, count(*) FILTER (enhancing_mm3 = 0) AS no_enhancing FROM scans WHERE rating IN ('CR', 'PR', 'SD', 'PD') GROUP BY ALL", "scans")
 def d22(spark, sf_dir):
     return frame(spark, sf_dir, "scans").where(F.col("rating").isin(*evaluate.CLASSES)).groupBy("rating", "arm").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("enhancing_mm3") == 0, 1)).alias("no_enhancing"))

@@ -110,12 +110,6 @@ def c17(spark, sf_dir):
     return frame(spark, sf_dir, "methods").join(scans(spark, sf_dir).where("enhancing_mm3 IS NOT NULL"), "timepoint").select("timepoint", "tool_a", "enhancing_mm3", "rating")
 
 
-@query("c20_usable_visits", "SELECT patient, visit FROM voxels GROUP BY ALL HAVING bool_or(label = 1) AND bool_or(label = 2) AND bool_or(label = 3)", "voxels")
-def c20(spark, sf_dir):
-    rows = cells(spark, sf_dir).groupBy("patient", "visit").agg(*(F.bool_or(F.col("label") == i).alias(f"has{i}") for i in (1, 2, 3)))
-    return rows.where("has1 AND has2 AND has3").select("patient", "visit")
-
-
 @query("d17_deviation_by_size", f"SELECT pp, count(*) AS n, round(quantile_cont(d, 0.9) - quantile_cont(d, 0.1), 6) AS spread FROM (SELECT CAST({BAND} AS DOUBLE) AS pp, 100.0 * (tool_b - tool_a) / tool_a AS d FROM methods JOIN scans USING (timepoint) WHERE tool_a > 0 AND enhancing_mm3 IS NOT NULL) GROUP BY pp HAVING count(*) >= 20", "methods", "scans")
 def d17(spark, sf_dir):
     rows = frame(spark, sf_dir, "methods").where("tool_a > 0").join(scans(spark, sf_dir).where("enhancing_mm3 IS NOT NULL"), "timepoint")
@@ -204,14 +198,6 @@ def i13(spark, sf_dir):
     return rows.select("timepoint", call.alias("call"))
 
 
-@query("i12_single_signal", f"SELECT timepoint, CASE WHEN rn = 1 THEN 'BASELINE' WHEN enhancing_mm3 IS NULL THEN 'NE' WHEN nadir > 0 AND (enhancing_mm3 - nadir) / nadir >= 0.4 THEN 'PD' WHEN enhancing_mm3 = 0 THEN 'CR' WHEN base > 0 AND (enhancing_mm3 - base) / base <= -0.65 THEN 'PR' ELSE 'SD' END AS call FROM (SELECT *, min(enhancing_mm3) {W} AS nadir, first_value(enhancing_mm3) OVER (PARTITION BY patient ORDER BY rn) AS base FROM scans)", "scans")
-def i12(spark, sf_dir):
-    v = F.col("enhancing_mm3")
-    rows = scans(spark, sf_dir).withColumns({"nadir": F.min("enhancing_mm3").over(earlier()), "base": F.first("enhancing_mm3").over(by_rn().rowsBetween(Window.unboundedPreceding, 0))})
-    call = F.when(F.col("rn") == 1, "BASELINE").when(v.isNull(), "NE").when(rule.ratio(v, F.col("nadir")) >= 0.4, "PD").when(v == 0, "CR").when(rule.ratio(v, F.col("base")) <= -0.65, "PR").otherwise("SD")
-    return rows.select("timepoint", call.alias("call"))
-
-
 @query("f02_top_patients", "SELECT patient, count(*) AS n FROM scans GROUP BY patient ORDER BY n DESC, patient LIMIT 9", "scans")
 def f02(spark, sf_dir):
     return scans(spark, sf_dir).groupBy("patient").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "patient").limit(9)
@@ -224,12 +210,6 @@ def g02(spark, sf_dir):
     return one(dated.intersect(measured), "both_n").crossJoin(one(dated.exceptAll(measured), "only_dated"))
 
 
-@query("l02_required_items", "SELECT patient, visit, array_to_string(list_sort(list_filter([CASE WHEN NOT bool_or(label = 1) THEN 'enhancing' END, CASE WHEN NOT bool_or(label = 3) THEN 'edema' END], lambda x: x IS NOT NULL)), ',') AS missing FROM voxels GROUP BY ALL", "voxels")
-def l02(spark, sf_dir):
-    have = F.collect_set(F.when(F.col("label") == 1, "enhancing").when(F.col("label") == 3, "edema"))
-    return cells(spark, sf_dir).groupBy("patient", "visit").agg(F.array_join(F.array_sort(F.array_except(F.array(F.lit("enhancing"), F.lit("edema")), have)), ",").alias("missing"))
-
-
 @query("j02_size_floor", f"WITH {R26} SELECT t AS floor, count(*) AS lesions FROM (SELECT patient, visit, root, count(*) AS n FROM roots GROUP BY ALL), (SELECT unnest([1, 5, 20]) AS t) WHERE n >= t GROUP BY t", "voxels")
 def j02(spark, sf_dir):
     sizes = voxel.label_components(cells(spark, sf_dir, 1)).groupBy("patient", "visit", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -313,12 +293,6 @@ def c04(spark, sf_dir):
     return calls.join(expert, "timepoint", "left").withColumn("arm", F.coalesce("arm", F.lit("unassigned"))).select("profile", "patient", "timepoint", "call", "expert", "arm")
 
 
-@query("c07_preferred_item", "SELECT patient, visit, min_by(label, CASE label WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END) AS label FROM voxels GROUP BY ALL", "voxels")
-def c07(spark, sf_dir):
-    preference = F.when(F.col("label") == 2, 0).when(F.col("label") == 1, 1).otherwise(2)
-    return cells(spark, sf_dir).groupBy("patient", "visit").agg(F.min_by("label", preference).alias("label"))
-
-
 @query("d24_threshold_scoreboard", f"WITH p AS (SELECT *, lag(enhancing_mm3) OVER (PARTITION BY patient ORDER BY rn) AS before FROM scans), t AS (SELECT unnest([100, 500, 1000]) AS threshold) SELECT threshold, count(*) FILTER (new_lesion AND enhancing_mm3 - before >= threshold) AS tp, count(*) FILTER (NOT new_lesion AND enhancing_mm3 - before >= threshold) AS fp, count(*) FILTER (new_lesion AND enhancing_mm3 - before < threshold) AS fn, count(*) FILTER (NOT new_lesion AND enhancing_mm3 - before < threshold) AS tn FROM p, t GROUP BY threshold", "scans")
 def d24(spark, sf_dir):
     rows = scans(spark, sf_dir).withColumn("gain", F.col("enhancing_mm3") - F.lag("enhancing_mm3").over(by_rn()))

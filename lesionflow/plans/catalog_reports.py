@@ -106,21 +106,6 @@ def d06(spark, sf_dir):
     return counts.join(grids, "patient").select("patient", "visit", "space", name.alias("compartment"), "voxels", F.round(F.col("voxels") * F.col("unit"), 6).alias("volume_mm3"))
 
 
-@query(
-    "d04_fingerprints",
-    """WITH l AS (SELECT patient, visit, label, count(*) AS n FROM voxels GROUP BY ALL), t AS (SELECT patient, visit, string_agg(concat(label, '=', n), ',' ORDER BY label) AS histogram, sum(n) AS n FROM l GROUP BY ALL)
-    SELECT patient, count(*) AS n_scans, string_agg(concat(visit, '(', n, ')', histogram), ';' ORDER BY visit) AS scans FROM t GROUP BY patient""",
-    "voxels",
-)
-def d04(spark, sf_dir):
-    """The nested record of a patient (scans in order, each with its label histogram), shown in one line."""
-    counts = cells(spark, sf_dir).groupBy("patient", "visit", "label").agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("patient", "visit").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("histogram"), F.sum("n").alias("n"))
-    nested = per.groupBy("patient").agg(F.array_sort(F.collect_list(F.struct("visit", "n", "histogram"))).alias("scans"))
-    line = F.transform("scans", lambda s: F.concat(s["visit"].cast("string"), F.lit("("), s["n"].cast("string"), F.lit(")"), F.array_join(F.transform(s["histogram"], lambda h: F.concat(h["label"].cast("string"), F.lit("="), h["n"].cast("string"))), ",")))
-    return nested.select("patient", F.size("scans").cast("long").alias("n_scans"), F.array_join(line, ";").alias("scans"))
-
-
 # --- treatment, and the baseline after radiotherapy
 
 @query(

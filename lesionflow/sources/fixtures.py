@@ -153,11 +153,16 @@ FROM orders CROSS JOIN (SELECT 'CT1' AS item, 1 AS k UNION ALL SELECT 'T1', 2 UN
 WHERE o_orderkey % 43 <> 0
 """,
     "archive": """
-SELECT concat('Imaging/Patient-', CAST(o_custkey AS VARCHAR(20)), '/week-', CAST(o_orderkey AS VARCHAR(20)), CASE WHEN k = 5 THEN '/DeepBraTumIA-segmentation/atlas/segmentation/seg_mask.nii.gz' ELSE concat('/', item, '.nii.gz') END) AS path,
+SELECT concat('Imaging/Patient-', CAST(o_custkey AS VARCHAR(20)), '/week-', CAST(o_orderkey AS VARCHAR(20)), CASE WHEN k = 5 THEN '/DeepBraTumIA-segmentation/atlas/segmentation/seg_mask.nii.gz' WHEN k = 6 THEN '/DeepBraTumIA-segmentation/atlas/skull_strip/brain_mask.nii.gz' ELSE concat('/', item, '.nii.gz') END) AS path,
   CASE WHEN (o_orderkey + k) % 61 = 0 THEN 0 ELSE 1000 + o_orderkey END AS length
-FROM orders CROSS JOIN (SELECT 'CT1' AS item, 1 AS k UNION ALL SELECT 'T1', 2 UNION ALL SELECT 'T2', 3 UNION ALL SELECT 'FLAIR', 4 UNION ALL SELECT 'DeepBraTumIA', 5) m
+FROM orders CROSS JOIN (SELECT 'CT1' AS item, 1 AS k UNION ALL SELECT 'T1', 2 UNION ALL SELECT 'T2', 3 UNION ALL SELECT 'FLAIR', 4 UNION ALL SELECT 'DeepBraTumIA', 5 UNION ALL SELECT 'brain', 6) m
 WHERE ((o_orderkey * 7 + k) % 13 <> 0) <> ((o_orderkey + 3 * k) % 41 = 0)
 UNION ALL SELECT concat('Imaging/Patient-', CAST(o_custkey AS VARCHAR(20)), '/week-', CAST(o_orderkey AS VARCHAR(20)), '/notes.txt'), 10 FROM orders WHERE o_orderkey % 10 = 0
+""",
+    "scanners": """
+SELECT o_custkey AS patient, o_orderkey AS timepoint, CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN (o_orderkey + o_custkey) % 7 < 5 THEN 1.5E0 ELSE 3.0E0 END AS field_strength,
+  CASE o_orderkey % 4 WHEN 0 THEN ' SIEMENS' WHEN 1 THEN 'Philips ' WHEN 2 THEN 'GE' ELSE 'SIEMENS' END AS vendor, CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE 0.9E0 + 0.5E0 * (o_orderkey % 11) END AS slice_thickness
+FROM orders
 """,
     "methods": """
 SELECT l_orderkey AS timepoint, sum(l_quantity) AS tool_a, sum(l_extendedprice) / 1500.0 AS tool_b FROM lineitem GROUP BY l_orderkey
