@@ -1,11 +1,11 @@
 """Surrogates for personal data, in DataFrame expressions only.
 
 One pattern finds e-mail addresses, IBANs, card, phone, social-security and other long numbers, IPv4
-addresses, hexadecimal secrets and titled names. Each mention has a kind and a canonical form (case,
+addresses, hexadecimal secrets and titled names: one or two whole words after a title, with initials before them. Each mention has a kind and a canonical form (case,
 separators and titles removed where they carry no identity), and its surrogate is a function of a secret
 key, the kind and the canonical form: the same entity gets the same surrogate in every document and in
 every way of writing it. Digits become digits and letters letters of the same case, at the same places;
-card numbers and IBANs with valid check digits keep valid ones; octets stay octets; country codes, titles and
+card numbers, other numbers of 13 digits or more and IBANs with valid check digits keep valid ones; octets stay octets; country codes, titles and
 top-level domains stay.
 
 A name is two entities, its given name and its family name, so that all mentions of a person agree in what they
@@ -40,11 +40,14 @@ KINDS = {
     "card": r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{4}|\d{2,4}(?:[ .-]?\d{2,4}){1,4})\b|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b",
     "number": r"\b\d{9,19}\b",
-    "name": r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra?|Г-н|Г-жа)\.? \p{Lu}\p{Ll}{1,40}+(?: \p{Lu}\p{Ll}{1,40}+)?",
+    # whole words: with inner capitals, hyphens and apostrophes (but not a possessive s), in capitals, after initials
+    "name": r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra?|Г-н|Г-жа|MR|MRS|MS|MISS|DR|PROF|HERR|FRAU|MONSIEUR|MADAME|MME|SEÑORA?|SRA?)\.? (?:\p{Lu}\.[ -]?){0,3}+WORD(?: WORD)?".replace("WORD", r"\p{Lu}(?:[\p{L}\p{M}]|-(?=\p{L})|['’](?![sS](?!\p{L}))(?=\p{L})){1,60}+"),
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts without any of these hold no mention.
-HINT = r"\d{3}|@|\d\.\d|[0-9a-fA-F]{32}|(?:M[rs]|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Г-н|Г-жа)\.? "
+HINT = r"\d{3}|@|\d\.\d|[0-9a-fA-F]{32}|(?:M(?:rs?|s)|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Г-н|Г-жа|MRS?|MS|MISS|DR|PROF|HERR|FRAU|MONSIEUR|MADAME|MME|SEÑORA?|SRA?)\.? "
+#: A titled name's title, initials and one or two words.
+NAME_PARTS = r"^([^ .]+)\.? ((?:\p{Lu}\.[ -]?)*)(\S+)(?: (\S+))?$"
 #: Titles, given names and syllables.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа")
 NEUTRAL = ("Dr", "Prof")
@@ -83,7 +86,7 @@ def canonical(kind: Column, mention: Column) -> Column:
 
 def parts(kind: Column, mention: Column) -> Column:
     """array<struct<kind, entity>> of a mention: one entity, but the given name (with its gender), if any, and the family name of a name."""
-    title, one, two = (F.regexp_extract(mention, r"^([^ .]+)\.? (\S+)(?: (\S+))?", i) for i in (1, 2, 3))
+    title, one, two = (F.initcap(F.regexp_extract(mention, NAME_PARTS, i)) if i < 4 else F.regexp_extract(mention, NAME_PARTS, i) for i in (1, 3, 4))
     listed = {g: F.array(*map(F.lit, names.split())) for g, names in KNOWN_GIVEN.items()}
     told = F.when(F.array_contains(listed["f"], one), "f").when(F.array_contains(listed["m"], one), "m").otherwise("n")
     gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*NEUTRAL), told).otherwise("m")
@@ -153,8 +156,8 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     email = F.concat(F.col("plain").substr(F.lit(1), F.length("plain") - F.length(tail)), tail)
     octets = F.array_join(F.transform(F.split("entity", r"\."), lambda o, i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
     secret = F.array_join(F.transform("letters", lambda c, i: pick("0123456789abcdef", _byte(stream, i))), "")
-    body = F.slice("fresh", 1, 15)
-    card = F.when(luhn(F.col("letters"), 0) % 10 == 0, F.concat(F.array_join(body, ""), F.pmod(F.lit(10) - luhn(body, 1) % 10, F.lit(10)).cast("string"))).otherwise(F.col("plain"))
+    body = F.slice("fresh", F.lit(1), F.size("fresh") - 1)
+    card = F.when((F.size("letters") >= 13) & (luhn(F.col("letters"), 0) % 10 == 0), F.concat(F.array_join(body, ""), F.pmod(F.lit(10) - luhn(body, 1) % 10, F.lit(10)).cast("string"))).otherwise(F.col("plain"))
     body = F.substring("plain", 5, 100)
     check = F.lpad((F.lit(98) - mod_97(F.concat(F.substring("entity", 1, 2), F.lit("00"), body))).cast("string"), 2, "0")
     iban = F.concat(F.substring("entity", 1, 2), F.when(mod_97(F.col("entity")) == 1, check).otherwise(F.substring("plain", 3, 2)), body)
@@ -164,12 +167,13 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     cyrillic = F.regexp_like("entity", F.lit(r"\p{IsCyrillic}"))
     length = F.lit(4) + F.floor(F.col("attempt") / 8).cast("int")
     first, last = F.when(cyrillic, given("cyrillic")).otherwise(given("latin")), F.when(cyrillic, syllables("cyrillic", length)).otherwise(syllables("latin", length))
-    new = F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "secret", secret).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "given", first).when(kind == "family", last).otherwise(F.col("plain"))
+    new = F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "secret", secret).when(kind.isin("card", "number"), card).when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "given", first).when(kind == "family", last).otherwise(F.col("plain"))
     return rows.withColumn("new", new).select(*entities.columns, "new")
 
 
-def with_rendered(mentions: DataFrame) -> DataFrame:
-    """(mention, kind, fresh): the surrogates ``news`` of the mention's parts in its own way of writing (separators, case, title)."""
+def with_rendered(mentions: DataFrame, key: str) -> DataFrame:
+    """(mention, kind, fresh): the surrogates ``news`` of the mention's parts in its own way of writing (separators, case, title). Initials before a name become others, by the name and the key; being single
+    letters, they need not be distinct."""
     mention, kind, new = F.col("mention"), F.col("kind"), F.get("news", 0)
     rows = mentions.withColumn("chars", F.filter(F.split("mention", ""), lambda c: c != ""))
     rows = rows.withColumn("kept", F.filter(F.split(F.regexp_replace(new, r"[^\p{L}\p{N}]", ""), ""), lambda c: c != ""))
@@ -183,7 +187,15 @@ def with_rendered(mentions: DataFrame) -> DataFrame:
     rows = rows.withColumn("styled", F.array_join(F.transform("chars", styled), ""))
     names = F.initcap(F.array_join(F.transform("news", lambda n: F.regexp_replace(n, "^[fmn] ", "")), " "))
     capitals = F.regexp_like(mention, F.lit(r"\p{Lu}")) & ~F.regexp_like(mention, F.lit(r"\p{Ll}"))
-    fresh = F.when(kind == "ip", new).when(kind == "name", F.concat(F.regexp_extract(mention, r"^(\S+ )", 1), names)).when(capitals, F.upper("styled")).otherwise(F.col("styled"))
+    names = F.when(capitals, F.upper(names)).otherwise(names)
+    chars = F.split(F.regexp_extract(mention, NAME_PARTS, 2), "")
+
+    def initial(c: Column) -> Column:
+        drawn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.array_join("news", " "), c), 256), 1, 6), 16, 10).cast("int")
+        letters = F.when(F.regexp_like(c, F.lit(r"\p{IsCyrillic}")), "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ").otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        return F.when(F.regexp_like(c, F.lit(r"\p{L}")), F.substring(letters, drawn % F.length(letters) + 1, F.lit(1))).otherwise(c)
+
+    fresh = F.when(kind == "ip", new).when(kind == "name", F.concat(F.regexp_extract(mention, r"^(\S+ )", 1), F.array_join(F.transform(chars, initial), ""), names)).when(capitals, F.upper("styled")).otherwise(F.col("styled"))
     return rows.withColumn("fresh", fresh).select("mention", "kind", "fresh")
 
 
@@ -229,7 +241,7 @@ def mask(docs: DataFrame, key: str) -> DataFrame:
     pieces = found.select("mention", F.col("kind").alias("whole"), F.posexplode("parts").alias("at", "part")).select("mention", "whole", "at", "part.kind", "part.entity")
     known = pieces.join(distinct_surrogates(pieces.select("kind", "entity").distinct(), key), ["kind", "entity"])
     news = known.groupBy("mention", F.col("whole").alias("kind")).agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("news"))
-    renewed = with_rendered(news.withColumn("news", F.transform("news", lambda n: n["new"])))
+    renewed = with_rendered(news.withColumn("news", F.transform("news", lambda n: n["new"])), key)
     by_row = used.join(renewed, "mention").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("mention", F.struct("kind", "fresh")))).alias("fresh"))
     between = F.split("text", PATTERN, -1)
     text = F.array_join(F.transform(between, lambda t, i: F.concat(t, F.coalesce(F.try_element_at(F.col("fresh"), F.get(F.col("mentions"), i))["fresh"], F.lit("")))), "")
