@@ -42,25 +42,12 @@ def earlier():
 W = "OVER (PARTITION BY patient ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-@query("a05_arms", "SELECT patient, any_value(arm) AS arm FROM scans GROUP BY patient", "scans")
-def a05(spark, sf_dir):
-    return scans(spark, sf_dir).groupBy("patient").agg(F.first("arm").alias("arm"))
-
-
 @query("a06_surgical_labels", "SELECT patient, count(DISTINCT week) FILTER (rating = 'Pre-Op') AS pre, count(DISTINCT week) FILTER (rating = 'Post-Op') AS post, count(DISTINCT week) AS all_weeks FROM scans WHERE week IS NOT NULL GROUP BY patient", "scans")
 def a06(spark, sf_dir):
     rows = timeline.surgical_labels(scans(spark, sf_dir))
     return rows.select("patient", *(F.size(c).cast("long").alias(c) for c in ("pre", "post", "all_weeks")))
 
 
-@query("a07_cache_increment", "SELECT patient, timepoint FROM scans WHERE rn > 2", "scans")
-def a07(spark, sf_dir):
-    from ..sources.readers import only_new
-
-    rows = scans(spark, sf_dir)
-    return only_new(rows.select("patient", "timepoint"), rows.where("rn <= 2"), ["patient", "timepoint"])
-
-
 @query("b18_flagged_progression", "SELECT s.timepoint FROM scans s JOIN rationale r USING (timepoint) WHERE s.rating = 'PD' AND (contains(lower(r.rationale), 'less than 3 months') OR contains(lower(r.rationale), 'irradiated'))", "scans", "rationale")
 def b18(spark, sf_dir):
     told = F.lower("rationale")

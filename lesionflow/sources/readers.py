@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .records import arms  # noqa: F401  the cohort lock's reader
+
 
 def manifest(spark: SparkSession, path: str, items: list[str]) -> DataFrame:
     """One row per scan: patient, timepoint and a boolean for each item, true where the cell holds an x."""
@@ -16,12 +18,12 @@ def manifest(spark: SparkSession, path: str, items: list[str]) -> DataFrame:
 def ratings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(ratings, superseded) of an expert rating file whose rating and rationale columns are found by the beginning of their headers.
     Whole-row repeats count once; of rows that differ for a key the later one in the file counts, by the place of its part in the file and in
-    the part, and the earlier ones are returned apart. Of several files the one later by name counts."""
+    the part, and the earlier ones are returned apart. Of several files the one later by name counts. A rationale is empty where its cell is, a rating null."""
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
     rating = next(c for c in raw.columns if c.startswith("Rating ("))
     reason = next(c for c in raw.columns if c.startswith("Rating rationale"))
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")
-    rows = raw.select(F.trim("Patient").alias("patient"), F.trim("Date").alias("timepoint"), F.trim(f"`{rating}`").alias("rating"), F.trim(f"`{reason}`").alias("rationale"), place)
+    rows = raw.select(F.trim("Patient").alias("patient"), F.trim("Date").alias("timepoint"), F.trim(f"`{rating}`").alias("rating"), F.coalesce(F.trim(f"`{reason}`"), F.lit("")).alias("rationale"), place)
     rows = rows.groupBy("patient", "timepoint", "rating", "rationale").agg(F.max("place").alias("place"))
     turn = F.row_number().over(Window.partitionBy("patient", "timepoint").orderBy(F.desc("place")))
     counted = rows.withColumn("n", turn)
@@ -40,7 +42,7 @@ def write_tidy_volumes(rows: DataFrame, path: str) -> None:
 
 
 def append_results(results: DataFrame, path: str, on: list[str]) -> None:
-    """Adds results to a cache, in order of their keys inside each file; a key must not be there yet (``only_new``)."""
+    """Adds results to a plain folder, in order of their keys inside each file; a key must not be there yet (``only_new``). ``cache.ResultCache`` holds each key once whatever is appended."""
     results.repartitionByRange(*on).sortWithinPartitions(*on).write.mode("append").parquet(path)
 
 
@@ -61,14 +63,6 @@ def tidy_volumes(spark: SparkSession, path: str, space: str = "atlas") -> DataFr
     return rows.withColumn("n", first).where("n = 1").drop("n")
 
 
-def arms(spark: SparkSession, path: str) -> DataFrame:
-    """(patient, arm) of a cohort lock file, whose arms list records or bare ids."""
-    schema = "practice struct<patients: array<struct<patient_id: string>>>, held_out struct<patient_ids: array<string>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    one = rows.select(F.explode("practice.patients.patient_id").alias("patient"), F.lit("practice").alias("arm"))
-    return one.unionByName(rows.select(F.explode("held_out.patient_ids").alias("patient"), F.lit("held_out").alias("arm")))
-
-
 def only_new(keys: DataFrame, cached: DataFrame, on: list[str]) -> DataFrame:
     """The keys that a result cache lacks; their results are appended to it."""
     return keys.join(cached.select(*on), on, "left_anti")
