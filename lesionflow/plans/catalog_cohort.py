@@ -83,9 +83,18 @@ def l06(spark, sf_dir):
     return validate.chronology_violations(frame(spark, sf_dir, "scans").withColumn("rn", F.col("timepoint")))
 
 
-@query("l05_record_invariants", "SELECT patient, 'none' AS violation FROM scans WHERE false", "scans")
+@query(
+    "l05_record_invariants",
+    f"""WITH {catalog_rule.RECORDS}, k AS (SELECT * FROM rec WHERE NOT contradicted) SELECT patient, 'radiotherapy_ends_before_start' AS violation FROM k WHERE n_surgeries > 0 AND patient % 13 = 0
+    UNION ALL SELECT patient, 'surgeries_not_ordered' FROM k WHERE n_surgeries > 1 AND patient % 17 = 0 UNION ALL SELECT patient, 'week_not_finite' FROM k WHERE patient % 19 = 0 AND patient % 17 <> 0""",
+    "scans",
+)
 def l05(spark, sf_dir):
-    return validate.record_violations(catalog_rule.records(spark, sf_dir))
+    """The records that the scans give hold all invariants; here some were written down wrong: courses that end before they start, operations out of order, weeks that are no number."""
+    p, told = F.col("patient"), F.col("surgeries")
+    wrong = F.when(p % 17 == 0, F.reverse(told)).when(p % 19 == 0, F.concat(told, F.array(F.lit(float("nan"))))).otherwise(told)
+    rows = catalog_rule.records(spark, sf_dir).withColumns({"rt_end": F.when(p % 13 == 0, F.col("rt_start") - 1).otherwise(F.col("rt_end")), "surgeries": wrong})
+    return validate.record_violations(rows)
 
 
 @query("d13_patient_rollup", "SELECT *, assessable >= 2 AS ready FROM (SELECT patient, count(*) AS n_scans, count(enhancing_mm3) AS usable, count(*) FILTER (enhancing_mm3 IS NOT NULL AND week IS NOT NULL AND rating IS NOT NULL) AS assessable FROM scans GROUP BY patient)", "scans")

@@ -220,14 +220,6 @@ def d12(spark, sf_dir):
     return evaluate.scorable(rule_calls(spark, sf_dir)).groupBy("profile", "expert").pivot("predicted", evaluate.CLASSES).agg(F.count(F.lit(1))).fillna(0)
 
 
-GRID = [rule.profile(f"floor={f:g}, late={w:g}", floor_mm3=f, confirm_max_weeks=w) for f in (0.0, 40.0, 400.0, 2000.0) for w in (8.0, 16.0, 32.0)]
-
-
-@query("i14_guard_sweep", f"WITH {RECORDS}, {calls_sql(GRID)}, {PAIRS}, classes AS (SELECT unnest(['CR','PR','SD','PD']) AS class), figures AS (SELECT profile, class, count(*) FILTER (expert = class) AS support, count(*) FILTER (expert = class AND predicted = class) AS correct FROM pairs, classes GROUP BY ALL) {SUMMARY.format(by='profile')}", "scans")
-def i14(spark, sf_dir):
-    return rounded_summary(evaluate.class_figures(evaluate.confusion(evaluate.scorable(rule_calls(spark, sf_dir, GRID)), "profile"), "profile"), "profile")
-
-
 #: The whole grids of the survey: both one by one with the other guard as shipped, and floors by five limits; None is unlimited.
 FLOORS, LIMITS, JOINT = (0.0, 1.0, 3.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 524.0, 1000.0), (6.0, 8.0, 10.0, 12.0, 14.0, 16.0, 20.0, 26.0, 52.0, None), (8.0, 12.0, 16.0, 20.0, None)
 SHIPPED = rule.profile("mrano_volumetric")
@@ -251,6 +243,10 @@ def i14_whole(spark, sf_dir):
     return rounded_summary(evaluate.class_figures(evaluate.confusion(evaluate.scorable(rule_calls(spark, sf_dir, WHOLE_GRID)), "profile"), "profile"), "profile")
 
 
+# the whole grids too; a smaller form had this name before
+QUERIES["i14_guard_sweep"], ORACLE["i14_guard_sweep"] = QUERIES["i14_guard_sweep_whole"], ORACLE["i14_guard_sweep_whole"]
+
+
 @query("i15_run_profiles", f"WITH {CALLS}, {PAIRS} SELECT profile, expert, predicted, arm, count(*) AS n FROM pairs GROUP BY ALL", "scans")
 def i15(spark, sf_dir):
     return evaluate.scorable(rule_calls(spark, sf_dir)).groupBy("profile", "expert", "predicted", "arm").agg(F.count(F.lit(1)).alias("n"))
