@@ -553,7 +553,7 @@ def test_chat_round_trip_merging_and_loss(spark):
 
 
 def test_every_operator_has_a_query_and_passes_no_rows_by(spark, sf_dir):
-    assert sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES) == list(range(1, 14))
     rows = catalog.op10_chat(spark, sf_dir)
     assert rows.where("conv_id = -1").count() == 1
 
