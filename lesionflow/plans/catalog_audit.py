@@ -83,7 +83,7 @@ def warnings(spark, sf_dir: str, counts: DataFrame) -> DataFrame:
 
 def volumes(spark, sf_dir: str) -> DataFrame:
     counts = stash(frame(spark, sf_dir, "native_masks"))
-    return audit.tidy_volumes(counts, volumetry.label_schema(spark, "deepbratumia"), stash(warnings(spark, sf_dir, counts)))
+    return stash(audit.tidy_volumes(counts, volumetry.label_schema(spark, "deepbratumia"), stash(warnings(spark, sf_dir, counts))))  # atlas and natives are joined from it
 
 
 @query("l07_native_warnings", f"WITH {WARNED} SELECT patient, timepoint, modality, warning FROM warnings", "native_masks")
