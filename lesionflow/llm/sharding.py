@@ -7,6 +7,9 @@ give shards whose row counts differ by one at most and whose mixtures match the
 No source is gathered: ranks come from counts of (source, hash bucket) and of bins of the fractional
 rank, each with a running total, plus a row number inside a bucket. Only ids, hashes and sizes move.
 
+Equal texts are no unit here: each of their rows is dealt by itself. Keeping a group of equal texts in one shard and counts at most
+one row apart exclude each other as soon as a group is larger than that gap allows.
+
 A null source is a source of its own; null text has size 1; repeated rows each get a slot (rows equal in
 every used column are interchangeable); an empty table gives no rows.
 """
