@@ -183,11 +183,13 @@ def followed(rows: DataFrame, labels: tuple[int, ...] = (1,), slack: int = 2) ->
     def work(visits: Iterator[Visit]) -> Iterator[dict]:
         for now, old in pairs(visits):
             own, before = now.only(*labels), old.only(*labels)
-            lesions = lumps_of(own)
-            index = Near(before)
+            lesions, index = lumps_of(own), Near(before)
+            # one distance field for all lesions
+            away = distances(np.concatenate(lesions), before, slack) if lesions else np.zeros(0, np.int32)
+            gaps = np.minimum.reduceat(away, np.cumsum([0, *map(len, lesions[:-1])])).tolist() if lesions else []
             yield {
                 "patient": now.patient, "visit": now.visit, "previous": old.visit,
-                "lesions": [{"root": int(numbers(c[:1])[0]), "n": len(c), "gap": int(distances(c, before, slack).min())} for c in lesions],
+                "lesions": [{"root": int(numbers(c[:1])[0]), "n": len(c), "gap": g} for c, g in zip(lesions, gaps)],
                 "lumps": [{"root": int(numbers(c[:1])[0]), "n": len(c), "distance": index.distance(c.mean(axis=0))} for c in lumps_of(without(own, before))],
             }
 
