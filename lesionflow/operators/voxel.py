@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,18 +159,59 @@ def best_shift(cells: DataFrame, reach: int = 2) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(turn)).where("r = 1").select("patient", "visit", "previous", "dx", "dy", "dz", "jaccard_pct")
 
 
+#: The numbers of a transform: three angles, a translation, a centre.
+FIT = ("rx", "ry", "rz", "tx", "ty", "tz", "cx", "cy", "cz")
+#: Cells of fixed grids that are mapped together.
+SLAB = 1 << 18
+
+
+def mapped(fit: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    """Where each transform (numbers as in FIT, one entry each) takes each of the cells (3, n), to the nearest cell, halves away from 0."""
+    rx, ry, rz, *rest = (n[:, None] for n in fit)
+    u, v, w = (at[k] - rest[3 + k] for k in range(3))
+    u, w = np.cos(ry) * u + np.sin(ry) * w, -np.sin(ry) * u + np.cos(ry) * w
+    v, w = np.cos(rx) * v - np.sin(rx) * w, np.sin(rx) * v + np.cos(rx) * w
+    u, v = np.cos(rz) * u - np.sin(rz) * v, np.sin(rz) * u + np.cos(rz) * v
+    there = (p + rest[3 + k] + rest[k] for k, p in enumerate((u, v, w)))
+    return [np.sign(p) * np.floor(np.abs(p) + 0.5) for p in there]
+
+
 def resampled(cells: DataFrame, transforms: DataFrame, lo: tuple[int, int, int], hi: tuple[int, int, int]) -> DataFrame:
-    """Labels on the fixed grid after a rigid transform, nearest neighbour: each fixed cell looks up the moving cell that it maps to.
+    """Labels on the fixed grid after a rigid transform, nearest neighbour: each fixed cell looks up the moving cell that it maps to. One shuffle by scan; the
+    grid is laid out inside the scan's task only, SLAB cells at a time.
 
     transforms: (patient, visit, rx, ry, rz, tx, ty, tz, cx, cy, cz); the rotation is Z X Y, so that y turns first, then x, then z, around
     the centre, from fixed to moving coordinates. Cells that map outside the moving table stay empty."""
-    rows = transforms
-    for axis, a, b in zip("xyz", lo, hi):
-        rows = rows.withColumn(axis, F.explode(F.sequence(F.lit(a), F.lit(b))))
-    u, v, w = (F.col(c) - F.col(f"c{c}") for c in "xyz")
-    u, w = F.cos("ry") * u + F.sin("ry") * w, -F.sin("ry") * u + F.cos("ry") * w
-    v, w = F.cos("rx") * v - F.sin("rx") * w, F.sin("rx") * v + F.cos("rx") * w
-    u, v = F.cos("rz") * u - F.sin("rz") * v, F.sin("rz") * u + F.cos("rz") * v
-    there = {f"m{c}": F.round(p + F.col(f"c{c}") + F.col(f"t{c}")).cast("int") for c, p in zip("xyz", (u, v, w))}
-    moving = cells.select(*SCAN, *(F.col(c).cast("int").alias(f"m{c}") for c in "xyz"), "label")
-    return rows.select(*CELL, *(e.alias(k) for k, e in there.items())).join(moving, [*SCAN, "mx", "my", "mz"]).select(*CELL, "label")
+    kind = cells.schema["label"].dataType
+    keys = [F.col(c).cast("bigint").alias(c) for c in CELL]
+    moving = cells.select(*keys, "label", F.lit(False).alias("turn"), *(F.lit(None).cast("double").alias(c) for c in FIT))
+    turns = transforms.select(*keys[:2], *(F.lit(0).cast("bigint").alias(c) for c in "xyz"), F.lit(None).cast(kind).alias("label"), F.lit(True).alias("turn"), *(F.col(c).cast("double").alias(c) for c in FIT))
+    shape = tuple(b - a + 1 for a, b in zip(lo, hi))
+    size = int(np.prod(shape))
+
+    def work(table: pa.Table) -> pa.Table:
+        number, cell = scan.numbered(table)
+        is_turn = table.column("turn").to_numpy()
+        turn, held = np.flatnonzero(is_turn), np.flatnonzero(~is_turn)
+        key = number[held] * scan.SIDE**3 + cell[held]
+        order = np.argsort(key, kind="stable")
+        held, key = held[order], key[order]
+        fits = [table.column(c).to_numpy()[turn] for c in FIT]
+        places, rows, together = [np.zeros((3, 0), np.int64)], [np.zeros(0, np.int64)], max(1, SLAB // size)
+        for first in range(0, len(turn), together):
+            some = np.s_[first : first + together]
+            for start in range(0, size, SLAB):
+                at = np.stack(np.unravel_index(np.arange(start, min(start + SLAB, size)), shape)) + np.array(lo)[:, None]
+                there = mapped([n[some] for n in fits], at)
+                fit, place = np.nonzero(np.logical_and.reduce([(p >= 0) & (p < scan.SIDE - 1) for p in there]))
+                x, y, z = (p[fit, place].astype(np.int64) for p in there)
+                wanted = number[turn[some]][fit] * scan.SIDE**3 + (x * scan.SIDE + y) * scan.SIDE + z
+                low, high = np.searchsorted(key, wanted), np.searchsorted(key, wanted, "right")
+                hits = high - low
+                places.append(np.repeat(at[:, place], hits, axis=1))
+                rows.append(held[np.repeat(low, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)])
+        place, row = np.concatenate(places, axis=1), np.concatenate(rows)
+        own = table.select([*SCAN, "label"]).take(pa.array(row))
+        return pa.Table.from_arrays([own.column(0), own.column(1), *(pa.array(p, pa.int32()) for p in place), own.column(2)], [*CELL, "label"])
+
+    return scan.by_scan(moving.unionByName(turns), work, f"patient bigint, visit bigint, x int, y int, z int, label {kind.simpleString()}")
