@@ -3,6 +3,7 @@ neighbours never meet across scans. Grids end at their bounds: shifted voxels ou
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -39,20 +40,47 @@ def lesions(cells: DataFrame, floor: int = 20, offsets: list[tuple[int, int, int
     return sizes.withColumn("rank", F.row_number().over(Window.partitionBy(*SCAN).orderBy(F.desc("n"), "root")))
 
 
+def in_scans(rows: DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The cells (scan, x, y, z) that ``work`` makes of the sorted distinct cell numbers of whole scans, each with its scan's number before it. One shuffle by scan."""
+    kinds = dict(rows.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        number, cell = scan.numbered(table)
+        first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        keys = work(np.unique(number * scan.SIDE**3 + cell))
+        own = table.select(SCAN).take(pa.array(first[keys // scan.SIDE**3]))
+        at = (keys // step % scan.SIDE for step in (scan.SIDE**2, scan.SIDE, 1))
+        return pa.Table.from_arrays([*own.columns, *(pa.array(c, pa.int64()) for c in at)], CELL)
+
+    found = scan.by_scan(rows.select(*CELL), run, ", ".join(f"{c} {kinds[c]}" for c in SCAN) + ", x bigint, y bigint, z bigint")
+    return found.select(*SCAN, *(F.col(c).cast(kinds[c]).alias(c) for c in "xyz"))
+
+
 def dilate(cells: DataFrame, r: int, lo: tuple[int, int, int], hi: tuple[int, int, int]) -> DataFrame:
     """The cube of radius r around each cell, as three passes of one axis each, cut at the grid's bounds."""
-    out = cells.select(*CELL).distinct()
-    for axis, a, b in zip("xyz", lo, hi):
-        reach = F.explode(F.sequence(F.greatest(F.lit(a), F.col(axis).cast("int") - r), F.least(F.lit(b), F.col(axis).cast("int") + r)))
-        out = out.withColumn(axis, reach).distinct()
-    return out
+    if min(lo) < 0 or max(hi) > scan.SIDE - 2:
+        raise ValueError(f"bounds of grids must lie between 0 and {scan.SIDE - 2}")
+
+    def work(keys: np.ndarray) -> np.ndarray:
+        for step, a, b in zip((scan.SIDE**2, scan.SIDE, 1), lo, hi):
+            at = keys // step % scan.SIDE
+            keys = np.unique(np.concatenate([keys[(at + d >= a) & (at + d <= b)] + d * step for d in range(-r, r + 1)]))
+        return keys
+
+    return in_scans(cells, work)
 
 
 def erode(cells: DataFrame) -> DataFrame:
     """Cells whose six face neighbours are all there."""
-    own = cells.select(*CELL).distinct()
-    moved = shifted(own, FACES).select(*SCAN, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), (F.col("z") + F.col("dz")).alias("z"))
-    return own.join(moved.groupBy(*CELL).agg(F.count(F.lit(1)).alias("near")).where("near = 6"), CELL, "left_semi")
+    steps = scan.steps_of(FACES)
+
+    def work(keys: np.ndarray) -> np.ndarray:
+        for_all = np.ones(len(keys), bool)
+        for step in steps:
+            for_all &= keys[np.minimum(np.searchsorted(keys, keys + step), len(keys) - 1)] == keys + step
+        return keys[for_all]
+
+    return in_scans(cells, work)
 
 
 def surface(cells: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import cohort, evaluate, order, rule, ruler, timeline, voxel
+from ..operators import cohort, evaluate, order, rule, ruler, timeline, visits, voxel
 from ..sources.fixtures import frame, oracle
 from . import catalog_rule
 from .catalog_cohort import BAND
@@ -216,10 +216,9 @@ def j26(spark, sf_dir):
 
 @query("j15_new_focus_cells", f"WITH {ONE}, vp AS (SELECT patient, visit, lag(visit) OVER (PARTITION BY patient ORDER BY visit) AS previous FROM (SELECT DISTINCT patient, visit FROM c)) SELECT c.patient, c.visit, count(*) AS n FROM c JOIN vp USING (patient, visit) WHERE previous IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c o WHERE o.patient = c.patient AND o.visit = previous AND abs(o.x - c.x) <= 3 AND abs(o.y - c.y) <= 3 AND abs(o.z - c.z) <= 3) GROUP BY ALL", "voxels")
 def j15(spark, sf_dir):
-    own = cells(spark, sf_dir, 1).select(*voxel.CELL).distinct()
-    pairs = voxel.visit_pairs(own)
-    near = voxel.dilate(own, 3, LO, HI).withColumnRenamed("visit", "previous").join(pairs, ["patient", "previous"]).select(*voxel.CELL)
-    return own.join(pairs.select(*voxel.SCAN), voxel.SCAN, "left_semi").join(near, voxel.CELL, "left_anti").groupBy("patient", "visit").agg(F.count(F.lit(1)).alias("n"))
+    """Cells more than three cube steps from the visit before, from one distance field a pair."""
+    rows = visits.overlap_within(cells(spark, sf_dir, 1), (3,))
+    return rows.select("patient", "visit", (F.col("n") - F.col("near")).alias("n")).where("n > 0")
 
 
 @query("j19_translation", f"WITH {ONE}, k AS (SELECT patient, visit, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM c GROUP BY ALL) SELECT patient, visit, round(cx - lag(cx) OVER w, 6) AS dx, round(cy - lag(cy) OVER w, 6) AS dy, round(cz - lag(cz) OVER w, 6) AS dz FROM k WINDOW w AS (PARTITION BY patient ORDER BY visit)", "voxels")

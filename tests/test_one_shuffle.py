@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 
 from lesionflow.operators import visits, voxel
+from lesionflow.plans import catalog_more
 
 KEYS = "patient bigint, visit bigint, x int, y int, z int, label int"
 
@@ -44,3 +45,17 @@ def test_ends_of_a_stack_interpolate_as_the_sql_does(spark):
     shared = [(0, 0, 1)] + [(0, y, 6) for y in range(8)]
     cells = [(1, v, *c, 2) for v in (1, 2) for c in shared] + [(1, 2, 5, 5, 3, 2)]
     assert visits.mismatch(spark.createDataFrame(cells, KEYS)).first().at_ends == 1
+
+
+def test_dilation_and_erosion_stay_in_the_scans_task(spark, sf_dir):
+    rng = np.random.default_rng(13)
+    cells = {(p, v, *map(int, c)) for p in (1, 2) for v in (1, 2) for c in rng.integers(0, 6, (150, 3))}
+    rows = spark.createDataFrame([(*c, 1) for c in [*cells, *cells]], KEYS)
+    cube = {(p, v, x + a, y + b, z + c) for p, v, x, y, z in cells for a in (-2, -1, 0, 1, 2) for b in (-2, -1, 0, 1, 2) for c in (-2, -1, 0, 1, 2)}
+    wide = voxel.dilate(rows, 2, (0, 0, 1), (6, 6, 7))
+    assert sorted(map(tuple, wide.collect())) == sorted(c for c in cube if max(c[2:4]) <= 6 and min(c[2:4]) >= 0 and 1 <= c[4] <= 7)
+    inner = {c for c in cells if all((*c[:2], c[2] + a, c[3] + b, c[4] + d) in cells for a, b, d in voxel.FACES)}
+    thin = voxel.erode(rows)
+    assert sorted(map(tuple, thin.collect())) == sorted(inner) and inner
+    assert all("Generate" not in planned(q) and "Join" not in planned(q) for q in (wide, thin))
+    assert "Join" not in planned(catalog_more.QUERIES["j15_new_focus_cells"](spark, sf_dir))  # dilated cells once met in joins
