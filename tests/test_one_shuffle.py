@@ -5,8 +5,9 @@ import math
 import duckdb
 import numpy as np
 
-from lesionflow.operators import visits, voxel
+from lesionflow.operators import ruler, scan, visits, voxel
 from lesionflow.plans import catalog_more
+from lesionflow.sources.fixtures import frame
 
 KEYS = "patient bigint, visit bigint, x int, y int, z int, label int"
 
@@ -59,3 +60,17 @@ def test_dilation_and_erosion_stay_in_the_scans_task(spark, sf_dir):
     assert sorted(map(tuple, thin.collect())) == sorted(inner) and inner
     assert all("Generate" not in planned(q) and "Join" not in planned(q) for q in (wide, thin))
     assert "Join" not in planned(catalog_more.QUERIES["j15_new_focus_cells"](spark, sf_dir))  # dilated cells once met in joins
+
+
+def test_suppliers_are_dealt_out_before_grids_are_laid_out(spark, sf_dir):
+    for view in ("plates", "cores", "solids"):
+        assert frame(spark, sf_dir, view).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))  # one small file, so one task laid out all grids
+
+
+def test_cells_that_repeat_are_dropped_inside_the_task(spark):
+    cells = [(1, 1, x, y, 1, 1) for x in range(6) for y in range(5)]
+    rows = spark.createDataFrame([*cells, *cells], KEYS)
+    for found in (ruler.lesion_slices(rows), ruler.calipers(rows), ruler.slice_variants(rows, {"one": (1,)}), scan.label_components(rows, voxel.HALF_26)):
+        assert "Aggregate" not in planned(found)  # a whole aggregation of all cells came before
+    assert ruler.lesion_slices(rows).first().n == 30 and scan.label_components(rows, voxel.HALF_26).count() == 30
+    assert {r.area for r in ruler.slice_variants(rows, {"one": (1,)}).collect()} == {30} and ruler.calipers(rows).count() == 1
