@@ -81,9 +81,13 @@ def warnings(spark, sf_dir: str, counts: DataFrame) -> DataFrame:
     return audit.mask_warnings(scans, counts, NATIVE, [label for source, label, _ in volumetry.LABELS if source == "deepbratumia"])
 
 
+def measured(spark, sf_dir: str) -> DataFrame:
+    """The volumes of each scan's masks."""
+    return audit.scan_volumes(frame(spark, sf_dir, "native_masks"), {label: name for source, label, name in volumetry.LABELS if source == "deepbratumia"})
+
+
 def volumes(spark, sf_dir: str) -> DataFrame:
-    counts = stash(frame(spark, sf_dir, "native_masks"))
-    return stash(audit.tidy_volumes(counts, volumetry.label_schema(spark, "deepbratumia"), stash(warnings(spark, sf_dir, counts))))  # atlas and natives are joined from it
+    return audit.tidy_of(measured(spark, sf_dir))
 
 
 @query("l07_native_warnings", f"WITH {WARNED} SELECT patient, timepoint, modality, warning FROM warnings", "native_masks")
@@ -109,7 +113,7 @@ def cases(value: str, bins: tuple) -> str:
 )
 def d17_anisotropy(spark, sf_dir):
     """How far native volumes lie from the atlas by compartment and anisotropy of the native grid."""
-    return audit.deviation_by_anisotropy(volumes(spark, sf_dir)).select("compartment", "low", "high", "n", *(F.round(c, 6).alias(c) for c in ("p10", "median", "p90")))
+    return audit.deviation_by_anisotropy(audit.scan_deviations(measured(spark, sf_dir), audit.LEAST_VOLUME)).select("compartment", "low", "high", "n", *(F.round(c, 6).alias(c) for c in ("p10", "median", "p90")))
 
 
 @query(
@@ -120,7 +124,7 @@ def d17_anisotropy(spark, sf_dir):
 )
 def d17_size(spark, sf_dir):
     """The spread of the deviations by the size of the compartment."""
-    return audit.spread_by_size(volumes(spark, sf_dir)).select("series", "low", "n", F.round("spread", 6).alias("spread"))
+    return audit.spread_by_size(audit.scan_deviations(measured(spark, sf_dir), audit.LEAST_BAND_VOLUME)).select("series", "low", "n", F.round("spread", 6).alias("spread"))
 
 
 FIRST = "CASE item " + " ".join(f"WHEN '{m}' THEN {k}" for k, m in enumerate(listing.MODALITIES)) + " END"

@@ -5,7 +5,7 @@ import math
 import duckdb
 import numpy as np
 
-from lesionflow.operators import ruler, scan, visits, voxel
+from lesionflow.operators import audit, ruler, scan, visits, volumetry, voxel
 from lesionflow.plans import catalog_more
 from lesionflow.sources.fixtures import frame
 
@@ -74,3 +74,18 @@ def test_cells_that_repeat_are_dropped_inside_the_task(spark):
         assert "Aggregate" not in planned(found)  # a whole aggregation of all cells came before
     assert ruler.lesion_slices(rows).first().n == 30 and scan.label_components(rows, voxel.HALF_26).count() == 30
     assert {r.area for r in ruler.slice_variants(rows, {"one": (1,)}).collect()} == {30} and ruler.calipers(rows).count() == 1
+
+
+def test_volumes_of_a_scans_masks_from_one_shuffle(spark):
+    rows = [(1, 10, "atlas", 1.0, 1.0, 1.0, 1, 30), (1, 10, "atlas", 1.0, 1.0, 1.0, 2, 5), (1, 10, "T1", 1.0, 1.0, 2.0, 1, 12), (1, 10, "T1", 1.0, 1.0, 2.0, 1, 2), (1, 10, "T2", 1.0, 1.0, 4.0, 9, 7), (1, 10, "T2", 1.0, 1.0, 4.0, 1, 7)]
+    rows += [(1, 11, "T1", 1.0, 1.0, 1.0, 1, 4), (2, 12, "atlas", 1.0, 1.0, 1.0, 9, 4), (2, 12, "T1", 1.0, 1.0, 1.0, 1, 4), (3, 13, "atlas", 1.0, 1.0, 1.0, 0, 8), (3, 13, "CT1", 0.5, 0.5, 0.5, 3, 8)]
+    counts = spark.createDataFrame(rows, "patient bigint, timepoint bigint, modality string, s0 double, s1 double, s2 double, label int, n bigint")
+    scans = counts.select("patient", "timepoint").distinct()
+    names = {label: name for source, label, name in volumetry.LABELS if source == "deepbratumia"}
+    found = audit.scan_volumes(counts, names)
+    tidy = sorted(map(tuple, audit.tidy_of(found).collect()))
+    plain = audit.tidy_volumes(counts, volumetry.label_schema(spark, "deepbratumia"), audit.mask_warnings(scans, counts, ["CT1", "T1", "T2", "FLAIR"], list(names)))
+    assert tidy == sorted(map(tuple, plain.select(*audit.TIDY).collect())) and len(tidy) == 12
+    assert sorted(map(tuple, audit.scan_deviations(found, 1.0).collect())) == sorted(map(tuple, audit.deviations(plain, 1.0).collect()))
+    assert "Join" not in planned(found)  # masks were joined with their warnings, labels and counts
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
