@@ -31,8 +31,8 @@ def folder(spark) -> str:
     return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
-def to_csv(rows: DataFrame, path: str) -> str:
-    rows.write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path, header=True)
+def to_csv(rows: DataFrame, path: str, compression: str = "none") -> str:
+    rows.write.option("compression", compression).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path, header=True)
     return path
 
 
@@ -71,7 +71,7 @@ def a02(spark, sf_dir):
 def a04(spark, sf_dir):
     """A tidy volume file of which one space is read, the first modality of each compartment."""
     rows = named(catalog_audit.volumes(spark, sf_dir)).select("patient", "timepoint", "space", "modality", "compartment", "volume_mm3")
-    return readers.tidy_volumes(spark, to_csv(rows, folder(spark)), "native").select("patient", "timepoint", "modality", "compartment", "volume_mm3")
+    return readers.tidy_volumes(spark, to_csv(rows, folder(spark), "gzip"), "native").select("patient", "timepoint", "modality", "compartment", "volume_mm3")
 
 
 @query(
@@ -117,10 +117,10 @@ def a09(spark, sf_dir):
 
 @query("a10_volume_folders", f"WITH {catalog_audit.TIDY} SELECT patient, space, compartment, count(*) AS n, round(sum(volume_mm3), 3) AS total FROM tidy GROUP BY ALL", "native_masks")
 def a10(spark, sf_dir):
-    """Tidy volumes written in one folder for each patient."""
+    """Tidy volumes written in folders of patients, each patient in one of them."""
     path = folder(spark)
     readers.write_tidy_volumes(catalog_audit.volumes(spark, sf_dir).select("patient", "timepoint", "space", "compartment", "volume_mm3"), path)
-    rows = spark.read.schema("timepoint bigint, space string, compartment string, volume_mm3 double, patient bigint").parquet(path)
+    rows = spark.read.schema("patient bigint, timepoint bigint, space string, compartment string, volume_mm3 double").parquet(path)
     return rows.groupBy("patient", "space", "compartment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("volume_mm3"), 3).alias("total"))
 
 

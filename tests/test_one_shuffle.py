@@ -7,6 +7,7 @@ import numpy as np
 
 from lesionflow.operators import audit, ruler, scan, visits, volumetry, voxel
 from lesionflow.plans import catalog_more
+from lesionflow.sources import readers
 from lesionflow.sources.fixtures import frame
 
 KEYS = "patient bigint, visit bigint, x int, y int, z int, label int"
@@ -89,3 +90,12 @@ def test_volumes_of_a_scans_masks_from_one_shuffle(spark):
     assert sorted(map(tuple, audit.scan_deviations(found, 1.0).collect())) == sorted(map(tuple, audit.deviations(plain, 1.0).collect()))
     assert "Join" not in planned(found)  # masks were joined with their warnings, labels and counts
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+
+
+def test_folders_do_not_grow_with_the_patients(spark, tmp_path):
+    rows = spark.range(700).selectExpr("id AS patient", "id % 3 AS timepoint", "'atlas' AS space", "'edema' AS compartment", "1.5D AS volume_mm3")
+    readers.write_tidy_volumes(rows.union(rows), str(tmp_path / "v"))
+    assert len(list((tmp_path / "v").glob("folder=*"))) <= readers.FOLDERS  # was 700
+    back = spark.read.parquet(str(tmp_path / "v"))
+    assert sorted(map(tuple, back.drop("folder").collect())) == sorted(map(tuple, rows.union(rows).collect()))
+    assert back.groupBy("patient").agg({"folder": "min", "*": "count"}).where("`count(1)` <> 2").count() == 0 and back.select("patient", "folder").distinct().count() == 700
