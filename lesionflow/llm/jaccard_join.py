@@ -15,7 +15,8 @@
    links give components. Of buckets of up to FEW members that still hold several, the distinct pairs across components are compared. Larger
    ones are worked through in pairs of blocks, inside tasks that leave out pairs already joined or met under an earlier
    segment and put out only links that join components.
-6. Every link is confirmed on full sets: 100 * intersection >= 90 * union. No bucket, pair or partner list is cut.
+6. Every link is confirmed on full sets: 100 * intersection >= 90 * union. No bucket, pair or partner list is cut. Sets are moved only for pairs that
+   parities of their shingles leave: sets differ in one shingle at least for each bit of their signatures that differs, so no link is lost.
 
 Words: A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``. With fewer than three words the whole sequence is one shingle; a document without
 words has an empty set and no links. Sets under SMALLEST shingles are linked with equal sets only, as any other set differs by too
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from ..plans.components import components
 from ..plans.shared import stash
 from .neardup import WordHashes, blocks_of, groups_of, has_repeats, mixed
-from .text import likely_in, words
+from .text import likely_in, without, words
 
 SHINGLE = 3
 #: 100 * intersection >= SIMILAR * union; so 19 * differences <= a + b, and sizes 9 and 10 are the smallest different ones.
@@ -251,18 +252,16 @@ def measured(classes: DataFrame) -> dict[int, Plan]:
 
 
 def index_rows(docs: DataFrame, plans: dict[int, Plan]) -> DataFrame:
-    """(key, id, n, digest) of the index; digest: 64 bits of the set's."""
+    """(key, id, n) of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in some_rows(batches):
             sets = [shingle_set(hashes, t.as_py()) for t in batch.column(1)]
-            with np.errstate(over="ignore"):
-                digest = [int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.int64()), all_keys(sets, plans)], ["id", "n", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), all_keys(sets, plans)], ["id", "n", "keys"])
 
-    packed = stash(docs.select("doc_id", "text").mapInArrow(run, "id bigint, n bigint, digest bigint, keys array<bigint>"))
-    return packed.select(F.explode("keys").alias("key"), "id", "n", "digest")
+    packed = stash(docs.select("doc_id", "text").mapInArrow(run, "id bigint, n bigint, keys array<bigint>"))
+    return packed.select(F.explode("keys").alias("key"), "id", "n")
 
 
 def where_is(key: int, s: np.ndarray, plans: dict[int, Plan]) -> tuple[Plan, int]:
@@ -276,18 +275,45 @@ def where_is(key: int, s: np.ndarray, plans: dict[int, Plan]) -> tuple[Plan, int
     raise ValueError("the set has no such key")
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall on each bit, even or odd; a power of two of bits, four for each shingle and 64 at least."""
+    bits = max(64, 1 << (4 * len(s)).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
+def least_differences(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles that two sets of these signatures differ in at least: a bit that differs takes one. The longer one is folded to the other's length."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y))) ^ y).sum())
+
+
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in some_rows(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(hashes, t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
+        sets = [shingle_set(hashes, t.as_py()) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "sign", "set"])
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the documents in ``wanted`` (doc_id), the largest set where a doc_id repeats."""
+    """(id, n, sign, set) of the documents in ``wanted`` (doc_id), the largest set where a doc_id repeats."""
     wanted = stash(wanted)
     few = likely_in(docs.select("doc_id", "text"), wanted)  # so that the join moves few texts that it drops
-    sets = stash(few.join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id bigint, set binary"))
-    return sets.groupBy("id").agg(F.max_by("set", F.struct(F.length("set"), "set")).alias("set")) if has_repeats(sets) else sets
+    sets = stash(few.join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id bigint, n bigint, sign binary, set binary"))
+    return sets.groupBy("id").agg(F.max_by(F.struct("n", "sign", "set"), F.struct("n", "set")).alias("s")).select("id", "s.*") if has_repeats(sets) else sets
+
+
+def only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, set) of those in ``wanted`` (doc_id) and few others."""
+    return likely_in(sets.select(F.col("id").alias("doc_id"), "set"), wanted).withColumnRenamed("doc_id", "id")
+
+
+def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of (a, b, n_a, n_b, sign_a, sign_b) whose signatures may belong to linked sets."""
+    for batch in batches:
+        size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        apart = [least_differences(*(np.frombuffer(x.as_buffer(), np.uint8) for x in both)) for both in zip(batch.column(4), batch.column(5))]
+        yield batch.select(["a", "b"]).filter(pa.array(PER_DIFFERENCE * np.array(apart, np.int64) <= size))
 
 
 def linked(s: np.ndarray, t: np.ndarray) -> bool:
@@ -296,8 +322,13 @@ def linked(s: np.ndarray, t: np.ndarray) -> bool:
 
 
 def star_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked: a centre's set goes once to each STAR of its members, which follow it in a task."""
+    """The pairs (a, b) whose full sets are linked: signatures meet first; of the pairs that they leave, a centre's set goes once to each STAR of its
+    members, which follow it in a task."""
     sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sign").alias(f"sign_{c}")), c)
+    pairs = stash(pairs.select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(possible, "a bigint, b bigint"))
+    sets = only(sets, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("groups"))
     centres = groups.join(sets.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("bigint").alias("b"), "set")
     members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "groups").cast("int").alias("g"), "b")
@@ -323,9 +354,8 @@ def labelled(members: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def pairs_of_few(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) across components of the buckets of 3 to FEW members (two have been compared), of sizes that may be linked."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(f"size BETWEEN 3 AND {FEW} AND lo <> hi")
-    held = members.join(sizes.select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n", "component"))).alias("m"))  # FEW at most
+    """Distinct pairs (a, b) across components of buckets of up to FEW members, of sizes that may be linked."""
+    held = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n", "component"))).alias("m")).where("exists(m, x -> x.component <> m[0].component)")
     both = F.expr(f"filter(flatten(transform(m, x -> transform(m, y -> struct(x AS x, y AS y)))), p -> p.x.id < p.y.id AND p.x.component <> p.y.component AND 100 * least(p.x.n, p.y.n) >= {SIMILAR} * greatest(p.x.n, p.y.n))")
     return held.select(F.explode(both).alias("p")).select(F.col("p.x.id").alias("a"), F.col("p.y.id").alias("b")).distinct()
 
@@ -344,13 +374,42 @@ def relabelled(whole: DataFrame, joined: DataFrame) -> DataFrame:
     return moved.union(merged.join(whole.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component")))
 
 
+def partners(rows: pa.Table, a: int) -> np.ndarray:
+    """The members of a pair of blocks that its member a is compared with, those of sizes that may be linked; two minor members are compared once, by the smaller id."""
+    ids, n, part, asked, minor = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "component", "asked", "minor"))
+    far = np.flatnonzero(asked & (part != part[a]) & (~minor | (ids > ids[a])))
+    return far[100 * np.minimum(n[far], n[a]) >= SIMILAR * np.maximum(n[far], n[a])]
+
+
+def possible_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of members whose signature leaves a partner in their group, or that are one."""
+    for rows in groups_of(batches):
+        n, asks = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "asks"))
+        signs = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("sign")]
+        used = np.zeros(rows.num_rows, bool)
+        for a in np.flatnonzero(asks).tolist():
+            far = partners(rows, a)
+            # signatures of one length are compared together
+            for length in {len(signs[b]) for b in far}:
+                own = far[[len(signs[b]) == length for b in far]]
+                short = min(length, len(signs[a]))
+                mine = np.bitwise_xor.reduce(signs[a].reshape(-1, short))
+                theirs = np.bitwise_xor.reduce(np.stack([signs[b] for b in own]).reshape(len(own), -1, short), axis=1)
+                near = own[PER_DIFFERENCE * np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64) <= n[a] + n[own]]
+                used[near] = True
+                used[a] |= len(near) > 0
+        if used.any():
+            yield from rows.drop_columns(["sign"]).filter(pa.array(used)).to_batches()
+
+
 def open_links(docs: DataFrame, members: DataFrame, plans: dict[int, Plan]) -> DataFrame:
-    """(a, b): components of the members (key, id, n, component) joined by a link inside buckets of more than FEW."""
-    larger = members.groupBy("key").count().where(f"count > {FEW}").select("key")
-    parts = members.join(larger, "key", "left_semi").withColumn("band", F.lit(0))
-    rows = stash(blocks_of(parts).select("key", "i", "j", "asks", "asked", "id", "n", "component", "minor"))
+    """(a, b): components of the members (key, id, n, component) of buckets of more than FEW that a link inside a bucket joins."""
+    columns, place = ("key", "i", "j", "asks", "asked", "id", "n", "component", "minor"), ("key", "i", "j")
+    rows = stash(blocks_of(members.withColumn("band", F.lit(0))).select(*columns))
     sets = sets_of(docs, rows.select(F.col("id").alias("doc_id")).distinct())
-    place = ("key", "i", "j")
+    kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in columns)
+    rows = stash(rows.join(sets.select("id", "sign"), "id").select(*columns, "sign").repartition(*place).sortWithinPartitions(*place, "id").mapInArrow(possible_members, kinds))
+    sets = only(sets, rows.select(F.col("id").alias("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above: dict[int, int] = {}
@@ -363,8 +422,7 @@ def open_links(docs: DataFrame, members: DataFrame, plans: dict[int, Plan]) -> D
 
         for table in groups_of(batches):
             found = []
-            ids, n, part = (table.column(c).to_numpy() for c in ("id", "n", "component"))
-            asks, asked, minor = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "asked", "minor"))
+            n, part, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "component", "asks"))
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
             plan, segment = where_is(int(table.column("key")[0].as_py()), sets[0], plans)
             with np.errstate(over="ignore"):
@@ -373,8 +431,7 @@ def open_links(docs: DataFrame, members: DataFrame, plans: dict[int, Plan]) -> D
             local = np.split(local.astype(np.int32), np.cumsum(n)[:-1])
             flag = np.zeros(max(int(x.max()) for x in local) + 1, bool)
             for a in np.flatnonzero(asks).tolist():
-                far = np.flatnonzero(asked & (part != part[a]) & (~minor | (ids > ids[a])))
-                far = far[100 * np.minimum(n[far], n[a]) >= SIMILAR * np.maximum(n[far], n[a])]
+                far = partners(table, a)
                 far = far[~(earlier[far] == earlier[a]).any(axis=1)]
                 flag[local[a]] = True
                 step = 4
@@ -394,7 +451,7 @@ def open_links(docs: DataFrame, members: DataFrame, plans: dict[int, Plan]) -> D
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    return rows.join(sets, "id").select(*rows.columns, "set").repartition(*place).sortWithinPartitions(*place, "id").mapInArrow(run, "a bigint, b bigint")
+    return rows.join(sets, "id").select(*columns, "set").repartition(*place).sortWithinPartitions(*place, "id").mapInArrow(run, "a bigint, b bigint")
 
 
 def join_groups(docs: DataFrame, plans: dict[int, Plan] | None = None) -> DataFrame:
@@ -406,17 +463,19 @@ def join_groups(docs: DataFrame, plans: dict[int, Plan] | None = None) -> DataFr
         marks = stash(marks.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "digest", "weighed"), F.struct("n_shingles", "digest")).alias("m")).select("doc_id", "m.*"))
     classes = stash(marks.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.min_by("weighed", "doc_id").alias("weighed")))
     plans = measured(classes) if plans is None else plans
-    index = index_rows(docs, plans)
-    shared = stash(index.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("key"))
+    of_class = stash(marks.where("n_shingles > 0").select("doc_id", "digest", "n_shingles").join(classes.select("digest", "id"), "digest").select("doc_id", "n_shingles", "id"))
+    index = index_rows(without(docs, of_class.where("doc_id <> id").select("doc_id")), plans)  # one document of each class
+    shared = stash(index.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     likely = likely_in(index.select(F.col("key").alias("doc_id"), "id", "n"), shared.select(F.col("key").alias("doc_id"))).withColumnRenamed("doc_id", "key")
-    members = stash(likely.join(shared, "key", "left_semi").join(classes.select("id"), "id", "left_semi").select("key", "id", "n"))
-    centres = members.groupBy("key").agg(F.min("id").alias("centre"))
+    members = stash(likely.join(shared, "key").select("key", "id", "n", "centre", "size"))
     size = classes.select(F.col("id").alias("centre"), F.col("n_shingles").alias("n_centre"))
     fits = 100 * F.least("n", "n_centre") >= SIMILAR * F.greatest("n", "n_centre")
-    pairs = members.join(centres, "key").where("id <> centre").groupBy("centre", "id").agg(F.first("n").alias("n")).join(size, "centre").where(fits)
-    whole = stash(components(star_links(docs, stash(pairs.select(F.col("centre").alias("a"), F.col("id").alias("b"))))))
-    for find in (lambda rows: component_pairs(star_links(docs, stash(pairs_of_few(rows))), whole), lambda rows: open_links(docs, rows, plans)):
-        whole = stash(relabelled(whole, stash(find(stash(labelled(members, whole))))))
-    of_class = classes.select("digest", "id").join(whole.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    filled = marks.where("n_shingles > 0").join(of_class, "digest").select("doc_id", "n_shingles", "component_id")
+    pairs = members.where("id <> centre").groupBy("centre", "id").agg(F.max("n").alias("n")).join(size, "centre").where(fits)
+    links = stash(star_links(docs, stash(pairs.select(F.col("centre").alias("a"), F.col("id").alias("b")))))  # components read them twice
+    whole = stash(components(links))
+    # a bucket of two has been compared
+    few, larger = (members.where(some).select("key", "id", "n") for some in (f"size BETWEEN 3 AND {FEW}", f"size > {FEW}"))
+    whole = stash(relabelled(whole, stash(component_pairs(star_links(docs, stash(pairs_of_few(labelled(few, whole)))), whole))))
+    whole = stash(relabelled(whole, stash(open_links(docs, stash(labelled(larger, whole)), plans))))
+    filled = of_class.join(whole.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return filled.union(marks.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

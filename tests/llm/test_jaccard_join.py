@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from lesionflow.llm import catalog, jaccard_join
 from lesionflow.llm.text import words
@@ -136,3 +138,41 @@ def test_query_keeps_its_contract(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in catalog.QUERIES["op13_jaccard_join"](spark, sf_dir).collect()}
     assert got == every_component(docs)
+
+
+def test_signatures_leave_every_linked_pair_and_few_others():
+    rng = np.random.default_rng(21)
+    rows, links = [], 0
+    for n in [9, 10, 16, 17, 40, 100, 300, 1000, 5000] * 12:
+        s = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        k = int(rng.integers(0, 1 + n // 3))
+        t = np.concatenate([s[k // 2 :], rng.integers(0, 1 << 63, k - k // 2).astype(np.uint64)])
+        x, y = jaccard_join.signature(s), jaccard_join.signature(t)
+        apart = len(np.setxor1d(s, t))
+        assert jaccard_join.least_differences(x, y) == jaccard_join.least_differences(y, x) <= apart
+        assert jaccard_join.linked(np.sort(s), np.sort(t)) == (19 * apart <= len(s) + len(t))
+        links += 19 * apart <= len(s) + len(t)
+        rows.append((len(rows), -1, len(s), len(t), x.tobytes(), y.tobytes(), 19 * apart <= len(s) + len(t)))
+    names = ["a", "b", "n_a", "n_b", "sign_a", "sign_b"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    left = {r["a"] for b in jaccard_join.possible(iter([batch])) for r in b.to_pylist()}
+    assert {r[0] for r in rows if r[-1]} <= left and links > 20 and len(left) < links + 20
+
+
+def test_sets_move_for_possible_pairs_only_and_the_index_has_one_document_of_each_class(spark, monkeypatch):
+    moved, indexed = [], []
+    only, index = jaccard_join.only, jaccard_join.index_rows
+    monkeypatch.setattr(jaccard_join, "only", lambda sets, wanted: moved.append(wanted.distinct().count()) or only(sets, wanted))
+    monkeypatch.setattr(jaccard_join, "index_rows", lambda docs, plans: indexed.append(docs.count()) or index(docs, plans))
+    rng = np.random.default_rng(22)
+    base = [f"w{i}" for i in range(300)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 25):  # every other one shares most of the text and is no link
+        ws = list(base)
+        for at in rng.choice(300, 2 if i % 2 else 14, replace=False):
+            ws[at] = f"x{i}_{at}"
+        docs.append((i, " ".join(ws)))
+    docs += [(100 + i, t) for i, t in docs]  # copies
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_groups(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {i: 0 if i % 100 == 0 or i % 100 % 2 else i % 100 for i, _ in docs}
+    assert indexed == [25] and max(moved) <= 13
