@@ -131,6 +131,10 @@ def references(scans: DataFrame, reset: bool) -> DataFrame:
     })
 
 
+#: Fields that only the confirmation reads: parameter sets that agree in all others share their first pass and the look ahead.
+LAST = ("profile", "confirm", "confirm_max_weeks", "keep_at_end")
+
+
 def trajectories(scans: DataFrame, params: DataFrame) -> DataFrame:
     """Every scan's call under every parameter set: references, resets, single-scan calls, confirmation.
 
@@ -138,10 +142,12 @@ def trajectories(scans: DataFrame, params: DataFrame) -> DataFrame:
     BASELINE and not scored. Confirmation looks at the first dated scan at least ``confirm_weeks`` on, by
     its first-pass call: later than ``confirm_max_weeks`` or none keeps the call and says so. All four
     parameter sets share one ``confirm_weeks``, which bounds a RANGE frame; sets that differ in it are
-    run apart and united."""
+    run apart and united. Sets that differ in LAST only are told apart after the look ahead."""
+    shared = [c for c in params.columns if c not in LAST]
+    first = params.groupBy(*shared).agg(F.sort_array(F.collect_list(F.struct(*LAST))).alias("sets")).withColumn("pass", F.col("sets")[0]["profile"])
     out = None
     for reset in sorted(r[0] for r in params.select("reset_at_surgery").distinct().collect()):  # one or both, of a handful of rows
-        rows = references(scans, reset).crossJoin(F.broadcast(params.where(F.col("reset_at_surgery") == reset)))
+        rows = references(scans, reset).crossJoin(F.broadcast(first.where(F.col("reset_at_surgery") == reset)))
         out = rows if out is None else out.unionByName(rows)
     rows = single_scan(out)
     is_base = (F.col("n") == 0) | F.col("reset")
@@ -150,16 +156,28 @@ def trajectories(scans: DataFrame, params: DataFrame) -> DataFrame:
     gaps = [r[0] for r in params.select("confirm_weeks").distinct().collect()]
     done = None
     for weeks in gaps:
-        part = confirmed(rows.where(F.col("confirm_weeks") == weeks) if len(gaps) > 1 else rows, weeks)
+        part = looked_ahead(rows.where(F.col("confirm_weeks") == weeks) if len(gaps) > 1 else rows, weeks, "pass")
+        part = judged(part.withColumn("set", F.explode("sets")).select("*", "set.*").drop("sets", "set", "pass"))
         done = part if done is None else done.unionByName(part)
     return done
 
 
-def confirmed(rows: DataFrame, weeks: float) -> DataFrame:
+def looked_ahead(rows: DataFrame, weeks: float, by: str) -> DataFrame:
+    """Adds later, the first dated scan of the patient at least ``weeks`` on among the rows that agree in ``by``."""
     candidate = F.when(F.col("week").isNotNull() & (F.col("n") > 0), F.struct("n", "week", F.col("call").alias("call"), "timepoint"))
     # A RANGE frame over doubles exists in SQL only; undated scans, whose frame would hold every row, are guarded.
-    ahead = F.expr(f"min(candidate) OVER (PARTITION BY profile, patient ORDER BY week RANGE BETWEEN {weeks}D FOLLOWING AND UNBOUNDED FOLLOWING)")
-    rows = rows.withColumn("candidate", candidate).withColumn("later", F.when(F.col("week").isNotNull(), ahead)).withColumn("call1", F.col("call"))
+    ahead = F.expr(f"min(candidate) OVER (PARTITION BY {by}, patient ORDER BY week RANGE BETWEEN {weeks}D FOLLOWING AND UNBOUNDED FOLLOWING)")
+    return rows.withColumn("candidate", candidate).withColumn("later", F.when(F.col("week").isNotNull(), ahead)).drop("candidate")
+
+
+def confirmed(rows: DataFrame, weeks: float) -> DataFrame:
+    """First-pass calls of each profile, confirmed or refuted."""
+    return judged(looked_ahead(rows, weeks, "profile"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """The calls after the look ahead."""
+    rows = rows.withColumn("call1", F.col("call"))
     call, later = F.col("call1"), F.col("later")
     asks = F.col("confirm") & call.isin("CR", "PR")
     no_week = asks & F.col("week").isNull()
@@ -175,7 +193,7 @@ def confirmed(rows: DataFrame, weeks: float) -> DataFrame:
         "unknowns": F.when(note.isNotNull(), F.array_sort(F.concat(own, F.array(note)))).otherwise(own),
         "vs_nadir": F.when(~is_base, F.col("vs_nadir")), "vs_baseline": F.when(~is_base, F.col("vs_baseline")), "t2_vs_nadir": F.when(~is_base, F.col("t2_vs_nadir")),
         "refuted": refuted, "too_late": too_late,
-    }).withColumnsRenamed({"later": "confirming", "call1": "first_call"}).drop("candidate")
+    }).withColumnsRenamed({"later": "confirming", "call1": "first_call"})
 
 
 def single_signal(scans: DataFrame, volume: str, pd_increase: float = 0.40, pr_decrease: float = -0.65) -> DataFrame:

@@ -46,3 +46,18 @@ def test_bootstrap_is_of_balanced_accuracy(spark):
     got = cohort.bootstrap_difference(catalog_cohort.patient_counts(calls), evaluate.CLASSES).collect()
     assert 1800 < len(got) <= 2000  # draws without any of three patients have no figure
     assert all(r.difference == pytest.approx((0 + 1 + 1 / 3) / 3) for r in got)
+
+
+def test_sets_that_differ_after_the_look_ahead_share_it(spark, sf_dir):
+    some = [g for g in catalog_rule.WHOLE_GRID if g["floor_mm3"] in (0.0, 10.0)] + [{**catalog_rule.SHIPPED, "profile": "no end", "keep_at_end": False}]
+    calls = catalog_rule.rule_calls(spark, sf_dir, some)
+    plan = calls._jdf.queryExecution().optimizedPlan().toString()
+    ahead = plan.index("RangeFrame")
+    assert "explode(sets" in plan[:ahead] and "explode(sets" not in plan[ahead:]  # the sweep was crossed before the windows once
+    figures = ("profile", "timepoint", "call", "driver", "provisional", "unknowns")
+    got = sorted((tuple(r) for r in calls.select(*figures).collect()), key=str)
+    alone = [catalog_rule.rule_calls(spark, sf_dir, [g]).select(*figures) for g in (some[0], some[-1], some[-2])]
+    for one in alone:
+        want = sorted((tuple(r) for r in one.collect()), key=str)
+        assert want == [r for r in got if r[0] == want[0][0]]
+    assert len(got) == len(want) * len(some)
