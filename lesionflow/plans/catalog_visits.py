@@ -108,8 +108,7 @@ LUMPS = ROOTS.format(one=f"{ONE}, {VA}, gained AS (SELECT c.patient, c.visit, pr
 )
 def c15_lumps(spark, sf_dir):
     """Each lump of gained tissue with the distance from its centre to the nearest old cell."""
-    rows = visits.followed(cells(spark, sf_dir)).select("patient", "visit", F.explode("lumps").alias("l"))
-    return rows.select("patient", "visit", "l.root", "l.n", F.round("l.distance", 6).alias("distance"))
+    return visits.gained_lumps(cells(spark, sf_dir)).select("patient", "visit", "root", "n", F.round("distance", 6).alias("distance"))
 
 
 OURS = f"""{R26}, kk AS (SELECT k.*, root FROM k JOIN roots USING (patient, visit, cell)), {VA},

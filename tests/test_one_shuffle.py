@@ -99,3 +99,24 @@ def test_folders_do_not_grow_with_the_patients(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "v"))
     assert sorted(map(tuple, back.drop("folder").collect())) == sorted(map(tuple, rows.union(rows).collect()))
     assert back.groupBy("patient").agg({"folder": "min", "*": "count"}).where("`count(1)` <> 2").count() == 0 and back.select("patient", "folder").distinct().count() == 700
+
+
+def test_lumps_of_many_visits_together_are_those_of_each_pair(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    cells = {(p, v, *map(int, c)) for p in range(1, 9) for v in (1, 2, 4) for c in rng.integers(0, 9, (60, 3))} - {(3, 1, x, y, z) for x, y, z in np.ndindex(9, 9, 9)}
+    rows = spark.createDataFrame([(*c, 1 + (sum(c) + k) % 3) for k in (0, 1) for c in sorted(cells)] + [(3, 1, 0, 0, 0, 2)], KEYS)  # labels that clash, a visit without old tissue
+    apart = rows.union(spark.createDataFrame([(50, 1, 0, 0, 0, 1), (50, 2, 4090, 4094 // 2, 1, 1)], KEYS))
+
+    def plain(rows):
+        return sorted((r.patient, r.visit, r.previous, x.root, x.n, None if x.distance is None else round(x.distance, 9)) for r in visits.followed(rows).collect() for x in r.lumps)
+
+    def together(rows):
+        return sorted(((*r[:5], None if r.distance is None else round(r.distance, 9)) for r in visits.gained_lumps(rows).collect()), key=lambda r: r[:4])
+
+    assert together(apart) == plain(apart) and any(r[-1] is None for r in together(apart))
+    # more rows than are held together: visits of one patient meet across tables
+    wide = spark.range(3 * 30_000).selectExpr("1L AS patient", "id DIV 30000 AS visit", "CAST(id % 30 AS INT) AS x", "CAST(id DIV 30 % 30 AS INT) AS y", "CAST(id % 30000 DIV 900 + id DIV 30000 * 10 AS INT) AS z", "1 AS label")
+    assert together(wide) == plain(wide) and len(together(wide)) == 2
+    # many lumps and old cells ask the grid index
+    far = spark.range(2 * 2000).selectExpr("1L AS patient", "id DIV 2000 AS visit", "CAST(id % 20 * 2 + id DIV 2000 AS INT) AS x", "CAST(id DIV 20 % 20 * 2 AS INT) AS y", "CAST(id % 2000 DIV 400 * 2 AS INT) AS z", "1 AS label")
+    assert together(far) == plain(far) and len(together(far)) == 2000
