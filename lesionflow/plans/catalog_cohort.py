@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import cohort, evaluate, gram, order, validate
+from ..operators import cohort, evaluate, gram, order, rule, validate
 from ..sources.fixtures import frame, oracle
 from . import catalog_rule
 from .catalog_voxel import DET
@@ -243,9 +243,9 @@ def k07_scores(spark, sf_dir):
 
 @query("k08_sign_test", f"WITH {catalog_rule.CALLS}, {catalog_rule.PAIRS}, d AS (SELECT count(*) FILTER (a.predicted = a.expert AND b.predicted <> b.expert) AS lost, count(*) FILTER (a.predicted <> a.expert AND b.predicted = b.expert) AS won FROM pairs a JOIN pairs b ON a.timepoint = b.timepoint AND a.profile = 'mrano_volumetric' AND b.profile = 'rano_classic_ported') SELECT lost, won, round(least(1.0, 2 * (SELECT sum(exp(lgamma(lost + won + 1) - lgamma(i + 1) - lgamma(lost + won - i + 1) - (lost + won) * ln(2))) FROM range(0, least(lost, won) + 1) r(i))), 6) AS p FROM d", "scans")
 def k08(spark, sf_dir):
-    rows = evaluate.scorable(catalog_rule.rule_calls(spark, sf_dir))
-    both = evaluate.shared_rows(rows.where("profile = 'mrano_volumetric'"), rows.where("profile = 'rano_classic_ported'"))
-    return both.select("lost", "won", F.round(evaluate.sign_test(F.col("won"), F.col("won") + F.col("lost")), 6).alias("p"))
+    old, new = "mrano_volumetric", "rano_classic_ported"
+    rows = evaluate.scorable(catalog_rule.rule_calls(spark, sf_dir, [rule.profile(old), rule.profile(new)]))
+    return evaluate.disagreements(rows, old, new).select("lost", "won", F.round(evaluate.sign_test(F.col("won"), F.col("won") + F.col("lost")), 6).alias("p"))
 
 
 def patient_counts(rows: DataFrame) -> DataFrame:

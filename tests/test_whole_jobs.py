@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lesionflow.operators import cohort, evaluate, gram
 from lesionflow.plans import catalog_cohort, catalog_rule
@@ -61,3 +65,37 @@ def test_sets_that_differ_after_the_look_ahead_share_it(spark, sf_dir):
         want = sorted((tuple(r) for r in one.collect()), key=str)
         assert want == [r for r in got if r[0] == want[0][0]]
     assert len(got) == len(want) * len(some)
+
+
+def test_sign_test_of_many_scans(spark):
+    """Against whole numbers, then, where these are too many to add up, against the normal tail, which is right to 1 / n between two steps."""
+    def whole(k, n):
+        term = total = 1
+        for i in range(min(k, n - k)):
+            term = term * (n - i) // (i + 1)
+            total += term
+        return min(1.0, float(Fraction(2 * total, 2**n)))
+
+    some = [(0, 1), (1, 1), (0, 40), (3, 17), (15, 40), (16, 40), (25, 40), (16, 33), (98, 196), (90, 250), (615, 1531), (980, 2020), (4900, 9990), (10_100, 20_000), (14_800, 30_000)]
+    many = [(3 * 10**9 - d, 6 * 10**9) for d in (1, 1000, 40_000, 150_000, 10**8)]
+    some += [(k, n) for n in (8, 20, 21) for k in range(n + 1)]
+    got = [r.p for r in spark.createDataFrame(some + many, "k long, n long").select(evaluate.sign_test(F.col("k"), F.col("n")).alias("p")).collect()]
+    assert got[: len(some)] == [pytest.approx(whole(k, n), rel=1e-11) for k, n in some]
+    assert all(p == whole(k, n) for p, (k, n) in zip(got, some) if n <= 20)
+    assert got[len(some) :] == [pytest.approx(math.erfc((n - 2 * k - 1) / math.sqrt(2 * n)), rel=1e-7, abs=1e-12) for k, n in many]
+
+
+def test_disagreements_equal_a_join(spark):
+    rows = [("a", 1, "PD", "PD"), ("b", 1, "PD", "SD"), ("a", 2, "SD", "PD"), ("b", 2, "SD", "SD"), ("a", 3, "CR", "CR"), ("b", 4, "CR", "CR"), ("c", 1, "PD", "PD"), ("a", None, "PD", "PD"), ("b", None, "PD", "SD")]
+    rows += [("a", 5, "PD", "PD")] * 3 + [("a", 5, "PD", "SD")] + [("b", 5, "PD", "SD")] * 2 + [("b", 5, "PD", "PD")]  # a timepoint that comes many times
+    pairs = spark.createDataFrame(rows, "profile string, timepoint int, expert string, predicted string").repartition(5)
+    pairs.createOrReplaceTempView("sign_pairs")
+    want = spark.sql("""SELECT count_if(a.predicted = a.expert AND b.predicted <> b.expert) AS lost, count_if(a.predicted <> a.expert AND b.predicted = b.expert) AS won
+        FROM sign_pairs a JOIN sign_pairs b ON a.timepoint = b.timepoint AND a.profile = 'a' AND b.profile = 'b'""").first()
+    assert tuple(evaluate.disagreements(pairs, "a", "b").first()) == tuple(want) == (7, 2)
+    assert tuple(evaluate.disagreements(pairs.limit(0), "a", "b").first()) == (0, 0)
+
+
+def test_sign_test_follows_each_patient_once(spark, sf_dir):
+    plan = catalog_cohort.QUERIES["k08_sign_test"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RangeFrame") == 1 and "Join FullOuter" not in plan
